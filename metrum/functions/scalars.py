@@ -383,12 +383,13 @@ def mask_share(a: Col, b: Col) -> Column:
     return F.when(F.size(col(a)) == F.size(col(b)), unequal / F.size(col(a))).otherwise(F.lit(1.0))
 
 
-def dilate(mask: Col, width: int) -> Column:
+def dilate(mask: Col, width: int | Column) -> Column:
     """Every cell within one cell of a set cell, in rows of ``width``."""
+    width = F.lit(width) if isinstance(width, int) else width
     cells = F.transform(F.sequence(F.lit(0), F.size(col(mask)) - 1), lambda i: i)
 
     def grown(i: Column) -> Column:
-        row, column = F.floor(i / width), F.pmod(i, F.lit(width))
+        row, column = F.floor(i / width), F.pmod(i, width)
         near = F.lit(False)
         for dr in (-1, 0, 1):
             for dc in (-1, 0, 1):
@@ -400,7 +401,7 @@ def dilate(mask: Col, width: int) -> Column:
     return F.transform(cells, grown)
 
 
-def mask_unmatched(a: Col, b: Col, width: int) -> Column:
+def mask_unmatched(a: Col, b: Col, width: int | Column) -> Column:
     """Set cells without a counterpart within one cell, over all set cells; 1.0 below 20 set cells."""
 
     def ones(mask: Column) -> Column:

@@ -24,17 +24,26 @@ Step = Callable[[pd.DataFrame, "list[float] | None", bool], "tuple[pd.DataFrame,
 
 
 def fold(
-    df: DataFrame, keys: Sequence[str], idx: str, step: Step, schema: str, rows: int = TILE_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    idx: str,
+    step: Step,
+    schema: str,
+    rows: int = TILE_ROWS,
+    then: Sequence[str] = (),
 ) -> DataFrame:
-    """Run ``step`` over each key's rows in order of ``idx``. ``schema`` describes the output rows without keys."""
-    keys = list(keys)
+    """Run ``step`` over each key's rows in order of ``idx`` and, within one ``idx``, of the columns ``then``.
+
+    ``schema`` describes the output rows without keys. Rows of one ``idx`` never part; tiles hold ``rows`` of them.
+    """
+    keys, order = list(keys), [idx, *then]
     group = [*keys, "_tile"]
     tiled = df.withColumn("_tile", row_tile(idx, rows))
     key_fields = [f for f in tiled.schema.fields if f.name in keys]
     key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(idx, kind="stable")
+        ordered = pdf.sort_values(order, kind="stable", ignore_index=True)
         entry, last = ordered["_entry"].iloc[0], bool(ordered["_last"].iloc[0])
         out, _ = step(ordered.drop(columns=["_entry", "_last"]), _state(entry), last)
         for position, key in enumerate(keys):
@@ -42,7 +51,7 @@ def fold(
         return out
 
     def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(idx, kind="stable")
+        ordered = pdf.sort_values(order, kind="stable", ignore_index=True)
         _, state = step(ordered.drop(columns=["_entry", "_last"]), _state(ordered["_entry"].iloc[0]), False)
         head = ordered.iloc[0]
         return pd.DataFrame([[*[head[c] for c in group], head["_entry"], state]], columns=[*group, "_entry", "_exit"])

@@ -121,6 +121,20 @@ SQL = {
         SELECT label AS s, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx,
                list_transform(embedding, lambda x: x > 0) AS signature, vec_id
         FROM embeddings""",
+    "v_measures": """
+        SELECT s, idx // 2 - k AS frame_idx, idx % 2 + 2 * k AS local_idx, idx AS content, vec_id,
+               CASE WHEN s % 2 = 0 AND idx % 5 <> 4 THEN idx + 1 END AS label, signature
+        FROM v_frames, (SELECT unnest([0, 1]) AS k) WHERE idx // 2 - k >= 0""",
+    "v_sparse": """
+        SELECT s, idx, CASE WHEN s % 3 <> 0 AND vec_id % 3 = 0 THEN idx + 1 + (idx // 20) END AS label FROM v_frames""",
+    "v_barlines": """
+        SELECT s, row_number() OVER (PARTITION BY s ORDER BY x) - 1 AS idx, x, recognized FROM (
+            SELECT l_orderkey AS s, CAST(floor(l_extendedprice) AS BIGINT) % 600 AS x,
+                   max(CASE WHEN CAST(l_quantity AS BIGINT) % 3 = 0 THEN l_linenumber + 10 END) AS recognized
+            FROM lineitem GROUP BY ALL)""",
+    "v_lines": """
+        SELECT s, row_number() OVER (PARTITION BY s ORDER BY value) - 1 AS idx, value FROM (
+            SELECT DISTINCT l_suppkey AS s, 5 * l_partkey AS value FROM lineitem)""",
     "v_tracks": """
         SELECT l_suppkey AS s, l_returnflag AS track,
                row_number() OVER (PARTITION BY l_suppkey, l_returnflag
@@ -431,6 +445,48 @@ class Views:
         placed = positions(e, ["s"], ["vec_id"], row_tile("vec_id"))
         return placed.select("s", "idx", F.transform("embedding", lambda x: x > 0).alias("signature"), "vec_id")
 
+    @cached_property
+    def measures(self) -> DataFrame:
+        """Frames of four measures of which two repeat the frame before; even sessions carry printed numbers."""
+        k = F.explode(F.array(F.lit(0), F.lit(1)))
+        spread = self.frames.withColumn("k", k).withColumn("_half", F.floor(F.col("idx") / 2).cast("long"))
+        numbered = (F.col("s") % 2 == 0) & (F.col("idx") % 5 != 4)
+        return spread.filter("_half - k >= 0").select(
+            "s",
+            (F.col("_half") - F.col("k")).alias("frame_idx"),
+            (F.col("idx") % 2 + 2 * F.col("k")).alias("local_idx"),
+            F.col("idx").alias("content"),
+            "vec_id",
+            F.when(numbered, F.col("idx") + 1).alias("label"),
+            "signature",
+        )
+
+    @cached_property
+    def sparse(self) -> DataFrame:
+        known = (F.col("s") % 3 != 0) & (F.col("vec_id") % 3 == 0)
+        label = F.col("idx") + 1 + F.floor(F.col("idx") / 20).cast("long")
+        return self.frames.select("s", "idx", F.when(known, label).alias("label"))
+
+    @cached_property
+    def barlines(self) -> DataFrame:
+        return durable(self._make_barlines())
+
+    def _make_barlines(self) -> DataFrame:
+        lines = (
+            self.table("lineitem")
+            .groupBy(F.col("l_orderkey").alias("s"), (F.floor("l_extendedprice").cast("long") % 600).alias("x"))
+            .agg(F.max(F.when(F.col("l_quantity").cast("long") % 3 == 0, F.col("l_linenumber") + 10)).cast("long").alias("recognized"))
+        )
+        return positions(lines, ["s"], ["x"], row_tile("x")).select("s", "idx", "x", "recognized")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return durable(self._make_lines())
+
+    def _make_lines(self) -> DataFrame:
+        values = self.table("lineitem").select(F.col("l_suppkey").alias("s"), (5 * F.col("l_partkey")).alias("value")).distinct()
+        return positions(values, ["s"], ["value"], row_tile("value", 65536)).select("s", "idx", "value")
+
     @cached_property
     def tracks(self) -> DataFrame:
         return durable(self._make_tracks())

@@ -40,6 +40,11 @@ def table(columns, rows):
     return names, sorted(out, key=lambda r: tuple((v is not None, str(type(v)), v) if not isinstance(v, (int, float)) else (True, "n", v) for v in r))
 
 
+def exact(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(repr([row[i] + 0.0 if isinstance(row[i], float) else row[i] for i in order]) for row in rows)
+
+
 def compare(spark, name, query, sql, sf_dir: str = SF, con=None):
     """Return (ok, message)."""
     start = time.time()
@@ -66,7 +71,8 @@ def compare(spark, name, query, sql, sf_dir: str = SF, con=None):
         for g, e in pairs
         if g is not None and type(g) is not type(e)
     }
-    return not kinds, f"{len(got)} rows, {took:.1f}s {kinds or ''}"
+    inexact = "" if exact(df.columns, rows) == exact(expected_columns, expected_rows) else "INEXACT "
+    return not kinds, f"{len(got)} rows, {took:.1f}s {inexact}{kinds or ''}"
 
 
 def main(names):
