@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,41 +94,93 @@ def drop_narrow(values: DataFrame, width: float = 24, rows: int = TILE_ROWS) ->
 # --- motion --------------------------------------------------------------------------------------------------
 
 
-def _mismatch(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+MOTION = "struct<size:int,difference:double>"
 
 
-def _union_size(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x | y).cast("int")), F.lit(0), lambda s, x: s + x)
+def _stack(masks: pd.Series, chosen: np.ndarray) -> np.ndarray:
+    return np.stack([np.asarray(masks.iloc[i], dtype=bool) for i in chosen])
 
 
-def best_shift_of(a: str, b: str, minimum: int = 20) -> Column:
-    """Struct (difference, offset) of the shift of ``b`` against ``a`` with the least mismatch, or null.
+def _pairwise(match: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable:
+    """Arrow-batched column function over pairs of masks; pairs of unequal size never match.
 
-    Masks are one row of cells. Shifts keep an overlap of at least 0.38 of the width and 24 cells; a shift counts only
-    with enough set cells; above 0.24 there is no match. Evaluated per row, so no pair of frames is ever exploded.
+    ``match`` sees all pairs of one mask size as two matrices and gives sizes and differences, nan for no match.
     """
-    width = F.size(a)
-    overlap = F.greatest(F.lit(24), F.rint(width * 0.38).cast("int"))
-
-    def at(offset: Column) -> Column:
-        left = F.slice(a, offset + 1, width - offset)
-        right = F.slice(b, F.lit(1), width - offset)
-        union = _union_size(left, right)
-        floor_ = F.greatest(F.lit(minimum), F.rint((width - offset) * 0.003).cast("int"))
-        share = F.when(union < floor_, F.lit(1.0)).otherwise(F.try_divide(_mismatch(left, right), union))
-        return F.struct(share.alias("difference"), offset.alias("offset"))
 
-    best = F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), width - overlap)), at))
-    comparable = (F.size(a) == F.size(b)) & F.col(b).isNotNull()
-    return F.when(comparable & (best["difference"] <= 0.24), best)
+    def over_batch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        size = np.full(len(a), np.nan)
+        difference = np.full(len(a), np.nan)
+        lengths = np.array([len(x) if x is not None and y is not None and len(x) == len(y) else 0 for x, y in zip(a, b)])
+        for n in np.unique(lengths[lengths > 0]):
+            chosen = np.flatnonzero(lengths == n)
+            size[chosen], difference[chosen] = match(_stack(a, chosen), _stack(b, chosen))
+        found = ~np.isnan(difference)
+        sizes = pd.Series(size).where(found).astype("Int32")
+        return pd.DataFrame({"size": sizes, "difference": pd.Series(difference).where(found, None)})
+
+    over_batch.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(over_batch, MOTION)
+
+
+def _round(value: float) -> int:
+    return int(np.rint(value))
+
+
+def _shift_matcher(minimum: int, limit: float = 0.24):
+    def match(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width = a.shape[1]
+        shares = []
+        for offset in range(max(0, width - max(24, _round(width * 0.38))) + 1):
+            left, right = a[:, offset:], b[:, : width - offset]
+            union = (left | right).sum(axis=1)
+            share = (left != right).sum(axis=1) / np.maximum(union, 1)
+            shares.append(np.where(union < max(minimum, _round((width - offset) * 0.003)), 1.0, share))
+        table = np.stack(shares)
+        best = table.argmin(axis=0)
+        difference = table[best, np.arange(len(a))]
+        return best, np.where(difference <= limit, difference, np.nan)
+
+    return match
+
+
+def _dilated(masks: np.ndarray) -> np.ndarray:
+    padded = np.pad(masks, ((0, 0), (1, 1), (1, 1)))
+    _, height, width = masks.shape
+    return np.any([padded[:, y : y + height, x : x + width] for y in range(3) for x in range(3)], axis=0)
+
+
+def _overlap_matcher(width: int, low: int, high: int, features: int, limit: float = 0.22):
+    def match(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left_all, right_all = a.reshape(len(a), -1, width), b.reshape(len(b), -1, width)
+        shares = []
+        for size in range(low, high + 1):
+            left, right = left_all[:, :, width - size :], right_all[:, :, :size]
+            total = left.sum(axis=(1, 2)) + right.sum(axis=(1, 2))
+            alone = (left & ~_dilated(right)).sum(axis=(1, 2)) + (right & ~_dilated(left)).sum(axis=(1, 2))
+            shares.append(np.where(total < features, np.inf, alone / np.maximum(total, 1)))
+        table = np.stack(shares)
+        best = table.min(axis=0)
+        near = table <= np.minimum(limit, best + 0.025)
+        # The smallest overlap among those about as good as the best.
+        return low + near.argmax(axis=0), np.where(best <= limit, best, np.nan)
+
+    return match
+
+
+def _with_motion(frames: DataFrame, match, size: str, rows: int) -> DataFrame:
+    pairs = neighbours(frames, ["s"], {"_next": lambda w: F.lead("signature").over(w)}, after=1, rows=rows)
+    found = pairs.withColumn("_m", _pairwise(match)("signature", "_next"))
+    return found.select(*frames.columns, F.col("_m.size").alias(size), F.col("_m.difference").alias("difference"))
 
 
 def best_shift(frames: DataFrame, minimum: int = 20, rows: int = TILE_ROWS) -> DataFrame:
-    """Add ``offset`` and ``difference`` of the movement to the next frame; null where there is none."""
-    pairs = neighbours(frames, ["s"], {"_next": lambda w: F.lead("signature").over(w)}, after=1, rows=rows)
-    shift = pairs.withColumn("_m", best_shift_of("signature", "_next", minimum))
-    return shift.select(*frames.columns, F.col("_m.offset").alias("offset"), F.col("_m.difference").alias("difference"))
+    """Add ``offset`` and ``difference`` of the movement to the next frame; null where there is none.
+
+    Masks are one row of cells. Shifts keep an overlap of at least 0.38 of the width and 24 cells; a shift counts only
+    with enough set cells; above 0.24 there is no match. All shifts of a pair are tried inside one batch, so pairs are
+    never multiplied into rows.
+    """
+    return _with_motion(frames, _shift_matcher(minimum), "offset", rows)
 
 
 def edge_overlap(
@@ -136,34 +192,7 @@ def edge_overlap(
     """
     low = max(minimum, round(width * 0.04))
     high = min(width, maximum if maximum is not None else max(low, round(width * 0.35)))
-    pairs = neighbours(frames, ["s"], {"_next": lambda w: F.lead("signature").over(w)}, after=1, rows=rows)
-
-    def crop(mask: str, first: Column, size: Column) -> Column:
-        return F.filter(F.col(mask), lambda _, i: F.pmod(i, F.lit(width)).between(first, first + size - 1))
-
-    def ones(mask: Column) -> Column:
-        return F.aggregate(mask, F.lit(0), lambda s, x: s + x.cast("int"))
-
-    def candidate(size: Column) -> Column:
-        left, right = crop("signature", width - size, size), crop("_next", F.lit(0), size)
-        return F.struct(left.alias("left"), right.alias("right"), size.alias("overlap"))
-
-    def scored_candidate(c: Column) -> Column:
-        share = F.when(ones(c["left"]) + ones(c["right"]) >= features, mask_unmatched(c["left"], c["right"], c["overlap"]))
-        return F.struct(c["overlap"].alias("overlap"), share.alias("difference"))
-
-    crops = F.transform(F.sequence(F.lit(low), F.lit(high)), candidate)
-    scored = pairs.withColumn("_crops", F.when(F.col("_next").isNotNull(), crops))
-    scored = scored.withColumn("_c", F.filter(F.transform("_crops", scored_candidate), lambda c: c["difference"].isNotNull()))
-    best = F.array_min(F.transform("_c", lambda c: c["difference"]))
-    scored = scored.withColumn("_best", F.when(F.col("_next").isNotNull(), best))
-    limit = F.least(F.lit(0.22), F.col("_best") + 0.025)
-    near = F.array_min(F.transform(F.filter("_c", lambda c: c["difference"] <= limit), lambda c: c["overlap"]))
-    return scored.select(
-        *frames.columns,
-        F.when(F.col("_best") <= 0.22, near).alias("overlap"),
-        F.when(F.col("_best") <= 0.22, F.col("_best")).alias("difference"),
-    )
+    return _with_motion(frames, _overlap_matcher(width, low, high, features), "overlap", rows)
 
 
 def drop_transitions(

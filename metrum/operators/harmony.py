@@ -87,7 +87,7 @@ def infer_chords(frets: DataFrame, keys: list[str] | None = None) -> DataFrame:
     def score(t: Column) -> Column:
         missing = F.bit_count(t["bits"].bitwiseAND(F.bitwise_not(mask)))
         extra = F.bit_count(mask.bitwiseAND(F.bitwise_not(t["bits"])))
-        has_root = F.get_bit(mask, t["root"]) == 1
+        has_root = F.getbit(mask, t["root"]) == 1
         total = (
             missing
             + extra * 0.28

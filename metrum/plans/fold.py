@@ -5,7 +5,10 @@ over the rows of one tile and a small state; the state leaving one tile enters t
 guessed entry state (that of a session's start). The true entry states then follow from the exits of the
 neighbours, and only tiles whose entry differs from the one they ran with are run again, until none is left. The
 first tile is always right, so every round settles at least one more tile; folds that restart on clear evidence, as
-all of these do, settle in two or three rounds. The result equals the sequential fold.
+these do, settle in two or three rounds. The result equals the sequential fold.
+
+``fold`` takes a step over a pandas frame, for array states. ``fold_expr`` takes a step as a column expression, for
+scalar states and many small sessions: its tiles never leave the JVM.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrum.plans.durable import durable
@@ -22,6 +25,36 @@ from metrum.plans.ordered import TILE_ROWS, row_tile
 Step = Callable[[pd.DataFrame, "list[float] | None", bool], "tuple[pd.DataFrame, list[float] | None]"]
 """(rows of a tile in order, entry state, is last tile) -> (output rows, exit state)"""
 
+Pass = Callable[[DataFrame], DataFrame]
+
+
+def _settle(tiled: DataFrame, keys: list[str], state_type: str, leave: Pass, emit: Pass, one_tile: bool) -> DataFrame:
+    """Find the true entry state of every tile, then emit.
+
+    ``leave`` turns rows with ``_entry`` and ``_last`` into one row per tile with ``_entry`` and ``_exit``.
+    """
+    group = [*keys, "_tile"]
+    guessed = tiled.withColumn("_entry", F.lit(None).cast(state_type))
+    if one_tile:
+        return emit(guessed.withColumn("_last", F.lit(True)))
+    exits = durable(leave(guessed.withColumn("_last", F.lit(False))))
+    across = Window.partitionBy(*keys).orderBy("_tile")
+    while True:
+        due = exits.withColumn("_due", F.lag("_exit").over(across))
+        wrong = due.filter(~F.col("_due").eqNullSafe(F.col("_entry")))
+        stale = durable(wrong.select(*group, F.col("_due").alias("_entry")))
+        if stale.isEmpty():
+            break
+        again = leave(tiled.join(stale, group).withColumn("_last", F.lit(False)))
+        settled = exits.join(stale.select(*group), group, "left_anti")
+        exits = durable(settled.select(*again.columns).unionByName(again))
+    entries = exits.select(*group, "_entry", F.lead("_tile").over(across).isNull().alias("_last"))
+    return emit(tiled.join(entries, group))
+
+
+def _fits_one_tile(df: DataFrame, idx: str, rows: int) -> bool:
+    return df.filter(F.col(idx) >= rows).limit(1).count() == 0
+
 
 def fold(
     df: DataFrame,
@@ -39,40 +72,82 @@ def fold(
     keys, order = list(keys), [idx, *then]
     group = [*keys, "_tile"]
     tiled = df.withColumn("_tile", row_tile(idx, rows))
-    key_fields = [f for f in tiled.schema.fields if f.name in keys]
-    key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields)
+    key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def emit_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values(order, kind="stable", ignore_index=True)
-        entry, last = ordered["_entry"].iloc[0], bool(ordered["_last"].iloc[0])
-        out, _ = step(ordered.drop(columns=["_entry", "_last"]), _state(entry), last)
+        out, _ = step(ordered, _state(ordered["_entry"].iloc[0]), bool(ordered["_last"].iloc[0]))
         for position, key in enumerate(keys):
             out.insert(position, key, ordered[key].iloc[0])
         return out
 
-    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+    def leave_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values(order, kind="stable", ignore_index=True)
-        _, state = step(ordered.drop(columns=["_entry", "_last"]), _state(ordered["_entry"].iloc[0]), False)
+        _, state = step(ordered, _state(ordered["_entry"].iloc[0]), False)
         head = ordered.iloc[0]
         return pd.DataFrame([[*[head[c] for c in group], head["_entry"], state]], columns=[*group, "_entry", "_exit"])
 
-    alone = tiled.withColumn("_entry", F.lit(None).cast("array<double>")).withColumn("_last", F.lit(True))
-    out_schema = f"{key_ddl}, {schema}"
-    if df.filter(F.col(idx) >= rows).limit(1).count() == 0:
-        return alone.groupBy(*group).applyInPandas(emit, out_schema)
-
     exit_schema = f"{key_ddl}, _tile long, _entry array<double>, _exit array<double>"
-    exits = durable(alone.groupBy(*group).applyInPandas(leave, exit_schema))
-    across = Window.partitionBy(*keys).orderBy("_tile")
-    while True:
-        due = exits.withColumn("_due", F.lag("_exit").over(across))
-        stale = durable(due.filter(~F.col("_due").eqNullSafe(F.col("_entry"))).select(*group, F.col("_due").alias("_entry")))
-        if stale.isEmpty():
-            break
-        again = tiled.join(stale, group).withColumn("_last", F.lit(False)).groupBy(*group).applyInPandas(leave, exit_schema)
-        exits = durable(exits.join(stale, group, "left_anti").select(*again.columns).unionByName(again))
-    entries = exits.select(*group, "_entry", F.lead("_tile").over(across).isNull().alias("_last"))
-    return tiled.join(entries, group).groupBy(*group).applyInPandas(emit, out_schema)
+    return _settle(
+        tiled,
+        keys,
+        "array<double>",
+        lambda rows_in: rows_in.groupBy(*group).applyInPandas(leave_tile, exit_schema),
+        lambda rows_in: rows_in.groupBy(*group).applyInPandas(emit_tile, f"{key_ddl}, {schema}"),
+        _fits_one_tile(df, idx, rows),
+    )
+
+
+def fold_expr(
+    df: DataFrame,
+    keys: Sequence[str],
+    idx: str,
+    columns: Sequence[str],
+    state_type: str,
+    out_type: str,
+    step: Callable[[Column, Column], tuple[Column, Column]],
+    finish: Callable[[Column], Column] | None = None,
+    rows: int = TILE_ROWS,
+) -> DataFrame:
+    """Fold as expressions. ``step(state, row)`` gives the next state and the row to put out, or null for none.
+
+    ``finish(state)`` gives a last row of the session. A tile is collected as one array of at most ``rows`` structs.
+    """
+    keys = list(keys)
+    group = [*keys, "_tile"]
+    tiled = df.select(*keys, idx, *[c for c in columns if c != idx]).withColumn("_tile", row_tile(idx, rows))
+    nothing = F.lit(None).cast(out_type)
+
+    def folded(rows_in: DataFrame) -> DataFrame:
+        entry = F.struct(idx, *[c for c in columns if c != idx])
+        tiles = rows_in.groupBy(*group).agg(
+            F.array_sort(F.collect_list(entry)).alias("_rows"),
+            F.first("_entry").alias("_entry"),
+            F.bool_and("_last").alias("_last"),
+        )
+        zero = F.struct(F.col("_entry").alias("state"), F.array().cast(f"array<{out_type}>").alias("out"))
+
+        def merge(acc: Column, row: Column) -> Column:
+            state, out = step(acc["state"], row)
+            grown = F.when(out.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], out))
+            return F.struct(state.cast(state_type).alias("state"), grown.alias("out"))
+
+        return tiles.withColumn("_f", F.aggregate("_rows", zero, merge))
+
+    def emit(rows_in: DataFrame) -> DataFrame:
+        done = folded(rows_in)
+        last = finish(F.col("_f.state")) if finish else nothing
+        tail = F.filter(F.array(F.when(F.col("_last"), last)), lambda r: r.isNotNull())
+        return done.select(*keys, F.inline(F.concat(F.col("_f.out"), tail)))
+
+    return _settle(
+        tiled,
+        keys,
+        state_type,
+        lambda rows_in: folded(rows_in).select(*group, "_entry", F.col("_f.state").alias("_exit")),
+        emit,
+        _fits_one_tile(df, idx, rows),
+    )
 
 
 def _state(value) -> list[float] | None:

@@ -791,13 +791,13 @@ def _events(v: Views):
     label = F.when(F.col("kind") == "view", "C").when(F.col("kind") == "click", "G").when(F.col("kind") == "purchase", "Am")
     return v.beats.select(
         "s", F.floor(F.col("idx") / 10).cast("long").alias("measure"), "idx", label.alias("label"),
-        ((F.col("event_id") % 10) / 10.0).alias("confidence"),
+        ((F.col("event_id") % 10) / 10.0).alias("confidence"), "event_id",
     )
 
 
 EVENTS_SQL = """
     ev AS (SELECT s, idx // 10 AS measure, idx, CASE kind WHEN 'view' THEN 'C' WHEN 'click' THEN 'G' WHEN 'purchase' THEN 'Am' END AS label,
-                  (event_id % 10) / 10.0::DOUBLE AS confidence FROM v_beats),
+                  (event_id % 10) / 10.0::DOUBLE AS confidence, event_id FROM v_beats),
     strong AS (SELECT *, lag(label) OVER (PARTITION BY s, measure ORDER BY idx) AS p FROM ev WHERE label IS NOT NULL AND confidence >= 0.42),
     changes AS (SELECT s, measure, idx, label, confidence FROM strong WHERE p IS DISTINCT FROM label
                 QUALIFY row_number() OVER (PARTITION BY s, measure ORDER BY idx) <= 4)"""
@@ -805,19 +805,19 @@ EVENTS_SQL = """
 
 @query("chord_changes", f"WITH {EVENTS_SQL} SELECT * FROM changes")
 def _(v: Views):
-    return H.chord_changes(_events(v))
+    return H.chord_changes(_events(v).drop("event_id"))
 
 
 @query(
     "harmony_rollup",
     f"""
     WITH {EVENTS_SQL},
-    m AS (SELECT s, measure, count(label) AS chords, avg(confidence) AS confidence FROM ev GROUP BY s, measure)
+    m AS (SELECT s, measure, count(label) AS chords, max(event_id % 8) / 8.0::DOUBLE AS confidence FROM ev GROUP BY s, measure)
     SELECT s, count(*) FILTER (chords > 0) AS analyzed, coalesce(round_even(avg(confidence) FILTER (confidence > 0), 3), 0.0) AS confidence
     FROM m GROUP BY s""",
 )
 def _(v: Views):
-    measures = _events(v).groupBy("s", "measure").agg(F.count("label").alias("chords"), F.avg("confidence").alias("confidence"))
+    measures = _events(v).groupBy("s", "measure").agg(F.count("label").alias("chords"), (F.max(F.col("event_id") % 8) / 8.0).alias("confidence"))
     return H.harmony_rollup(measures)
 
 

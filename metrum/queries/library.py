@@ -350,7 +350,7 @@ JOBS_SQL = """
     f"""
     WITH {JOBS_SQL}
     SELECT id, run, started, coalesce(finished, CASE WHEN done THEN updated END) AS finished,
-           CAST(greatest(0, coalesce(finished, CASE WHEN done THEN updated END) - started) AS DOUBLE) AS duration FROM j
+           CASE WHEN finished IS NOT NULL OR done THEN CAST(greatest(0, coalesce(finished, updated) - started) AS DOUBLE) END AS duration FROM j
     """,
 )
 def _(v: Views):
