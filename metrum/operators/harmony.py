@@ -50,7 +50,10 @@ def estimate_key(histogram: DataFrame) -> DataFrame:
         "s", tonic.alias("tonic"), mode.alias("mode"),
         F.when(known, half_even(confidence, 3)).otherwise(F.lit(0.0)).alias("confidence"),
     )
-    return keyed.withColumn("key", key_name("tonic", "mode")).withColumn("scale", scale_name("tonic", "mode"))
+    named = F.col("tonic").isNotNull()
+    return keyed.withColumn("key", F.when(named, key_name("tonic", "mode"))).withColumn(
+        "scale", F.when(named, scale_name("tonic", "mode"))
+    )
 
 
 def _bits(intervals: tuple[int, ...], root: int) -> int:

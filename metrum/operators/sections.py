@@ -31,11 +31,11 @@ def contiguous_bars(sections: DataFrame, total: str = "total_bars", rows: int =
     room = F.col(total) - F.col("_n") + 1
 
     def upto(best: Column) -> Column:
-        return F.greatest(F.lit(1).cast("long"), F.least(room, best))
+        return F.when(best.isNull(), F.lit(1)).otherwise(F.greatest(F.lit(1).cast("long"), F.least(room, best)))
 
     is_last = F.col("idx") == F.col("_n") - 1
-    end = F.when(is_last, F.col(total)).otherwise(F.col("idx") + F.coalesce(upto(F.col("_max")), F.lit(1)))
-    previous = F.col("idx") + F.coalesce(upto(F.col("_before")), F.lit(1))
+    end = F.when(is_last, F.col(total)).otherwise(F.col("idx") + upto(F.col("_max")))
+    previous = F.col("idx") + upto(F.col("_before"))
     start = F.when(F.col("idx") == 0, F.lit(1)).otherwise(previous)
     fits = (F.col(total) >= 1) & (room >= 1)
     given = F.col("start_bar") if "start_bar" in sections.columns else F.lit(None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,6 @@ from metrum.streaming import streams as Z
 
 def scratch(spark: SparkSession) -> str:
     """A fresh directory in the cluster's shared folder, or a local one in local mode."""
-    import uuid
-
     shared = spark.conf.get("spark.checkpoint.dir", None)
     return f"{shared}/{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
@@ -26,7 +25,7 @@ def drain(writer, work: str) -> None:
     writer.option("checkpointLocation", f"{work}/progress").trigger(availableNow=True).start().awaitTermination()
 
 
-def source(v: Views, table: str, files: int | None = None) -> DataFrame:
+def source(v: Views, table: str) -> DataFrame:
     schema = v.table(table).schema
     reader = v.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
     return reader.parquet(v.sf_dir)

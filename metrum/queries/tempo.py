@@ -241,7 +241,8 @@ def contiguous_sql(name: str, sections: str) -> str:
     {name}_scan AS (SELECT *, count(*) OVER (PARTITION BY s) AS n,
                     max(nullif(end_bar, 0) - idx) OVER (PARTITION BY s ORDER BY idx) AS reach FROM {sections}),
     {name}_end AS (SELECT *, CASE WHEN idx = n - 1 THEN total_bars
-                   ELSE idx + greatest(1, coalesce(least(total_bars - n + 1, reach), 1)) END AS new_end
+                   WHEN reach IS NULL THEN idx + 1
+                   ELSE idx + greatest(1, least(total_bars - n + 1, reach)) END AS new_end
                    FROM {name}_scan),
     {name} AS (SELECT * EXCLUDE (n, reach, new_end, end_bar),
                CASE WHEN total_bars >= 1 AND n <= total_bars

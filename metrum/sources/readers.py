@@ -137,14 +137,18 @@ def read_frames(spark: SparkSession, *paths: str) -> DataFrame:
 def hash_files(spark: SparkSession, paths: list[str], cache: DataFrame) -> DataFrame:
     """``(path, length, modified, sha)``: the cached hash where size and time are unchanged, else that of the content.
 
-    Files with a valid cached hash are filtered before contents are read: the hashes of misses come from a second scan
-    that reads only the file groups named by a semi-join.
+    Only the time of the oldest miss comes to the driver: it is pushed into the second scan, which then skips the
+    contents of all older files.
     """
     inventory = read_file_inventory(spark, *paths)
     known = inventory.join(cache.select("path", "length", "modified", "sha"), ["path", "length", "modified"], "left")
-    misses = known.filter("sha is null").select("path")
+    misses = known.filter("sha is null").select("path", "modified")
+    oldest = misses.agg(F.min("modified").alias("at")).first()["at"]
+    if oldest is None:
+        return known.select("path", "length", "modified", "sha")
     content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(paths)
-    hashed = content.join(misses, "path", "left_semi").select("path", F.sha2("content", 256).alias("_fresh"))
+    recent = content.filter(F.col("modificationTime") >= F.lit(oldest))
+    hashed = recent.join(misses, "path", "left_semi").select("path", F.sha2("content", 256).alias("_fresh"))
     joined = known.join(hashed, "path", "left")
     return joined.select("path", "length", "modified", F.coalesce("sha", "_fresh").alias("sha")).filter("sha is not null")
 

@@ -46,4 +46,6 @@ def write_sync_index(index: DataFrame, path: str, keys: int = INDEX_KEYS) -> Non
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "sha")))).alias("files")
     )
     document = F.to_json(F.struct(F.lit(1).alias("version"), "files"))
-    parts.select("_part", document.alias("value")).repartitionByRange("_part").select("value").write.mode("overwrite").text(path)
+    # One document per file, so that a reader never holds more than one of them.
+    documents = parts.select(document.alias("value"))
+    documents.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
