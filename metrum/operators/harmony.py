@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrum.functions import fixed
@@ -26,22 +26,31 @@ def _centred(profile: tuple[float, ...]) -> list[float]:
 def estimate_key(histogram: DataFrame) -> DataFrame:
     """Best key per session by correlation with the 24 rolled key profiles.
 
-    The histogram becomes twelve columns of one row, so the profiles are constants of one expression and nothing is
+    The histogram becomes one array of twelve weights, so the profiles are constants of one expression and nothing is
     joined. Ties prefer the higher tonic, then minor. An empty or flat histogram has no key and confidence 0.
     """
-    weights = [F.sum(F.when(F.col("pitch_class") == k, F.col("weight")).otherwise(0)).cast("double").alias(f"_{k}") for k in range(12)]
-    wide = histogram.groupBy("s").agg(*weights)
-    mean = sum((F.col(f"_{k}") for k in range(1, 12)), F.col("_0")) / 12
-    shares = wide.withColumn("_mean", mean)
-    energy = [F.col(f"_{k}") - F.col("_mean") for k in range(12)]
-    spread = F.sqrt(sum((e * e for e in energy[1:]), energy[0] * energy[0]))
-    scored = []
-    for mode, profile in (("major", _centred(fixed.MAJOR_PROFILE)), ("minor", _centred(fixed.MINOR_PROFILE))):
-        for tonic in range(12):
-            terms = [energy[k] * profile[(k - tonic) % 12] for k in range(12)]
-            score = F.try_divide(sum(terms[1:], terms[0]), F.col("_spread"))
-            scored.append(F.struct(score.alias("score"), F.lit(tonic).alias("tonic"), F.lit(mode).alias("mode")))
-    ranked = shares.withColumn("_spread", spread).withColumn("_c", F.sort_array(F.array(*scored), asc=False))
+    weights = [F.sum(F.when(F.col("pitch_class") == k, F.col("weight")).otherwise(0)).cast("double") for k in range(12)]
+    wide = histogram.groupBy("s").agg(F.array(*weights).alias("_w"))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+    mean = wide.withColumn("_mean", total(F.col("_w")) / 12)
+    energy = mean.withColumn("_e", F.transform("_w", lambda x: x - F.col("_mean")))
+    shares = energy.withColumn("_spread", F.sqrt(total(F.transform("_e", lambda x: x * x))))
+    # One parsed literal: building it from hundreds of columns would take longer than the query.
+    rolled = [
+        f"named_struct('p', array({', '.join(f'{centred[(k - tonic) % 12]!r}D' for k in range(12))}), 'tonic', {tonic}, 'mode', '{mode}')"
+        for mode, centred in (("major", _centred(fixed.MAJOR_PROFILE)), ("minor", _centred(fixed.MINOR_PROFILE)))
+        for tonic in range(12)
+    ]
+    profiles = F.expr(f"array({', '.join(rolled)})")
+
+    def score(profile: Column) -> Column:
+        fit = total(F.zip_with("_e", profile["p"], lambda x, y: x * y))
+        return F.struct(F.try_divide(fit, F.col("_spread")).alias("score"), profile["tonic"].alias("tonic"), profile["mode"].alias("mode"))
+
+    ranked = shares.withColumn("_c", F.sort_array(F.transform(profiles, score), asc=False))
     known = F.col("_spread") > 1e-9
     best, second = F.col("_c")[0], F.col("_c")[1]
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + (best["score"] - second["score"]) * 1.8))
@@ -63,29 +72,47 @@ def _bits(intervals: tuple[int, ...], root: int) -> int:
 def infer_chords(frets: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Best chord for the frets ``(s, string, fret)`` struck together: ``(s, label, confidence, notes)``.
 
-    Pitch classes are a 12-bit mask, so a chord is one aggregated row and the 120 templates are constants compared by
-    bit counts. Fewer than two strings or pitch classes give no chord.
+    Pitch classes are a 12-bit mask, so a chord is one aggregated row. The best template depends on the mask and the
+    bass alone: the 4096 x 12 combinations are scored once and broadcast, a table whose size never grows.
     """
     keys = keys or ["s"]
     tuning = F.array(*[F.lit(n) for n in fixed.TUNING])
     midi = F.element_at(tuning, F.col("string").cast("int") + 1) + F.col("fret")
     struck = frets.withColumn("_note", midi.cast("long"))
-    pitch = F.pmod("_note", F.lit(12)).cast("int")
-    bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(12)]), pitch + 1)
+    bit = _bit(F.pmod("_note", F.lit(12)))
     chord = struck.groupBy(*keys).agg(
-        F.bit_or(bit).alias("_mask"), F.pmod(F.min("_note"), F.lit(12)).cast("int").alias("_bass"),
+        F.bit_or(bit).alias("mask"),
+        F.pmod(F.min("_note"), F.lit(12)).cast("int").alias("bass"),
         F.count(F.lit(1)).alias("_strings"),
     )
-    mask, bass = F.col("_mask"), F.col("_bass")
-    templates = F.array(*[
-        F.struct(
-            F.lit(_bits(intervals, root)).alias("bits"), F.lit(root).alias("root"), F.lit(len(intervals)).alias("size"),
-            F.lit(f"{fixed.NOTES[root]}{suffix}").alias("label"),
-            F.lit(0.18 if suffix == "aug" else 0.10 if suffix == "dim" else 0.0).alias("rare"),
-        )
+    named = chord.join(F.broadcast(chord_table(frets.sparkSession)), ["mask", "bass"], "left")
+    usable = (F.col("_strings") >= 2) & (F.bit_count("mask") >= 2)
+    return named.select(
+        *keys,
+        F.when(usable, F.col("label")).alias("label"),
+        F.when(usable, F.col("confidence")).otherwise(0.0).alias("confidence"),
+        F.bit_count("mask").alias("pitch_classes"),
+    )
+
+
+def _bit(pitch: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(1 << k) for k in range(12)]), pitch.cast("int") + 1)
+
+
+def chord_table(spark: SparkSession) -> DataFrame:
+    """``(mask, bass, label, confidence)`` for every set of pitch classes and every bass note in it."""
+    combos = spark.range(4096 * 12).select(
+        F.floor(F.col("id") / 12).cast("int").alias("mask"), (F.col("id") % 12).cast("int").alias("bass")
+    )
+    mask, bass = F.col("mask"), F.col("bass")
+    rare = {"aug": 0.18, "dim": 0.10}
+    built = [
+        f"named_struct('bits', {_bits(intervals, root)}, 'root', {root}, 'size', {len(intervals)}, "
+        f"'label', '{fixed.NOTES[root]}{suffix}', 'rare', {rare.get(suffix, 0.0)}D)"
         for root in range(12)
         for suffix, intervals in fixed.CHORDS
-    ])
+    ]
+    templates = F.expr(f"array({', '.join(built)})")
 
     def score(t: Column) -> Column:
         missing = F.bit_count(t["bits"].bitwiseAND(F.bitwise_not(mask)))
@@ -101,15 +128,14 @@ def infer_chords(frets: DataFrame, keys: list[str] | None = None) -> DataFrame:
         )
         return F.struct(total.alias("score"), t["size"].alias("size"), t["label"].alias("label"), t["root"].alias("root"))
 
-    ranked = chord.withColumn("_best", F.array_min(F.transform(templates, score)))
+    possible = combos.filter((F.getbit(mask, bass) == 1) & (F.bit_count(mask) >= 2))
+    ranked = possible.withColumn("_best", F.array_min(F.transform(templates, score)))
     label = F.col("_best.label")
     slash = (bass != F.col("_best.root")) & ~label.endswith("5")
-    named = F.when(slash, F.concat(label, F.lit("/"), note_name(bass))).otherwise(label)
-    usable = (F.col("_strings") >= 2) & (F.bit_count(mask) >= 2)
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("_best.score") * 0.22))
     return ranked.select(
-        *keys, F.when(usable, named).alias("label"), F.when(usable, confidence).otherwise(0.0).alias("confidence"),
-        F.bit_count(mask).alias("pitch_classes"),
+        "mask", "bass", F.when(slash, F.concat(label, F.lit("/"), note_name(bass))).otherwise(label).alias("label"),
+        confidence.alias("confidence"),
     )
 
 

@@ -23,6 +23,7 @@ from metrum.plans.ordered import (
     halo,
     nearest,
     neighbours,
+    once,
     row_tile,
     running,
 )
@@ -201,9 +202,8 @@ def stable_transition(beats: DataFrame, sessions: DataFrame) -> DataFrame:
         .filter(F.size("_t") > STEADY_ROWS + 4)
         .join(sessions.filter(F.col("bpm") > 0).select("s", "bpm"), "s")
     )
-    iv = head.withColumn(
-        "_iv", F.zip_with(F.slice("_t", 2, reach + 1), "_t", lambda b, a: b - a)
-    ).withColumn("_iv", F.filter("_iv", lambda v: v.isNotNull()))
+    gaps = F.zip_with(F.slice("_t", 2, reach + 1), "_t", lambda b, a: b - a)
+    iv = once(head, "_iv", F.filter(gaps, lambda v: v.isNotNull()))
     expected = F.lit(60.0) / F.col("bpm")
     candidates = F.sequence(F.lit(4), F.least(F.size("_iv") - STEADY_ROWS, F.lit(LEAD_CANDIDATES)))
 
@@ -219,7 +219,8 @@ def stable_transition(beats: DataFrame, sessions: DataFrame) -> DataFrame:
         sparse = long_ones >= F.greatest(F.lit(4.0), F.rint(c["i"] * 0.6))
         return first_four & enough & _within(m, expected, 0.88, 1.12) & sparse & (F.get("_t", c["i"]) <= 30.0)
 
-    chosen = iv.withColumn("_hit", F.get(F.filter(F.transform(candidates, describe), steady), F.lit(0)))
+    described = once(iv, "_c", F.transform(candidates, describe))
+    chosen = once(described, "_hit", F.get(F.filter("_c", steady), F.lit(0)))
     chosen = chosen.filter(F.col("_hit").isNotNull()).withColumn("_i", F.col("_hit.i"))
     tail = F.filter(F.slice("_iv", F.col("_i") + 1, LEAD_TAIL), lambda v: _within(v, expected, 0.88, 1.12))
     return chosen.select("s", F.col("_i").cast("long").alias("at_idx"), F.get("_t", F.col("_i")).alias("at_t"), _median_of(tail).alias("step"))
@@ -227,7 +228,7 @@ def stable_transition(beats: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def lead_in(beats: DataFrame, downbeats: DataFrame, sessions: DataFrame) -> DataFrame:
     """Per session to repair: ``reference`` time, ``source`` beat index, ``step`` and ``steps`` to go back."""
-    shifts = stable_transition(beats, sessions)
+    shifts = durable(stable_transition(beats, sessions))
     late = downbeats.join(shifts, "s").filter(F.col("t") >= F.col("at_t") - F.col("step") * 0.25)
     reference = late.groupBy("s").agg(F.min("t").alias("reference"))
     known = durable(shifts.join(reference, "s"))

@@ -49,6 +49,14 @@ def time_tile(t: str | Column, seconds: float = TILE_SECONDS) -> Column:
     return F.floor(moment / F.lit(seconds)).cast("long")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated once however often later expressions refer to it.
+
+    The optimizer copies a projected expression into each place that uses it, but not across a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 @dataclass(frozen=True)
 class Scan:
     """One running aggregate.
