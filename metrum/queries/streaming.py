@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrum.operators.library import practice_stats
-from metrum.queries.registry import query
+from metrum.queries.registry import query, scratch
 from metrum.queries.scalars import LINES_SQL, log_lines
 from metrum.queries.views import Views
 from metrum.streaming import streams as Z
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh directory in the cluster's shared folder, or a local one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def drain(writer, work: str) -> None:
     writer.option("checkpointLocation", f"{work}/progress").trigger(availableNow=True).start().awaitTermination()
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from metrum.functions import scalars as X
 from metrum.operators import reports as R
 from metrum.operators import sync as Y
-from metrum.queries.registry import query
+from metrum.queries.registry import query, scratch
 from metrum.queries.views import Views
+from metrum.sources.readers import read_sync_index
+from metrum.sources.writers import write_sync_index
 
 NOW = 50.0
 
@@ -299,6 +301,13 @@ def _(v: Views):
     return Y.record_deletions(v.tombstones, v.previous, ids, 77.0, "me")[0]
 
 
+@query("sync_index_round_trip", "SELECT key, sha FROM v_index")
+def _(v: Views):
+    path = f"{scratch(v.spark)}/index"
+    write_sync_index(v.index, path, 1000)
+    return read_sync_index(v.spark, path)
+
+
 # --- reports -------------------------------------------------------------------------------------------------
 
 CATEGORIES = ("src0", "src1", "src2", "src3", "src4", "unused")

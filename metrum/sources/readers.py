@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from metrum.sources import schemas
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """All session documents in a directory, with ``file`` and ``modified``; unreadable ones have ``_corrupt`` set."""
+def read_sessions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """All session documents in a directory, with ``file`` and ``modified``; unreadable ones have ``_corrupt`` set.
+
+    ``lines`` reads what :func:`metrum.sources.writers.write_sessions` writes: one document per line.
+    """
     documents = (
         spark.read.schema(schemas.SESSION)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("pathGlobFilter", "*.json")
@@ -35,22 +38,24 @@ def sections_long(sessions: DataFrame, column: str = "sections") -> DataFrame:
     return rows.select("s", F.col("idx").cast("long").alias("idx"), "_x.*")
 
 
-def read_library(spark: SparkSession, path: str) -> DataFrame:
-    """Library entries with an id, with their ``position``."""
-    return _listed(spark, path, schemas.LIBRARY).filter(F.col("id").isNotNull())
+def read_library(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Library entries with an id, with their ``position``; ``lines`` for one entry per line."""
+    return _listed(spark, path, schemas.LIBRARY, lines).filter(F.col("id").isNotNull())
 
 
-def read_folders(spark: SparkSession, path: str) -> DataFrame:
+def read_folders(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Folder listings in long form ``(folder, name, collapsed, folder_pos, pos, id)``."""
-    folders = _listed(spark, path, schemas.FOLDER).filter(F.col("id").isNotNull())
+    folders = _listed(spark, path, schemas.FOLDER, lines).filter(F.col("id").isNotNull())
     return folders.select(
         F.col("id").alias("folder"), "name", F.coalesce("collapsed", F.lit(False)).alias("collapsed"),
         F.col("position").alias("folder_pos"), F.posexplode_outer("sessionIds").alias("pos", "_id"),
     ).withColumnRenamed("_id", "id")
 
 
-def _listed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Items of documents that hold one list; a document that is no list counts as empty."""
+def _listed(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """Items of documents that hold one list, or of JSON lines; a document that is no list counts as empty."""
+    if lines:
+        return spark.read.schema(f"{schema}, position bigint").json(path)
     text = spark.read.text(path, wholetext=True).select("value")
     items = F.from_json("value", f"array<struct<{_struct(schema)}>>", {"mode": "PERMISSIVE"})
     usable = F.when(F.ltrim("value").startswith("["), items)
@@ -64,9 +69,9 @@ def _struct(schema: str) -> str:
     return StructType.fromDDL(schema).simpleString().removeprefix("struct<").removesuffix(">")
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Job records with an id; ``spec`` and ``result`` stay JSON text."""
-    return _listed(spark, path, schemas.JOB).filter(F.col("id").isNotNull()).drop("position")
+def read_jobs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Job records with an id; ``spec`` and ``result`` stay JSON text. ``lines`` for one record per line."""
+    return _listed(spark, path, schemas.JOB, lines).filter(F.col("id").isNotNull()).drop("position")
 
 
 def read_sync_index(spark: SparkSession, path: str) -> DataFrame:

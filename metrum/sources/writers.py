@@ -40,6 +40,7 @@ def write_sync_index(index: DataFrame, path: str, keys: int = INDEX_KEYS) -> Non
     :func:`metrum.sources.readers.read_sync_index` reads any number of them.
     """
     bucket = F.substring("key", 1, 12)
+    # The prefix and the first letters of the session: some 250,000 buckets for random ids, one summary row each.
     whole = index.withColumn("_one", F.lit(1))
     placed = positions(whole, ["_one"], ["key"], bucket, "_pos")
     parts = placed.groupBy(F.floor(F.col("_pos") / keys).alias("_part")).agg(

@@ -41,7 +41,7 @@ def test_sessions_are_read_without_the_lists(spark, home):
     assert sorted(r.id for r in library.collect()) == ["a", "b"] and library.first().date
     assert I.rebuild_library(sessions, I.read_library(spark, home("lib2.json", [{"id": "z"}]))).count() == 0
     O.write_sessions(sessions.filter("_corrupt is null"), f"{home.root}/out")
-    assert spark.read.schema(schemas.SESSION).json(f"{home.root}/out").count() == 2
+    assert I.read_sessions(spark, f"{home.root}/out", lines=True).count() == 2
 
 
 def test_lists(spark, home):
@@ -53,7 +53,9 @@ def test_lists(spark, home):
     jobs = I.read_jobs(spark, home("j.json", [{"id": "a", "spec": {"type": "x"}, "updated_at": 3}, {"stage": "s"}]))
     assert jobs.count() == 1 and json.loads(jobs.first().spec) == {"type": "x"}
     O.write_jobs(jobs, f"{home.root}/jobs")
-    assert spark.read.schema(schemas.JOB).json(f"{home.root}/jobs").first().id == "a"
+    assert I.read_jobs(spark, f"{home.root}/jobs", lines=True).first().id == "a"
+    O.write_library(library, f"{home.root}/library")
+    assert rows(I.read_library(spark, f"{home.root}/library", lines=True).select("id", "position"), "id") == [("x", 0), ("y", 2)]
 
 
 def test_index_round_trip(spark, home):
