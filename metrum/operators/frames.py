@@ -13,7 +13,6 @@ from metrum.functions.scalars import half_even_int, mask_share, mask_unmatched
 from metrum.operators.folds import group_views
 from metrum.plans.ordered import (
     TILE_ROWS,
-    TILE_SECONDS,
     Scan,
     covering,
     exact_median,
@@ -291,7 +290,7 @@ def quorum(frames: DataFrame, limit: int = 24, margin: float = 0.038) -> DataFra
     return counted.withColumn("complete", verdict)
 
 
-def consensus_positions(lines: DataFrame, tolerance: float = 4, span: float = TILE_SECONDS) -> DataFrame:
+def consensus_positions(lines: DataFrame, tolerance: float = 4, span: float | None = None) -> DataFrame:
     """Positions ``(s, system, x)`` of the first system that another system confirms, as rounded means.
 
     The nearest position within the tolerance counts once per system. A session with one system keeps its positions.
@@ -305,7 +304,9 @@ def consensus_positions(lines: DataFrame, tolerance: float = 4, span: float = TI
     reach = others.select(
         "s", "system", F.col("x").alias("other"), (F.col("x") - tolerance).alias("_a"), (F.col("x") + tolerance + 1e-6).alias("_b")
     )
-    pairs = covering(first.filter("_n > 1"), reach, ["s"], "x", "_a", "_b", span, how="inner")
+    # Tiles a few tolerances wide: a position meets only what is near it.
+    tile = span or max(1.0, 8.0 * tolerance)
+    pairs = covering(first.filter("_n > 1"), reach, ["s"], "x", "_a", "_b", tile, how="inner")
     nearest_per_system = pairs.groupBy("s", "x", "system").agg(
         F.min(F.struct(F.abs(F.col("other") - F.col("x")).alias("d"), "other")).alias("_m")
     )

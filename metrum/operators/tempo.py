@@ -85,7 +85,11 @@ def beats_due(points: DataFrame, beats: DataFrame, lookahead: float, seconds: fl
     return due.filter(F.col("point").isNotNull())
 
 
-def section_at(points: DataFrame, sections: DataFrame, at: str = "t", seconds: float = TILE_SECONDS) -> DataFrame:
+SECTION_TILE = 300.0
+"""Seconds per tile of the section lookup; a tile's points are compared with the few sections that touch it."""
+
+
+def section_at(points: DataFrame, sections: DataFrame, at: str = "t", seconds: float = SECTION_TILE) -> DataFrame:
     """Add ``section``: index of the first section with start <= t < end, else null. ``idx`` identifies a point."""
     spans = sections.select("s", F.col("idx").alias("section"), "start_time", "end_time")
     pairs = covering(points, spans, ["s"], at, "start_time", "end_time", seconds)
@@ -205,6 +209,10 @@ def stable_transition(beats: DataFrame, sessions: DataFrame) -> DataFrame:
     gaps = F.zip_with(F.slice("_t", 2, reach + 1), "_t", lambda b, a: b - a)
     iv = once(head, "_iv", F.filter(gaps, lambda v: v.isNotNull()))
     expected = F.lit(60.0) / F.col("bpm")
+    # Necessary for any candidate, and cheap: four long intervals in the lead-in. Long means 1.25 x m with m >= 0.88 x
+    # the expected interval, hence at least 1.1 x (less a margin for rounding).
+    long_enough = F.filter(F.slice("_iv", 1, LEAD_CANDIDATES), lambda v: v >= expected * 1.0999)
+    iv = iv.filter(F.size(long_enough) >= 4)
     candidates = F.sequence(F.lit(4), F.least(F.size("_iv") - STEADY_ROWS, F.lit(LEAD_CANDIDATES)))
 
     def describe(i: Column) -> Column:

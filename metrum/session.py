@@ -11,6 +11,8 @@ REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot session in a join by session even where the rows must be shuffled again afterwards.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A hash partitioning by session alone also "satisfies" a window by (session, tile); Spark would then keep a
     # hot session in one task. Requiring all keys makes every tile its own unit of work.
     "spark.sql.requireAllClusterKeysForDistribution": "true",
