@@ -141,14 +141,20 @@ def _(v: Views):
     return D.match_gap_pattern(v.lines, GAPS)
 
 
+def _sparse_measures(v: Views):
+    """Measures with sparse masks: in dense ones every cell has a neighbour, so all would look alike."""
+    e = v.table("embeddings").select("vec_id", F.transform("embedding", lambda x: x > 0.1).alias("signature"))
+    return v.measures.drop("signature").join(e, "vec_id").drop("vec_id")
+
+
 @query("drop_overlap")
 def _(v: Views):
-    return D.drop_overlap(v.measures.drop("vec_id"), width=8).drop("signature")
+    return D.drop_overlap(_sparse_measures(v), width=8).drop("signature")
 
 
 @query("drop_overlap_vertical")
 def _(v: Views):
-    plain = v.measures.withColumn("label", F.lit(None).cast("long")).drop("vec_id")
+    plain = _sparse_measures(v).withColumn("label", F.lit(None).cast("long"))
     return D.drop_overlap(plain, width=8, vertical=True).drop("signature")
 
 
@@ -271,7 +277,21 @@ def _(v: Views):
     return R.edge_overlap(tall, 48, minimum=8, maximum=40, features=20).select("s", "idx", "overlap", "difference")
 
 
-@query("drop_transitions")
+@query(
+    "drop_transitions",
+    f"""
+    WITH RECURSIVE {MOVING_SQL}, {SHIFT_SQL},
+    h(s, idx, head) AS (
+        SELECT s, idx, idx FROM mf WHERE idx = 0
+        UNION ALL
+        SELECT n.s, n.idx, CASE WHEN {share_sql('r.signature', 'n.signature')} <= 0.35 THEN h.head ELSE n.idx END
+        FROM h JOIN mf n ON n.s = h.s AND n.idx = h.idx + 1 JOIN mf r ON r.s = h.s AND r.idx = h.head),
+    mv AS (SELECT s, idx FROM m WHERE m.m.d <= 0.24),
+    g AS (SELECT s, head, count(*) AS n, max(idx) AS last FROM h GROUP BY s, head),
+    bad AS (SELECT g.s, g.head FROM g JOIN mv a ON a.s = g.s AND a.idx = g.head - 1 JOIN mv b ON b.s = g.s AND b.idx = g.last
+            WHERE g.n < 3)
+    SELECT h.s, h.head, h.idx FROM h LEFT JOIN bad ON bad.s = h.s AND bad.head = h.head WHERE bad.s IS NULL""",
+)
 def _(v: Views):
     return R.drop_transitions(_moving(v), 0.35)[0]
 

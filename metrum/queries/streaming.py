@@ -148,7 +148,13 @@ def _(v: Views):
     return _micros(Z.heartbeats(Z.stalls(lines, "6 hours"), 1800), "beat_at")
 
 
-@query("stall_stream")
+@query(
+    "stall_stream",
+    f"""{STALL_SQL}
+    SELECT id, epoch_us(f) AS first_at, epoch_us(l) AS last_at, epoch_us(l) + 21600000000 AS stalled_at, n AS lines,
+           epoch_us(l) - epoch_us(f) >= 36000000000 AS timed_out FROM st
+    WHERE epoch_us(l) + 21600000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000""",
+)
 def _(v: Views):
     work = scratch(v.spark)
     lines = source(v, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
