@@ -270,7 +270,32 @@ def _(v: Views):
     return R.best_shift(_moving(v)).select("s", "idx", F.col("offset").cast("long").alias("offset"), "difference")
 
 
-@query("edge_overlap")
+def _near_cell(mask: str, first: str) -> str:
+    """Whether the cell (r, k) of a crop of ``z`` columns that begins at column ``first`` has a set cell within one."""
+    near = []
+    for dr in (-1, 0, 1):
+        for dc in (-1, 0, 1):
+            inside = f"r + {dr} BETWEEN 0 AND 3 AND k + {dc} BETWEEN 0 AND z - 1"
+            near.append(f"({inside} AND coalesce({mask}[(r + {dr}) * 48 + {first} + k + {dc} + 1], false))")
+    return "(" + " OR ".join(near) + ")"
+
+
+@query(
+    "edge_overlap",
+    f"""
+    WITH {MOVING_SQL},
+    tall AS (SELECT s, idx, signature[1:48] || signature[4:51] || signature[7:54] || signature[10:57] AS sig FROM mf),
+    p AS (SELECT s, idx, sig AS a, lead(sig) OVER (PARTITION BY s ORDER BY idx) AS b FROM tall),
+    c AS (SELECT s, idx, z, a[r * 48 + 48 - z + k + 1] AS x, b[r * 48 + k + 1] AS y,
+                 {_near_cell('a', '48 - z')} AS near_x, {_near_cell('b', '0')} AS near_y
+          FROM p, range(8, 41) t(z), range(0, 4) u(r), range(0, 40) w(k) WHERE k < z AND b IS NOT NULL),
+    d AS (SELECT s, idx, z, count(*) FILTER (x) + count(*) FILTER (y) AS total,
+                 count(*) FILTER (x AND NOT near_y) + count(*) FILTER (y AND NOT near_x) AS alone FROM c GROUP BY s, idx, z),
+    e AS (SELECT s, idx, z, alone / total AS diff, min(alone / total) OVER (PARTITION BY s, idx) AS best FROM d WHERE total >= 20),
+    f AS (SELECT s, idx, any_value(best) AS best, min(z) FILTER (diff <= least(0.22, best + 0.025)) AS z FROM e GROUP BY s, idx)
+    SELECT p.s, p.idx, CASE WHEN f.best <= 0.22 THEN f.z END AS "overlap", CASE WHEN f.best <= 0.22 THEN f.best END AS difference
+    FROM p LEFT JOIN f ON f.s = p.s AND f.idx = p.idx""",
+)
 def _(v: Views):
     moving = _moving(v)
     tall = moving.withColumn("signature", F.concat(*[F.slice("signature", 1 + 3 * k, 48) for k in range(4)]))
