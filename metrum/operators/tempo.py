@@ -304,7 +304,8 @@ class Tempo:
 def normalize_tempo(data: Tempo, rows: int = TILE_ROWS) -> Tempo:
     """Double the tempo where the beats run in double time, then rebuild sparse lead-ins; sections follow.
 
-    The tables between the two repairs are checkpointed, so neither is computed twice. Sections keep their bars in sessions that did not change.
+    The tables between the two repairs are checkpointed, so neither is computed twice.
+    Sections keep their bars in sessions that did not change.
     """
     from metrum.operators.sections import place_sections
 
