@@ -1,11 +1,13 @@
 """The queries of the pipeline's operators, and their SQL where SQL can express them."""
 
-from metrum.llm import decontamination, secret_scan
+from metrum.llm import decontamination, near_dedup, secret_scan
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
 }
 ORACLES = {
     "op1_decontamination": decontamination.OP1_SQL,
+    "op6_near_dedup": near_dedup.OP6_SQL,
 }
