@@ -178,7 +178,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 merged = np.concatenate([unpack(one), unpack(other)])
                 merged.sort()
                 both = int((merged[1:] == merged[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(merged) - both)
+                keep[i] = 100 * both >= percent * (len(merged) - both)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     first = pairs.join(sets.select(F.col("no").alias("a"), F.col("members").alias("one")), "a")
