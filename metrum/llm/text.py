@@ -94,7 +94,11 @@ class Words:
 
 def words(column: pa.Array, word_bytes: np.ndarray = SPACED) -> Words:
     """The words of all rows of a column."""
-    data, offsets = view(column)
+    return words_in(*view(column), word_bytes)
+
+
+def words_in(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = SPACED) -> Words:
+    """The words of consecutive rows of bytes."""
     inside = word_bytes[data]
     other = np.zeros(len(data), bool)
     other[1:] = inside[:-1]
