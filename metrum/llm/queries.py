@@ -1,12 +1,15 @@
 """The queries of the pipeline's operators, and their SQL where SQL can express them."""
 
-from metrum.llm import decontamination, near_dedup, secret_scan, substring_dedup
+from metrum.llm import decontamination, languages, near_dedup, pieces, quality, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op8_pieces": pieces.op8_pieces,
+    "op10_languages": languages.op10_languages,
 }
 ORACLES = {
     "op1_decontamination": decontamination.OP1_SQL,
