@@ -1,10 +1,11 @@
 """The queries of the pipeline's operators, and their SQL where SQL can express them."""
 
-from metrum.llm import decontamination, languages, near_dedup, pieces, quality, secret_scan, substring_dedup
+from metrum.llm import decontamination, languages, near_dedup, pieces, quality, retrieval, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_top_k": retrieval.op3_top_k,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_quality": quality.op5_quality,
     "op6_near_dedup": near_dedup.op6_near_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_decontamination": decontamination.OP1_SQL,
+    "op3_top_k": retrieval.OP3_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_near_dedup": near_dedup.OP6_SQL,
 }
