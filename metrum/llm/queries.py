@@ -1,6 +1,6 @@
 """The queries of the pipeline's operators, and their SQL where SQL can express them."""
 
-from metrum.llm import decontamination, languages, near_dedup, pieces, quality, retrieval, secret_scan, substring_dedup
+from metrum.llm import chat, decontamination, languages, near_dedup, pieces, quality, retrieval, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_quality": quality.op5_quality,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_chat": chat.op7_chat,
     "op8_pieces": pieces.op8_pieces,
     "op10_languages": languages.op10_languages,
 }
@@ -17,4 +18,5 @@ ORACLES = {
     "op3_top_k": retrieval.OP3_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_near_dedup": near_dedup.OP6_SQL,
+    "op7_chat": chat.OP7_SQL,
 }
