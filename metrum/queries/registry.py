@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from metrum.plans.durable import scratch
 from metrum.queries.views import Views, with_views
 from metrum.session import tune
 
+__all__ = ["ORACLES", "QUERIES", "query", "scratch"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh directory in the cluster's shared folder, or a local one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def query(name: str, sql: str | None = None) -> Callable:
     """Register ``function(views) -> DataFrame``; ``sql`` may name any view of :mod:`metrum.queries.views`."""
 
