@@ -23,6 +23,7 @@ from metrum.llm.tables import table
 from metrum.llm.text import map_arrow, prepare
 
 WINDOW = 13
+SHARE = 20
 BLOCK_WINDOWS = 1 << 16
 #: Bytes as the contract normalises them: A-Z lower, all but letters, digits and non-ASCII a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -131,28 +132,10 @@ def contamination(
     nothing is hit. Equal items count by their ids. Repeated document rows give repeated result rows. Other columns
     of either table are not read.
     """
-    spark = prepare(documents.sparkSession)
-    found = item_windows(benchmark, item_id, item_text, window)
-    total = found.count()
-    blocks = max(1, -(-total // block_windows))
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    parts = []
-    for block in range(blocks):
-        own = found if blocks == 1 else found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
-        pairs = spark.sparkContext.broadcast([tuple(row) for row in own.collect()])  # about block_windows rows
-        name = f"{spark.sparkContext.applicationId}:{pairs._jbroadcast.id()}"
-        parts.append(_scan(docs, name, pairs))
-    if blocks == 1:
-        return parts[0].drop("key")
-    merged = F.flatten(F.collect_list("ranges"))  # one list for each block
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part.where("n_hit > 0"))
-    # Equal rows (key) have equal hits; each block adds its own to one of them.
-    hits = every.where("n_hit > 0").dropDuplicates(["key", "ranges", "items"]).groupBy("key").agg(
-        merged.alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    base = docs.withColumn("key", _key())
-    joined = base.join(hits, "key", "left")
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    blocks = _blocks(documents, benchmark, item_id, item_text, window, block_windows)
+    if len(blocks) == 1:
+        return _scan(docs, *blocks[0]).drop("key")
 
     def unite(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -160,11 +143,67 @@ def contamination(
             rows.append((doc, *_row(whole, split(whole), merge([(r["start"], r["end"]) for r in ranges or ()])), items or []))
         return _batch(rows)
 
+    joined = docs.withColumn("key", _key("text")).join(_hits(docs, blocks), "key", "left")
     return map_arrow(joined.select("doc_id", "text", "ranges", "items"), unite, SCHEMA)
 
 
-def _key():
-    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
+def decontaminated(
+    documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, share: int = SHARE, block_windows: int = BLOCK_WINDOWS,
+) -> DataFrame:
+    """The rows, with all their columns, of which less than one word in ``share`` lies in windows of the benchmark."""
+    blocks = _blocks(documents, benchmark, item_id, item_text, window, block_windows)
+
+    def clean(n: int, ranges: list[tuple[int, int]]) -> bool:
+        hit = sum(high - low for low, high in ranges)
+        return hit == 0 or share * hit < n
+
+    if len(blocks) == 1:
+        name, pairs = blocks[0]
+
+        def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+            tree = _automaton(name, pairs)
+            own = (split(whole) for whole in batch.column(text).to_pylist())
+            return batch.filter(pa.array([clean(len(words), tree.scan(words)[0]) for words in own]))
+
+        return map_arrow(documents, scan, documents.schema)
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = ([(r["start"], r["end"]) for r in ranges or ()] for ranges in batch.column("_hit_ranges").to_pylist())
+        keep = [clean(len(split(whole)), merge(ranges)) for whole, ranges in zip(batch.column(text).to_pylist(), found)]
+        return batch.select(documents.columns).filter(pa.array(keep))
+
+    hits = _hits(documents.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), blocks)
+    joined = documents.withColumn("_hit_key", _key(text)).join(hits.select(F.col("key").alias("_hit_key"), F.col("ranges").alias("_hit_ranges")), "_hit_key", "left")
+    return map_arrow(joined.drop("_hit_key"), judge, documents.schema)
+
+
+def _blocks(documents: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, window: int, block_windows: int) -> list[tuple]:
+    """A name and the broadcast windows of each block, about ``block_windows`` of them."""
+    spark = prepare(documents.sparkSession)
+    found = item_windows(benchmark, item_id, item_text, window)
+    count = max(1, -(-found.count() // block_windows))
+    out = []
+    for block in range(count):
+        own = found if count == 1 else found.where(F.pmod(F.xxhash64("words"), F.lit(count)) == block)
+        pairs = spark.sparkContext.broadcast([tuple(row) for row in own.collect()])
+        out.append((f"{spark.sparkContext.applicationId}:{pairs._jbroadcast.id()}", pairs))
+    return out
+
+
+def _hits(docs: DataFrame, blocks: list[tuple]) -> DataFrame:
+    """(key, ranges, items) of the texts that are hit, over all blocks; equal texts have one key and one row."""
+    every = None
+    for name, pairs in blocks:
+        part = _scan(docs, name, pairs).where("n_hit > 0").select("key", "ranges", "items")
+        every = part if every is None else every.union(part)
+    once = every.distinct()  # a text repeated in many rows is hit alike in each
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    return once.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), items.alias("items"))
+
+
+def _key(text: str):
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
 def _batch(rows: list[tuple], keys: pa.Array | None = None) -> pa.RecordBatch:
@@ -185,7 +224,7 @@ def _scan(docs: DataFrame, name: str, pairs) -> DataFrame:
             words = split(text)
             ranges, items = tree.scan(words)
             rows.append((doc, *_row(text, words, ranges), items))
-            keys.append(hashlib.sha256(f"{'-' if doc is None else doc}:{text or ''}".encode("utf-8", "surrogatepass")).hexdigest())
+            keys.append(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest() if ranges else None)
         return _batch(rows, pa.array(keys, pa.string()))
 
     return map_arrow(docs, scan, SCHEMA + ", key string")

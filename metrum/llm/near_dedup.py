@@ -272,6 +272,21 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def deduplicated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """The rows, with all their columns, that stay when each component keeps the document of the smallest id.
+
+    Rows of one id are one document, of which one row stays. Rows without an id stay.
+    """
+    found = durable(near_duplicates(documents, doc_id, text, percent))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(doc_id))
+    stay = documents.join(gone, doc_id, "left_anti")
+    if again.isEmpty():
+        return stay
+    single = stay.join(again, doc_id, "left_anti")
+    return single.unionByName(stay.join(again, doc_id, "left_semi").dropDuplicates([doc_id]))
+
+
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's columns of :func:`near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -166,6 +166,16 @@ def scored(documents: DataFrame, net: Network, doc_id: str = "doc_id", text: str
     return map_arrow(docs, run, "doc_id long, score double")
 
 
+def accepted(documents: DataFrame, net: Network, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+    """The rows, with all their columns, whose whole text scores at least ``cutoff``."""
+    held = documents.sparkSession.sparkContext.broadcast(net)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(score(held.value, *view(batch.column(text))) >= cutoff))
+
+    return map_arrow(documents, run, documents.schema)
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metrum.llm.decontamination import merge
 from metrum.llm.tables import table
 from metrum.llm.text import map_arrow
 
@@ -38,6 +39,7 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 OPENSSH = b"openssh-key-v1\x00"
 DEPTH = 2
+MARK = "[SECRET]"
 
 
 def decode(text: str) -> bytes | None:
@@ -201,6 +203,33 @@ def secrets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return map_arrow(docs, scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
+def redact(text: str | None, mark: str = MARK) -> str | None:
+    """The text with every stretch of found spans replaced by one mark."""
+    if not text:
+        return text
+    out, at = [], 0
+    for low, high in merge([(low, high) for _, low, high in find(text)]):
+        out += [text[at:low], mark]
+        at = high
+    return "".join([*out, text[at:]])
+
+
+def redacted(documents: DataFrame, text: str = "text", length: str | None = "n_chars", mark: str = MARK) -> DataFrame:
+    """All rows and columns, secrets replaced by ``mark``; ``length`` names a column that counts the text's characters."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = batch.column(text).to_pylist()
+        clean = [redact(whole, mark) for whole in own]
+        columns = dict(zip(batch.schema.names, batch.columns))
+        columns[text] = pa.array(clean, batch.schema.field(text).type)
+        if length in columns:
+            counts = [old if before == after else len(after) for before, after, old in zip(own, clean, columns[length].to_pylist())]
+            columns[length] = pa.array(counts, batch.schema.field(length).type)
+        return pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+
+    return map_arrow(documents, run, documents.schema)
+
+
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of :func:`secrets`."""
 

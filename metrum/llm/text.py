@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BATCH_BYTES = 16 << 20
 """Bytes of text in one Arrow batch handed to Python."""
@@ -26,7 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType) -> DataFrame:
     """Apply a function of one Arrow batch; it may return no rows at all."""
     prepare(df.sparkSession)
 
