@@ -168,10 +168,12 @@ def decontaminated(
 
         return map_arrow(documents, scan, documents.schema)
 
+    columns = documents.columns
+
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = ([(r["start"], r["end"]) for r in ranges or ()] for ranges in batch.column("_hit_ranges").to_pylist())
         keep = [clean(len(split(whole)), merge(ranges)) for whole, ranges in zip(batch.column(text).to_pylist(), found)]
-        return batch.select(documents.columns).filter(pa.array(keep))
+        return batch.select(columns).filter(pa.array(keep))
 
     hits = _hits(documents.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), blocks)
     joined = documents.withColumn("_hit_key", _key(text)).join(hits.select(F.col("key").alias("_hit_key"), F.col("ranges").alias("_hit_ranges")), "_hit_key", "left")
