@@ -113,17 +113,19 @@ def nearest_within(
 # --- grid repair ---------------------------------------------------------------------------------------------
 
 
+def median_of_eight(gaps: DataFrame, out: str, rows: int = TILE_ROWS) -> DataFrame:
+    """Add the median of each interval ``iv`` and the seven after it; null where fewer follow."""
+    spread, window, owned = halo(gaps, ["s"], after=7, rows=rows)
+    eight = F.array_sort(F.array(*[F.lead("iv", k).over(window) for k in range(8)]))
+    middle = F.when(eight[7].isNotNull(), eight[3] * 0.5 + eight[4] * 0.5)
+    return spread.withColumn(out, middle).filter(owned)
+
+
 def double_time_flag(beats: DataFrame, sessions: DataFrame, rows: int = TILE_ROWS) -> DataFrame:
     """Per session ``double_time``: at least four eight-interval windows lie near half the expected interval."""
-    spread, window, owned = halo(intervals(beats, rows), ["s"], after=7, rows=rows)
-    frame = window.rowsBetween(0, 7)
-    medians = (
-        spread.withColumn("_median", F.percentile("iv", F.lit(0.5)).over(frame))
-        .withColumn("_full", F.count("iv").over(frame) == 8)
-        .filter(owned)
-    )
+    medians = median_of_eight(intervals(beats, rows), "_median", rows)
     expected = F.lit(60.0) / F.col("bpm")
-    short = F.col("_full") & (F.col("_median") >= expected * 0.35) & (F.col("_median") <= expected * 0.65)
+    short = F.col("_median").isNotNull() & (F.col("_median") >= expected * 0.35) & (F.col("_median") <= expected * 0.65)
     counted = (
         medians.join(sessions.select("s", "bpm"), "s")
         .groupBy("s")

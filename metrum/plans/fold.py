@@ -1,20 +1,27 @@
 """Exact folds over ordered rows, run tile by tile.
 
 Some operators compare each row with the last row they kept, so no window form exists. A fold is given as a *step*
-over the rows of one tile and a small state; the state leaving one tile enters the next. Tiles run in parallel on a
-guessed entry state (that of a session's start). The true entry states then follow from the exits of the
-neighbours, and only tiles whose entry differs from the one they ran with are run again, until none is left. The
-first tile is always right, so every round settles at least one more tile; folds that restart on clear evidence, as
-these do, settle in two or three rounds. The result equals the sequential fold.
-
-``fold`` takes a step over a pandas frame, for array states. ``fold_expr`` takes a step as a column expression, for
-scalar states and many small sessions: its tiles never leave the JVM.
+over the rows of one tile and a small state; the state leaving one tile enters the next. Tiles run in parallel.
+
+A tile's run is a transition from an entry state to an exit state. Every tile first runs on a guess (the state of a
+session's start); then each round runs it on those exits of the tile before that it hasn't met. Folds that restart on
+clear evidence meet few states: once no tile meets a new one, the transitions hold the true path of every session, and
+it is found by composing them over 1, 2, 4, ... tiles. A session of one tile needs no run but the one that emits. The
+result equals the sequential fold, whatever the number of tiles.
+
+The rounds are as many as states met by one tile, so a state should hold what later rows depend on and nothing else:
+a number that is only carried along (the head of a group, the start of a page) is left out and filled in afterwards
+with :func:`metrum.plans.ordered.running`.
+
+``fold`` takes a step over a pandas frame, ``fold_rows`` one over numpy columns for many small sessions, and
+``fold_expr`` one as a column expression, whose tiles never leave the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,40 +29,55 @@ from pyspark.sql import functions as F
 from metrum.plans.durable import durable
 from metrum.plans.ordered import TILE_ROWS, row_tile
 
-Step = Callable[[pd.DataFrame, "list[float] | None", bool], "tuple[pd.DataFrame, list[float] | None]"]
+State = "list[float] | bytes | None"
+Step = Callable[[pd.DataFrame, State, bool], "tuple[pd.DataFrame, State]"]
 """(rows of a tile in order, entry state, is last tile) -> (output rows, exit state)"""
 
+RowStep = Callable[["dict[str, np.ndarray]", "list[float] | None", bool], "tuple[dict[str, np.ndarray], list[float] | None]"]
+"""The same over columns."""
+
 Pass = Callable[[DataFrame], DataFrame]
 
+CHUNK = 64
+"""Rows whose outputs ``fold_expr`` appends one by one before they are put aside."""
+
 
-def _settle(tiled: DataFrame, keys: list[str], state_type: str, leave: Pass, emit: Pass, one_tile: bool) -> DataFrame:
+def _settle(tiled: DataFrame, keys: list[str], state_type: str, leave: Pass, emit: Pass) -> DataFrame:
     """Find the true entry state of every tile, then emit.
 
-    ``leave`` turns rows with ``_entry`` and ``_last`` into one row per tile with ``_entry`` and ``_exit``.
+    ``leave`` turns rows with ``_entry``, its hash ``_run`` and ``_last`` into one row per tile and run with ``_exit``.
     """
     group = [*keys, "_tile"]
-    guessed = tiled.withColumn("_entry", F.lit(None).cast(state_type))
-    if one_tile:
-        return emit(guessed.withColumn("_last", F.lit(True)))
-    exits = durable(leave(guessed.withColumn("_last", F.lit(False))))
     across = Window.partitionBy(*keys).orderBy("_tile")
-    while True:
-        due = exits.withColumn("_due", F.lag("_exit").over(across))
-        wrong = due.filter(~F.col("_due").eqNullSafe(F.col("_entry")))
-        stale = durable(wrong.select(*group, F.col("_due").alias("_entry")))
-        if stale.isEmpty():
-            break
-        again = leave(tiled.join(stale, group).withColumn("_last", F.lit(False)))
-        settled = exits.join(stale.select(*group), group, "left_anti")
-        exits = durable(settled.select(*again.columns).unionByName(again))
-    entries = exits.select(*group, "_entry", F.lead("_tile").over(across).isNull().alias("_last"))
+    place = F.row_number().over(across).alias("_k")
+    tiles = durable(tiled.select(*group).distinct().select(*group, place, F.lead("_tile").over(across).isNull().alias("_last")))
+    nothing = F.lit(None).cast(state_type)
+    run = F.xxhash64("_entry").alias("_run")
+    begun = tiles.filter("_k = 1").select(*keys, "_k", nothing.alias("_entry"))
+    states = begun.select("*", run)
+    due = durable(tiles.filter(~F.col("_last")).select(*group, "_k", nothing.alias("_entry")).select("*", run))
+    if not due.isEmpty():
+        runs: DataFrame | None = None
+        while not due.isEmpty():
+            exits = leave(tiled.join(due.drop("_k"), group).withColumn("_last", F.lit(False)))
+            placed = exits.join(tiles.select(*group, "_k"), group).select(*keys, "_k", "_run", "_exit")
+            runs = durable(placed if runs is None else runs.unionByName(placed))
+            offered = runs.select(*keys, (F.col("_k") + 1).alias("_k"), F.col("_exit").alias("_entry")).select("*", run).dropDuplicates([*keys, "_k", "_run"])
+            fresh = offered.join(runs.select(*keys, "_k", "_run"), [*keys, "_k", "_run"], "left_anti")
+            due = durable(fresh.join(tiles.filter(~F.col("_last")).drop("_last"), [*keys, "_k"]).select(*group, "_k", "_entry", "_run"))
+        jump = durable(runs.select(*keys, "_k", "_run", F.xxhash64("_exit").alias("_to")))
+        path, reach = durable(states.select(*keys, "_k", "_run")), 1
+        while not jump.isEmpty():
+            further = path.join(jump, [*keys, "_k", "_run"]).select(*keys, (F.col("_k") + reach).alias("_k"), F.col("_to").alias("_run"))
+            path = durable(path.union(further))
+            after = jump.select(*keys, (F.col("_k") - reach).alias("_k"), F.col("_run").alias("_to"), F.col("_to").alias("_end"))
+            jump = durable(jump.join(after, [*keys, "_k", "_to"]).select(*keys, "_k", "_run", F.col("_end").alias("_to")))
+            reach *= 2
+        states = path.join(offered.unionByName(states), [*keys, "_k", "_run"]).dropDuplicates([*keys, "_k"])
+    entries = tiles.join(states, [*keys, "_k"]).select(*group, "_entry", "_run", "_last")
     return emit(tiled.join(entries, group))
 
 
-def _fits_one_tile(df: DataFrame, idx: str, rows: int) -> bool:
-    return df.filter(F.col(idx) >= rows).limit(1).count() == 0
-
-
 def fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,7 +89,8 @@ def fold(
 ) -> DataFrame:
     """Run ``step`` over each key's rows in order of ``idx`` and, within one ``idx``, of the columns ``then``.
 
-    ``schema`` describes the output rows without keys. Rows of one ``idx`` never part; tiles hold ``rows`` of them.
+    ``schema`` describes the output rows without keys. Rows of one ``idx`` never part; tiles hold ``rows`` of them. A
+    state is a list of numbers, or bytes.
     """
     keys, order = list(keys), [idx, *then]
     group = [*keys, "_tile"]
@@ -76,25 +99,93 @@ def fold(
 
     def emit_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values(order, kind="stable", ignore_index=True)
-        out, _ = step(ordered, _state(ordered["_entry"].iloc[0]), bool(ordered["_last"].iloc[0]))
+        out, _ = step(ordered, _unpacked(ordered["_entry"].iloc[0]), bool(ordered["_last"].iloc[0]))
         for position, key in enumerate(keys):
             out.insert(position, key, ordered[key].iloc[0])
         return out
 
     def leave_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values(order, kind="stable", ignore_index=True)
-        _, state = step(ordered, _state(ordered["_entry"].iloc[0]), False)
         head = ordered.iloc[0]
-        return pd.DataFrame([[*[head[c] for c in group], head["_entry"], state]], columns=[*group, "_entry", "_exit"])
+        _, state = step(ordered, _unpacked(head["_entry"]), False)
+        return pd.DataFrame([[*[head[c] for c in group], head["_run"], _packed(state)]], columns=[*group, "_run", "_exit"])
 
-    exit_schema = f"{key_ddl}, _tile long, _entry array<double>, _exit array<double>"
+    exit_schema = f"{key_ddl}, _tile long, _run long, _exit binary"
     return _settle(
         tiled,
         keys,
-        "array<double>",
-        lambda rows_in: rows_in.groupBy(*group).applyInPandas(leave_tile, exit_schema),
+        "binary",
+        lambda rows_in: rows_in.groupBy(*group, "_run").applyInPandas(leave_tile, exit_schema),
         lambda rows_in: rows_in.groupBy(*group).applyInPandas(emit_tile, f"{key_ddl}, {schema}"),
-        _fits_one_tile(df, idx, rows),
+    )
+
+
+def _packed(state) -> bytes | None:
+    """A state as bytes, marked by what it was."""
+    if state is None:
+        return None
+    return b"b" + state if isinstance(state, bytes) else b"f" + np.asarray(state, np.float64).tobytes()
+
+
+def _unpacked(value):
+    if value is None:
+        return None
+    value = bytes(value)
+    return value[1:] if value[:1] == b"b" else np.frombuffer(value[1:], np.float64).tolist()
+
+
+def fold_rows(
+    df: DataFrame, keys: Sequence[str], idx: str, columns: Sequence[str], step: RowStep, schema: str, rows: int = TILE_ROWS
+) -> DataFrame:
+    """As ``fold``, for many small sessions: sorted partitions are cut into tiles in Python, without a call for each."""
+    keys = list(keys)
+    group, names = [*keys, "_tile"], [idx, *[c for c in columns if c != idx]]
+    tiled = df.select(*keys, *names).withColumn("_tile", row_tile(idx, rows))
+    key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+    out_names = [part.split()[0] for part in schema.split(",")]
+
+    def tiles(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+        """Frames of whole tiles."""
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = pdf[by].iloc[-1]
+            open_rows = (pdf[by] == last).all(axis=1).to_numpy()
+            done = len(pdf) - int(open_rows[::-1].argmin() if not open_rows.all() else len(pdf))
+            if done:
+                yield pdf.iloc[:done]
+            held = pdf.iloc[done:]
+        if held is not None and len(held):
+            yield held
+
+    def runner(by: list[str], leaving: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in tiles(batches, by):
+                change = (pdf[by].to_numpy()[1:] != pdf[by].to_numpy()[:-1]).any(axis=1)
+                cut = [0, *(np.flatnonzero(change) + 1).tolist(), len(pdf)]
+                held = {c: pdf[c].to_numpy() for c in [*names, *by, "_entry", "_last"]}
+                parts: list[dict] = []
+                for low, high in zip(cut[:-1], cut[1:]):
+                    entry = _unpacked(held["_entry"][low])
+                    out, state = step({c: held[c][low:high] for c in names}, entry, bool(held["_last"][low]) and not leaving)
+                    if leaving:
+                        parts.append({c: [held[c][low]] for c in by} | {"_exit": [_packed(state)]})
+                    else:
+                        size = len(out[out_names[0]])
+                        parts.append({k: np.repeat(held[k][low], size) for k in keys} | out)
+                yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) if not leaving else [p[c][0] for p in parts] for c in parts[0]})
+
+        return run
+
+    def mapped(rows_in: DataFrame, by: list[str], leaving: bool, ddl: str) -> DataFrame:
+        return rows_in.repartition(*by).sortWithinPartitions(*by, idx).mapInPandas(runner(by, leaving), ddl)
+
+    return _settle(
+        tiled,
+        keys,
+        "binary",
+        lambda rows_in: mapped(rows_in, [*group, "_run"], True, f"{key_ddl}, _tile long, _run long, _exit binary"),
+        lambda rows_in: mapped(rows_in, group, False, f"{key_ddl}, {schema}"),
     )
 
 
@@ -111,44 +202,46 @@ def fold_expr(
 ) -> DataFrame:
     """Fold as expressions. ``step(state, row)`` gives the next state and the row to put out, or null for none.
 
-    ``finish(state)`` gives a last row of the session. A tile is collected as one array of at most ``rows`` structs.
+    ``finish(state)`` gives a last row of the session. A tile is collected as one array of at most ``rows`` structs,
+    and folded in chunks, so that what is appended to stays short.
     """
     keys = list(keys)
     group = [*keys, "_tile"]
     tiled = df.select(*keys, idx, *[c for c in columns if c != idx]).withColumn("_tile", row_tile(idx, rows))
     nothing = F.lit(None).cast(out_type)
 
-    def folded(rows_in: DataFrame) -> DataFrame:
+    def folded(rows_in: DataFrame, by: list[str]) -> DataFrame:
         entry = F.struct(idx, *[c for c in columns if c != idx])
-        tiles = rows_in.groupBy(*group).agg(
+        tiles = rows_in.groupBy(*by).agg(
             F.array_sort(F.collect_list(entry)).alias("_rows"),
             F.first("_entry").alias("_entry"),
             F.bool_and("_last").alias("_last"),
         )
-        zero = F.struct(F.col("_entry").alias("state"), F.array().cast(f"array<{out_type}>").alias("out"))
 
         def merge(acc: Column, row: Column) -> Column:
             state, out = step(acc["state"], row)
             grown = F.when(out.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], out))
             return F.struct(state.cast(state_type).alias("state"), grown.alias("out"))
 
-        return tiles.withColumn("_f", F.aggregate("_rows", zero, merge))
+        def chunk(acc: Column, start: Column) -> Column:
+            zero = F.struct(acc["state"].alias("state"), F.array().cast(f"array<{out_type}>").alias("out"))
+            own = F.aggregate(F.slice("_rows", start, F.lit(CHUNK)), zero, merge)
+            return F.transform(F.array(own), lambda f: F.struct(f["state"].alias("state"), F.array_append(acc["outs"], f["out"]).alias("outs")))[0]
+
+        zero = F.struct(F.col("_entry").alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("outs"))
+        starts = F.sequence(F.lit(1), F.size("_rows"), F.lit(CHUNK))
+        return tiles.withColumn("_f", F.aggregate(starts, zero, chunk))
 
     def emit(rows_in: DataFrame) -> DataFrame:
-        done = folded(rows_in)
+        done = folded(rows_in, group)
         last = finish(F.col("_f.state")) if finish else nothing
         tail = F.filter(F.array(F.when(F.col("_last"), last)), lambda r: r.isNotNull())
-        return done.select(*keys, F.inline(F.concat(F.col("_f.out"), tail)))
+        return done.select(*keys, F.inline(F.concat(F.flatten("_f.outs"), tail)))
 
     return _settle(
         tiled,
         keys,
         state_type,
-        lambda rows_in: folded(rows_in).select(*group, "_entry", F.col("_f.state").alias("_exit")),
+        lambda rows_in: folded(rows_in, [*group, "_run"]).select(*group, "_run", F.col("_f.state").alias("_exit")),
         emit,
-        _fits_one_tile(df, idx, rows),
     )
-
-
-def _state(value) -> list[float] | None:
-    return None if value is None else [float(item) for item in value]
