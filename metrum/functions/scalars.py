@@ -195,6 +195,21 @@ def revision(updated: Col, deleted_at: Col, device: Col, digest: Col, deleted: C
     )
 
 
+def revision_text(of: Col) -> Column:
+    """A revision as stored: time, device and digest, separated by bars."""
+    r = col(of)
+    return F.when(r.isNotNull(), F.concat_ws("|", r["at"].cast("string"), r["device"], r["digest"]))
+
+
+def parse_revision(c: Col) -> Column:
+    """The revision in a stored text; null for null, empty or malformed text. A device may hold bars itself."""
+    parts = F.split(col(c), r"\|", -1)
+    n = F.size(parts)
+    at = parts[0].try_cast("double")
+    device = F.array_join(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), "|")
+    return F.when((n >= 3) & at.isNotNull(), F.struct(at.alias("at"), device.alias("device"), F.element_at(parts, -1).alias("digest")))
+
+
 # --- labels and names ----------------------------------------------------------------------------------------
 
 

@@ -146,10 +146,14 @@ def next_in_group(groups: DataFrame) -> DataFrame:
     return neighbours(placed, ["group_id"], {"next_id": lambda w: F.lead("id").over(w)}, after=1)
 
 
-def apply_overrides(folders: DataFrame, settings: DataFrame) -> DataFrame:
-    """Folder flags ``(user, folder, collapsed)`` replace the shared ``collapsed`` of that folder for that user."""
+def apply_overrides(folders: DataFrame, settings: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """All folders for every user: flags ``(user, folder, collapsed)`` replace the shared ``collapsed`` for their user.
+
+    ``users`` defaults to those with a stored flag. Every user sees every folder, so the result is their product.
+    """
     stored = settings.select("user", "folder", F.col("collapsed").alias("_own"))
-    joined = folders.join(stored, "folder", "left")
+    everyone = settings.select("user").distinct() if users is None else users.select("user").distinct()
+    joined = everyone.crossJoin(folders).join(stored, ["user", "folder"], "left")
     return joined.withColumn("collapsed", F.coalesce("_own", "collapsed")).drop("_own")
 
 

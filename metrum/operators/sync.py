@@ -242,7 +242,7 @@ def group_legacy_index(index: DataFrame, prefix: str = "sessions") -> DataFrame:
 
     Entries stay in long form: a file map per session would gather all keys of a session in one row.
     """
-    rest = F.substring("key", len(prefix) + 2, 100000)
+    rest = F.col("key").substr(F.lit(len(prefix) + 2), F.length("key"))
     parts = F.split(rest, "/")
     own = F.col("key").startswith(f"{prefix}/") & (F.size(parts) >= 2)
     shared = parts[0].isin("manifest.json", "folders.json", "sync-index.json")

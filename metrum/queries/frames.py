@@ -160,8 +160,10 @@ def _(v: Views):
 
 @query("split_at_boundaries")
 def _(v: Views):
-    ink = v.tracks.filter("track = 'N'").select("s", "idx", (F.abs("level") + F.col("idx") % 3).alias("amount"))
-    marks = v.lines.select("s", F.floor(F.col("value") / 9).cast("long").alias("x")).filter("x % 4 = 0")
+    panorama = F.concat_ws("/", "s", "track").alias("s")
+    ink = v.tracks.select(panorama, "idx", (F.abs("level") + F.col("idx") % 3).alias("amount"))
+    marks = v.lines.select("s", F.floor(F.col("value") / 9).cast("long").alias("x"))
+    marks = v.tracks.select("s", "track").distinct().join(marks, "s").select(panorama, "x")
     return D.split_at_boundaries(ink, marks, 60)
 
 
@@ -447,7 +449,7 @@ def _(v: Views):
 @query(
     "consensus_positions",
     """
-    WITH l AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS system, 5 * l_partkey AS x FROM lineitem WHERE l_linenumber <= 1 + l_suppkey % 4),
+    WITH l AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS system, 5 * l_partkey AS x FROM lineitem),
     n AS (SELECT s, min(system) AS f, count(DISTINCT system) AS n FROM l GROUP BY s),
     a AS (SELECT l.s, l.x, n.n FROM l JOIN n ON n.s = l.s AND l.system = n.f),
     near AS (SELECT a.s, a.x, l.system, min({'d': abs(l.x - a.x), 'o': l.x}) AS m
@@ -458,7 +460,7 @@ def _(v: Views):
 )
 def _(v: Views):
     lines = (
-        v.table("lineitem").filter(F.col("l_linenumber") <= 1 + F.col("l_suppkey") % 4)
+        v.table("lineitem")
         .select(F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("system"), (5 * F.col("l_partkey")).alias("x")).distinct()
     )
     return R.consensus_positions(lines, 40)

@@ -127,8 +127,9 @@ def _(v: Views):
     """
     WITH shared AS (SELECT DISTINCT folder, folder % 2 = 0 AS collapsed FROM v_folders),
     own AS (SELECT s_suppkey AS user_id, s_suppkey % 10 AS folder, s_suppkey % 3 = 0 AS collapsed FROM supplier)
-    SELECT f.folder, o.user_id AS "user", coalesce(o.collapsed, f.collapsed) AS collapsed
-    FROM shared f LEFT JOIN own o ON o.folder = f.folder""",
+    SELECT f.folder, u.user_id AS "user", coalesce(o.collapsed, f.collapsed) AS collapsed
+    FROM shared f CROSS JOIN (SELECT DISTINCT user_id FROM own) u
+    LEFT JOIN own o ON o.folder = f.folder AND o.user_id = u.user_id""",
 )
 def _(v: Views):
     shared = v.folders.select("folder").distinct().withColumn("collapsed", F.col("folder") % 2 == 0)

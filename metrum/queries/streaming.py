@@ -179,8 +179,10 @@ def _(v: Views):
 @query(
     "sync_stream",
     """
-    SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'none' ELSE 'download' END AS action, CAST(NULL AS VARCHAR) AS conflict,
-           false AS deletes_local, CAST(NULL AS VARCHAR) AS removes FROM documents""",
+    WITH t AS (SELECT doc_id AS id, doc_id % 8 = 0 AS buried, (53 * doc_id) % 100 AS since FROM documents)
+    SELECT id, CASE WHEN buried AND since >= 10 THEN 'mark_deleted' WHEN buried AND since >= 5 THEN 'download'
+                    WHEN id % 2 = 0 THEN 'none' ELSE 'download' END AS action, CAST(NULL AS VARCHAR) AS conflict,
+           buried AND since >= 10 AS deletes_local, CASE WHEN buried AND since >= 10 THEN 'all' END AS removes FROM t""",
 )
 def _(v: Views):
     work = scratch(v.spark)
@@ -192,7 +194,7 @@ def _(v: Views):
     )
     local = v.hashes.select("id", F.when(F.col("id") % 2 == 0, F.col("h")).otherwise(F.concat("h", F.lit("L"))).alias("digest"), F.lit(5.0).alias("modified_at"))
     remembered = v.hashes.select("id", local_digest(), F.lit(None).cast("struct<at:double,device:string,digest:string>").alias("remote_revision"))
-    drain(Z.sync_stream(changes, local, remembered, v.tombstones.limit(0), f"{work}/out", 50.0), work)
+    drain(Z.sync_stream(changes, local, remembered, v.tombstones, f"{work}/out", 50.0), work)
     return Z.read_epochs(v.spark, f"{work}/out").drop("epoch")
 
 

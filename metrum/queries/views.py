@@ -142,9 +142,9 @@ SQL = {
                CAST(round_even(l_discount * 100, 0) AS BIGINT) - 5 AS level
         FROM lineitem""",
     "v_frets": """
-        SELECT DISTINCT l_orderkey AS s, l_linenumber - 1 AS string,
+        SELECT l_orderkey AS s, (l_linenumber - 1) % 6 AS string,
                CAST(floor(max(l_quantity)) AS BIGINT) % 12 AS fret
-        FROM lineitem WHERE l_linenumber BETWEEN 1 AND 6 GROUP BY l_orderkey, l_linenumber""",
+        FROM lineitem GROUP BY l_orderkey, (l_linenumber - 1) % 6""",
     "v_notes": "SELECT l_suppkey AS s, CAST(floor(l_quantity) AS BIGINT) AS note FROM lineitem",
 }
 
@@ -512,8 +512,7 @@ class Views:
     def _make_frets(self) -> DataFrame:
         return (
             self.table("lineitem")
-            .filter(F.col("l_linenumber").between(1, 6))
-            .groupBy(F.col("l_orderkey").alias("s"), (F.col("l_linenumber") - 1).cast("long").alias("string"))
+            .groupBy(F.col("l_orderkey").alias("s"), ((F.col("l_linenumber") - 1) % 6).cast("long").alias("string"))
             .agg((F.floor(F.max("l_quantity")).cast("long") % 12).alias("fret"))
         )
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metrum.functions.scalars import parse_revision
 from metrum.sources import schemas
 
 
@@ -107,7 +108,7 @@ def read_local_state(spark: SparkSession, path: str) -> DeviceState:
     """State a device remembers: digests by session, tombstones, and the device itself."""
     d = _document(spark, path, schemas.LOCAL_STATE)
     sessions = d.select(F.explode("sessions").alias("id", "_e")).select(
-        "id", F.col("_e.localDigest").alias("local_digest"), F.col("_e.remoteRevision").alias("remote_revision")
+        "id", F.col("_e.localDigest").alias("local_digest"), parse_revision("_e.remoteRevision").alias("remote_revision")
     )
     tombs = d.select(F.explode("tombstones").alias("id", "_e")).select(
         "id", F.col("_e.deletedAt").alias("deleted_at"), F.col("_e.deviceId").alias("device")
@@ -118,6 +119,18 @@ def read_local_state(spark: SparkSession, path: str) -> DeviceState:
     return DeviceState(sessions, tombs, devices)
 
 
+def read_local_state_lines(spark: SparkSession, path: str) -> DeviceState:
+    """The same from the folders that ``write_local_state`` writes."""
+    sessions = spark.read.schema(schemas.LOCAL_SESSION).json(f"{path}/sessions")
+    tombs = spark.read.schema(schemas.TOMBSTONE).json(f"{path}/tombstones")
+    devices = spark.read.schema(schemas.DEVICE).json(f"{path}/device")
+    return DeviceState(
+        sessions.select("id", F.col("localDigest").alias("local_digest"), parse_revision("remoteRevision").alias("remote_revision")),
+        tombs.select("id", F.col("deletedAt").alias("deleted_at"), F.col("deviceId").alias("device")),
+        devices.select(F.col("deviceId").alias("device"), F.coalesce("deviceName", F.lit("device")).alias("name"), F.col("workspaceKey").alias("workspace")),
+    )
+
+
 def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("_d")).select("_d.*")
 

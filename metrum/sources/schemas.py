@@ -36,4 +36,10 @@ LOCAL_STATE = """
     sessions map<string,struct<localDigest:string,remoteRevision:string>>,
     tombstones map<string,struct<deletedAt:double,deviceId:string>>"""
 
+LOCAL_SESSION = "id string, localDigest string, remoteRevision string"
+
+TOMBSTONE = "id string, deletedAt double, deviceId string"
+
+DEVICE = "deviceId string, deviceName string, workspaceKey string"
+
 JOB_EVENT = "id string, at timestamp, seq bigint, stage string, message string, done boolean, error string, cancel boolean"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metrum.functions.scalars import revision_text
 from metrum.plans.ordered import positions
 
 INDEX_KEYS = 50_000
@@ -26,11 +27,28 @@ def write_library(library: DataFrame, path: str) -> None:
     library.write.mode("overwrite").json(path)
 
 
-def write_jobs(jobs: DataFrame, path: str, limit: int = 200) -> None:
-    """The most recently updated records."""
-    from metrum.operators.jobs import latest_jobs
+def write_jobs(jobs: DataFrame, path: str) -> None:
+    """All records. To keep only the latest ones is :func:`metrum.operators.jobs.latest_jobs`."""
+    jobs.write.mode("overwrite").json(path)
 
-    latest_jobs(jobs.withColumn("updated", F.col("updated_at")), limit).drop("updated").write.mode("overwrite").json(path)
+
+def write_folders(folders: DataFrame, path: str) -> None:
+    """One JSON line per folder document."""
+    folders.write.mode("overwrite").json(path)
+
+
+def write_local_state(sessions: DataFrame, tombstones: DataFrame, devices: DataFrame, path: str) -> None:
+    """What a device remembers, as JSON lines in a folder for each table; the inverse of ``read_local_state_lines``.
+
+    The document form holds a whole device in one row; lines hold any number of sessions.
+    """
+    parts = {
+        "sessions": sessions.select("id", F.col("local_digest").alias("localDigest"), revision_text("remote_revision").alias("remoteRevision")),
+        "tombstones": tombstones.select("id", F.col("deleted_at").alias("deletedAt"), F.col("device").alias("deviceId")),
+        "device": devices.select(F.col("device").alias("deviceId"), F.col("name").alias("deviceName"), F.col("workspace").alias("workspaceKey")),
+    }
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")
 
 
 def write_sync_index(index: DataFrame, path: str, keys: int = INDEX_KEYS) -> None:

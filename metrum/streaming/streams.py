@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from metrum.functions.scalars import stage_of
-from metrum.operators.sync import reconcile
+from metrum.operators.sync import apply_reconciled, reconcile
 from metrum.plans.ordered import Scan, running, time_tile
 
 LATENESS = "10 minutes"
@@ -99,11 +99,14 @@ def change_log(events: DataFrame, keys: tuple[str, ...] = ("id",), seconds: floa
     return seen.filter(F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(triple)).drop("_prev")
 
 
-def change_log_stream(events: DataFrame, path: str, state_path: str) -> DataStreamWriter:
+def change_log_stream(events: DataFrame, path: str, state_path: str, late_path: str | None = None) -> DataStreamWriter:
     """Append changes to ``path``; the last event of each job is kept by epoch under ``state_path``.
 
-    Events older than a job's last one are dropped, as in the batch before them.
+    What was appended can't change any more, so events older than the last one of their job in an earlier batch go to
+    ``late_path`` (``path`` with ``_late``) instead. Log and late events together hold every change of the batch twin:
+    ``change_log`` over both is the twin's log.
     """
+    aside = late_path or f"{path}_late"
     columns = ["id", "at", "seq", *TRIPLE]
 
     def sink(batch: DataFrame, epoch: int) -> None:
@@ -112,8 +115,10 @@ def change_log_stream(events: DataFrame, path: str, state_path: str) -> DataStre
         if epoch > 0:
             known = spark.read.parquet(epoch_path(state_path, epoch - 1))
             last = known.select("id", F.struct("at", "seq").alias("_last"))
-            rows = rows.join(last, "id", "left").filter(F.col("_last").isNull() | (F.struct("at", "seq") > F.col("_last")))
-            rows = rows.drop("_last").unionByName(known.withColumn("_old", F.lit(True)))
+            rows = rows.join(last, "id", "left")
+            fresh = F.col("_last").isNull() | (F.struct("at", "seq") > F.col("_last"))
+            rows.filter(~fresh).select(*columns).write.mode("overwrite").parquet(epoch_path(aside, epoch))
+            rows = rows.filter(fresh).drop("_last").unionByName(known.withColumn("_old", F.lit(True)))
         change_log(rows).filter("not _old").select(*columns).write.mode("overwrite").parquet(epoch_path(path, epoch))
         newest = rows.groupBy("id").agg(F.max_by(F.struct(*columns[1:]), F.struct("at", "seq")).alias("_r"))
         newest.select("id", "_r.*").write.mode("overwrite").parquet(epoch_path(state_path, epoch))
@@ -165,12 +170,11 @@ def stall_stream(lines: DataFrame, path: str, quiet: str, limit: float | None =
 
 
 def play_stream(plays: DataFrame, path: str) -> DataStreamWriter:
-    """Append plays ``(id, visit, at)``, one per session and page visit within the watermark.
+    """Append plays ``(id, visit, at)``, one per session and page visit, however late a repetition comes.
 
-    Counts and latest plays are :func:`metrum.operators.library.practice_stats` over the appended table.
+    A watermark would lose late plays, so every visit is remembered; use a state store on disk for many visits. Counts and latest plays are :func:`metrum.operators.library.practice_stats` over the appended table.
     """
-    once = plays.withWatermark("at", LATENESS).dropDuplicatesWithinWatermark(["id", "visit"])
-    return write_epochs(once, path)
+    return write_epochs(plays.dropDuplicates(["id", "visit"]), path)
 
 
 # --- sync ----------------------------------------------------------------------------------------------------
@@ -181,8 +185,11 @@ def sync_stream(
 ) -> DataStreamWriter:
     """Reconcile each micro-batch of remote entries with the local state; actions are written by epoch.
 
-    Only ids in the batch are looked at. If a batch holds several versions of an id, the newest counts.
+    Only ids in the batch are looked at. If a batch holds several versions of an id, the newest counts. The state after
+    a batch (local, previous, tombstone of its ids) is written by epoch under ``path`` with ``_state``; later batches
+    start from the newest state of an id, and from the given tables for ids not met before.
     """
+    state_path = f"{path}_state"
     fields = ["digest", "updated_at", "deleted", "deleted_at", "device"]
 
     def sink(batch: DataFrame, epoch: int) -> None:
@@ -190,7 +197,16 @@ def sync_stream(
         remote = newest.select("id", "_r.*")
         ids = remote.select("id")
         parts = [table.join(ids, "id", "left_semi") for table in (local, previous, tombstones)]
-        actions = reconcile(parts[0], remote, parts[1], parts[2], now)
-        actions.select("id", "action", "conflict", "deletes_local", "removes").write.mode("overwrite").parquet(epoch_path(path, epoch))
+        if epoch > 0:
+            earlier = batch.sparkSession.read.parquet(state_path).filter(F.col("epoch") < epoch).join(ids, "id", "left_semi")
+            known = latest_of(earlier, ["id"])
+            for k, name in enumerate(("local", "previous", "tombstone")):
+                now_known = known.filter(F.col(name).isNotNull()).select("id", f"{name}.*")
+                parts[k] = parts[k].join(known.select("id"), "id", "left_anti").unionByName(now_known.select(*parts[k].columns))
+        result = reconcile(parts[0], remote, parts[1], parts[2], now)
+        result.select("id", "action", "conflict", "deletes_local", "removes").write.mode("overwrite").parquet(epoch_path(path, epoch))
+        remembered = apply_reconciled(result)[2].select("id", F.struct("local_digest", "remote_revision").alias("previous"))
+        after = result.select("id", "local", "tombstone").join(remembered, "id", "left")
+        after.write.mode("overwrite").parquet(epoch_path(state_path, epoch))
 
     return changes.writeStream.foreachBatch(sink)

@@ -143,3 +143,66 @@ def test_a_retried_epoch_does_not_repeat_rows(spark, home):
     for _ in range(2):
         df.write.mode("overwrite").parquet(Z.epoch_path(f"{home.root}/e", 0))
     assert Z.read_epochs(spark, f"{home.root}/e").count() == 2
+
+
+def test_all_jobs_are_written(spark, home):
+    jobs = spark.range(201).select(F.col("id").cast("string").alias("id"), F.col("id").cast("double").alias("updated_at"))
+    O.write_jobs(jobs, f"{home.root}/many")
+    assert spark.read.json(f"{home.root}/many").count() == 201
+
+
+def test_long_keys_stay_whole(spark):
+    from metrum.operators.sync import group_legacy_index
+
+    key = "sessions/" + "s" * 120_000 + "/audio.mp3"
+    out = group_legacy_index(spark.createDataFrame([(key, "h")], "key string, sha string")).first()
+    assert out.key == key and out.id == "s" * 120_000
+
+
+def test_late_events_are_put_aside(spark, home):
+    for n, lines in enumerate([[event("a", 1, 1, "x", "1"), event("a", 5, 5, "x", "2")], [event("a", 3, 3, "y", "late"), event("a", 6, 6, "z", "3")]]):
+        home(f"ev/{n}.json", "\n".join(lines))
+        os.utime(f"{home.root}/ev/{n}.json", (1000 + n, 1000 + n))
+    source = I.stream_job_events(spark, f"{home.root}/ev", maxFilesPerTrigger="1")
+    drain(Z.change_log_stream(source, f"{home.root}/log", f"{home.root}/last"), home.root, "late")
+    log, late = Z.read_epochs(spark, f"{home.root}/log"), Z.read_epochs(spark, f"{home.root}/log_late")
+    assert sorted(r.seq for r in log.collect()) == [1, 5, 6] and [r.seq for r in late.collect()] == [3]
+    twin = Z.change_log(spark.read.schema(schemas.JOB_EVENT).json(f"{home.root}/ev"))
+    both = Z.change_log(log.unionByName(late))
+    assert sorted(r.seq for r in twin.collect()) == sorted(r.seq for r in both.collect()) == [1, 3, 5, 6]
+
+
+def test_device_state_survives_a_round_trip(spark, home):
+    """State is written, read as document and as lines, reconciled and applied; a second pass has nothing to do."""
+    from metrum.operators.sync import apply_reconciled, reconcile
+
+    local = spark.createDataFrame([("aaaaaaaa-0000-0000-0000-000000000001", "d1", 5.0), ("aaaaaaaa-0000-0000-0000-000000000002", "d2", 5.0)], "id string, digest string, modified_at double")
+    remote = spark.createDataFrame([], "id string, digest string, updated_at double, deleted boolean, deleted_at double, device string")
+    device = spark.createDataFrame([("me", "my|device", "w")], "device string, name string, workspace string")
+    nothing = spark.createDataFrame([], "id string, deleted_at double, device string")
+    state = spark.createDataFrame([], "id string, local_digest string, remote_revision struct<at:double,device:string,digest:string>")
+    for turn in range(2):
+        O.write_local_state(state, nothing, device, f"{home.root}/state{turn}")
+        read = I.read_local_state_lines(spark, f"{home.root}/state{turn}")
+        result = reconcile(local, remote, read.sessions, read.tombstones, 50.0)
+        actions = {r.action for r in result.collect()}
+        local, remote, state, nothing = apply_reconciled(result)
+    assert actions == {"none"} and state.count() == 2
+    home("device.json", json.dumps({"deviceId": "me", "sessions": {"a": {"localDigest": "d", "remoteRevision": "10.5|dev|ice|digest"}, "b": {"localDigest": "e", "remoteRevision": ""}}, "tombstones": {}}))
+    sessions = {r.id: r for r in I.read_local_state(spark, f"{home.root}/device.json").sessions.collect()}
+    assert tuple(sessions["a"].remote_revision) == (10.5, "dev|ice", "digest") and sessions["b"].remote_revision is None
+
+
+def test_sync_stream_remembers(spark, home):
+    """A second version of an id meets the state after the first."""
+    key = "aaaaaaaa-0000-0000-0000-000000000001"
+    for n, (digest, at) in enumerate([("r1", 10.0), ("r2", 20.0), ("r2", 20.0)]):
+        home(f"ch/{n}.json", json.dumps({"id": key, "digest": digest, "updated_at": at, "deleted": False, "deleted_at": None, "device": "d", "n": n}))
+        os.utime(f"{home.root}/ch/{n}.json", (1000 + n, 1000 + n))
+    changes = spark.readStream.schema("id string, digest string, updated_at double, deleted boolean, deleted_at double, device string").option("maxFilesPerTrigger", 1).json(f"{home.root}/ch")
+    local = spark.createDataFrame([], "id string, digest string, modified_at double")
+    previous = spark.createDataFrame([], "id string, local_digest string, remote_revision struct<at:double,device:string,digest:string>")
+    tombstones = spark.createDataFrame([], "id string, deleted_at double, device string")
+    drain(Z.sync_stream(changes, local, previous, tombstones, f"{home.root}/sync", 50.0), home.root, "sync")
+    out = Z.read_epochs(spark, f"{home.root}/sync").orderBy("epoch").collect()
+    assert [(r.action, r.conflict) for r in out] == [("download", None), ("download", None), ("none", None)]

@@ -189,3 +189,27 @@ def test_tiles_are_units_of_work(table):
     by_session_alone = [line for line in exchanges if "_tile" not in line]
     # Only the one-row-per-tile summary is gathered by session.
     assert len(by_session_alone) == 1 and "HashAggregate" in plan.split(by_session_alone[0])[1]
+
+
+@pytest.mark.parametrize("tiles", [1, 64])
+def test_a_constant_session_settles_in_a_few_rounds(spark, monkeypatch, tiles):
+    """Views that never change, pages of equal height and beats of equal distance, over many tiles of one session."""
+    from metrum.operators import folds
+    from metrum.plans import fold as plan
+
+    rounds = []
+    monkeypatch.setattr(plan, "durable", lambda df, real=plan.durable: rounds.append(1) or real(df))
+    size = 10 * tiles
+    frames = spark.range(size).select(F.lit(0).alias("s"), F.col("id").alias("idx"), F.array([F.lit(True)] * 8).alias("signature"))
+    assert {(r.idx, r.head) for r in folds.group_views(frames, rows=10).collect()} == {(i, 0) for i in range(size)}
+    # Three tables for each round of runs and two for each doubling; six doublings span 64 tiles.
+    assert len(rounds) <= (2 if tiles == 1 else 3 + 2 * 3 + 2 * 7)
+    rounds.clear()
+    lines = spark.range(size).select(F.lit(0).alias("s"), F.col("id").alias("idx"), F.lit(1.0).alias("height"))
+    pages = {r.idx: r.page_start for r in folds.pack_pages(lines, 3.0, rows=10).collect()}
+    assert pages == {i: i - i % 3 for i in range(size)}
+    assert len(rounds) <= (2 if tiles == 1 else 3 + 2 * 5 + 2 * 7)
+    rounds.clear()
+    bars = spark.range(size).select(F.lit(0).alias("s"), F.col("id").alias("idx"), (F.col("id") * 20.0).alias("x"), F.lit(None).cast("string").alias("recognized"))
+    kept = sorted(r.idx for r in folds.drop_close(bars, 60, rows=10).collect())
+    assert kept == list(range(0, size, 3)) and len(rounds) <= (2 if tiles == 1 else 3 + 2 * 5 + 2 * 7)
