@@ -7,13 +7,14 @@ with a probability close to their Jaccard similarity.
 1.  Documents with equal sets form one class; only one sketch of a class goes on.
 2.  Bands of registers put classes into buckets. Each class of a bucket is checked against one centre, the same in
     every bucket it leads, so a large bucket costs as many checks as it has members.
-3.  What the confirmed links join is one component already. Buckets in which several components are left are compared
-    in blocks of bounded size, between components only; pairs whose similarity, estimated by maximum likelihood from
-    both sketches, comes near the threshold are confirmed too. No bucket is cut short.
+    Only pairs whose similarity, estimated by maximum likelihood from both sketches, comes near the threshold are
+    compared as sets.
+3.  What the confirmed links join is one component already. Where a centre's classes form several components, these are
+    compared exactly and completely, in blocks of bounded size, between components only. No bucket is cut short.
 4.  Components of all confirmed links.
 
 A pair at the threshold (0.85) shares no band with probability (1 - 0.85^5)^24 < 1e-6; its estimate falls below the
-margin with a probability of a few 1e-6.
+margin with a probability of a few 1e-6, and is then still compared in step 3.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 MARGIN = 0.15
 BLOCK = 256
+BLOCK_BYTES = 1 << 20
 KEPT_BYTES = 6
 
 _DRAW = np.random.default_rng(20)
@@ -186,54 +188,112 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(second.select("a", "b", "one", "other"), test, "a long, b long")
 
 
-def between_components(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose estimate comes near the threshold.
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose similarity, estimated from both sketches, comes near the threshold."""
 
-    ``members``: bucket, no, label, n, regs. A bucket is dealt into blocks of about :data:`BLOCK` classes; each pair of
-    blocks is one row, so that no task holds a bucket.
-    """
-    counted = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most"))
-    split = members.join(counted.where("least <> most"), "bucket").withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
-    rows = F.collect_list(F.struct("no", "label", "n", "regs"))
-    packed = split.groupBy("bucket", "block").agg(rows.alias("rows"), F.first("blocks").alias("blocks"))
-    # Each block goes to every block not before it: one copy for each partner, all of bounded size.
-    left = packed.select("bucket", F.col("block").alias("i"), F.col("rows").alias("one"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    right = packed.select("bucket", F.col("block").alias("j"), F.col("rows").alias("other"))
+    def guess(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = [batch.column(c).to_numpy().astype(float) for c in ("n", "m")]
+        one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("one", "other"))
+        equal, above = (one == other).sum(axis=1), (one > other).sum(axis=1)
+        guessed = estimate(equal, above, REGISTERS - equal - above, *sizes)
+        fits = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
+        keep = fits & (np.maximum(guessed, equal / REGISTERS) >= percent / 100 - MARGIN)
+        return batch.select(["a", "b"]).filter(pa.array(keep))
 
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: list[np.ndarray] = []
-        for same, one, other in zip(*(batch.column(c) for c in range(3))):
-            a, b = (_block(x) for x in (one.values, other.values))
-            found.append(_near(a, b, same.as_py(), percent))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+    first = nodes.select(F.col("no").alias("a"), F.col("n").alias("n"), F.col("regs").alias("one"))
+    second = nodes.select(F.col("no").alias("b"), F.col("n").alias("m"), F.col("regs").alias("other"))
+    return map_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "one", "other"), guess, "a long, b long")
 
-    joined = left.join(right, ["bucket", "j"]).select((F.col("i") == F.col("j")).alias("same"), "one", "other")
-    return map_arrow(joined, compare, "a long, b long").distinct()
 
+def between_components(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between different components of a family, at least those that join its components.
 
-def _block(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    no, label, n, regs = (rows.field(k) for k in ("no", "label", "n", "regs"))
-    table = np.frombuffer(b"".join(regs.to_pylist()), np.uint16).reshape(len(no), REGISTERS)
-    return no.to_numpy(), label.to_numpy(), n.to_numpy(), table
+    ``families``: centre, no, label. Classes of one large component form blocks of their own, all others are mixed; a
+    block holds at most about :data:`BLOCK` classes or :data:`BLOCK_BYTES`. Each pair of blocks is one row, so that no
+    task holds a family, and blocks of the same component are not paired. A row compares its two blocks exactly.
+    """
+    several = families.groupBy("centre").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("centre")
+    held = durable(families.join(several, "centre").join(sets, "no"))
+    large = held.groupBy("centre", "label").agg(F.count("*").alias("k")).where(F.col("k") >= BLOCK // 2).select("centre", "label", F.col("label").alias("own"))
+    grouped = held.join(large, ["centre", "label"], "left").withColumn("mixed", F.col("own").isNull()).withColumn("own", F.coalesce("own", F.lit(0)))
+    keys = ["centre", "mixed", "own"]
+    count = F.greatest(F.count("*") / BLOCK, F.sum(F.length("members")) / BLOCK_BYTES)
+    counted = grouped.groupBy(*keys).agg(F.ceil(count).cast("int").alias("blocks"))
+    dealt = grouped.join(counted, keys).withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
+    packed = durable(dealt.groupBy(*keys, "block").agg(F.collect_list(F.struct("no", "label", "members")).alias("rows")).withColumn("id", F.struct("mixed", "own", "block")))
+    partners = packed.groupBy("centre").agg(F.collect_list("id").alias("ids"))  # one small entry for a block
+
+    def apart(other: Column) -> Column:
+        return (other >= F.col("id")) & (F.col("mixed") | other["mixed"] | (other["own"] != F.col("own")))
+
+    left = packed.join(partners, "centre").select("centre", "id", F.col("rows").alias("one"), F.explode(F.filter("ids", apart)).alias("partner"))
+    right = packed.select("centre", F.col("id").alias("partner"), F.col("rows").alias("other"))
 
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: list[tuple[int, int]] = []
+        for same, one, other in zip(*(batch.column(c) for c in range(3))):
+            found += joining(_block(one.values), _block(other.values), same.as_py(), percent)
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    joined = left.join(right, ["centre", "partner"]).select((F.col("id") == F.col("partner")).alias("same"), "one", "other")
+    return map_arrow(joined, compare, "a long, b long")
+
+
+Block = tuple[np.ndarray, np.ndarray, list[np.ndarray]]
+
+
+def _block(rows: pa.StructArray) -> Block:
+    no, label, members = (rows.field(k) for k in ("no", "label", "members"))
+    return no.to_numpy(), label.to_numpy(), [unpack(x) for x in members.to_pylist()]
+
+
+def overlaps(one: list[np.ndarray], other: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets: products of 0-1 matrices over the values in two sets or more."""
+    both = one + other
+    values = np.concatenate(both)
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(one), len(other)), np.float64)
+    for low in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(column, (low, low + columns))
+        table = np.zeros((len(both), columns), np.float32)
+        table[row[a:b], column[a:b] - low] = 1
+        out += table[: len(one)] @ table[len(one) :].T
+    return np.rint(out).astype(np.int64)
+
+
+def joining(a: Block, b: Block, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between classes of different labels, one for each two labels, less those that close a circle."""
+    common = overlaps(a[2], a[2] if same else b[2])
+    if same:
+        b = a
+    sizes = [np.array([len(x) for x in own]) for own in (a[2], b[2])]
+    linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+    i, j = np.nonzero(linked & (a[1][:, None] != b[1][None, :]))
+    if same:
+        i, j = i[i < j], j[i < j]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
 
-def _near(a, b, same: bool, percent: int) -> np.ndarray:
     out = []
-    for i in range(len(a[0])):
-        others = np.arange(i + 1 if same else 0, len(b[0]))
-        others = others[b[1][others] != a[1][i]]
-        small, large = np.minimum(b[2][others], a[2][i]), np.maximum(b[2][others], a[2][i])
-        others = others[100 * small >= percent * large]
-        if len(others):
-            mine, theirs = a[3][i], b[3][others]
-            equal = (theirs == mine).sum(axis=1)
-            above = (theirs < mine).sum(axis=1)
-            guess = estimate(equal, above, REGISTERS - equal - above, np.full(len(others), float(a[2][i])), b[2][others].astype(float))
-            others = others[np.maximum(guess, equal / REGISTERS) >= percent / 100 - MARGIN]
-            pairs = np.stack([np.full(len(others), a[0][i]), b[0][others]], axis=1)
-            out.append(np.sort(pairs, axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    _, first = np.unique(np.stack([a[1][i], b[1][j]], axis=1), axis=0, return_index=True)
+    for k in first.tolist():
+        x, y = root(int(a[1][i[k]])), root(int(b[1][j[k]]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(a[0][i[k]]), int(b[0][j[k]])))
+    return out
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -249,18 +309,16 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     dealt = bands(nodes)
     centres = dealt.groupBy("bucket").agg(F.min("no").alias("centre"), F.max("no").alias("last")).where("centre <> last")
-    members = durable(dealt.join(centres.select("bucket", "centre"), "bucket"))
-    first = durable(members.where("no <> centre").groupBy(F.col("no").alias("a")).agg(F.min("centre").alias("b")))
-    involved = first.select(F.col("a").alias("no")).union(first.select("b")).union(members.select("centre")).distinct()
+    # A family: all classes that share a bucket with its centre, whichever bucket.
+    spokes = durable(dealt.join(centres.select("bucket", "centre"), "bucket").where("no <> centre").groupBy("centre", "no").agg(F.count("*").alias("bands")))
+    involved = spokes.select("no").union(spokes.select("centre")).distinct()
     sets = durable(full_sets(documents, nodes.join(involved, "no").select("no", "doc_id"), doc_id, text))
 
-    links = durable(confirmed(first, sets, percent))
+    links = durable(confirmed(likely(spokes.select(F.col("no").alias("a"), F.col("centre").alias("b")), nodes, percent), sets, percent))
     grouped = components(links).withColumnRenamed("node", "no")
-    labelled = members.select("bucket", "no").join(grouped, "no", "left").select("bucket", "no", F.coalesce("root", "no").alias("label"))
-    several = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
-    open_members = labelled.join(several, "bucket").join(nodes.select("no", "n", "regs"), "no")
-    more = between_components(open_members, percent).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    every = links.union(confirmed(more, sets, percent))
+    families = spokes.select("centre", "no").union(spokes.select("centre", F.col("centre").alias("no")).distinct())
+    labelled = families.join(grouped, "no", "left").select("centre", "no", F.coalesce("root", "no").alias("label"))
+    every = links.union(between_components(labelled, sets, percent))
 
     named = nodes.select(F.col("no"), "node")
     edges = every.join(named.select(F.col("no").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("no").alias("b"), F.col("node").alias("y")), "b")
