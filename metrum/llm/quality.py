@@ -21,7 +21,9 @@ from metrum.llm.text import map_arrow, view
 WIDTH, STRIDE, EMBEDDED, FILTERS = 12, 4, 4, 32
 PAD = 256
 #: Labelled rows of each class that the model is fitted on at most, and the longest text among them, in bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 16_384
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16_384
+#: Share of the good texts that an epoch sees as an excerpt.
+EXCERPTS = 0.4
 EPOCHS, MINIBATCH, RATE, DECAY = 12, 32, 0.01, 1e-4
 CUTOFF = 0.3
 BLOCK = 8192
@@ -95,6 +97,13 @@ def score(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sigmoid(np.maximum(best + net.bias, 0).astype(np.float64) @ net.dense + net.last[0])
 
 
+def excerpt(text: bytes, draw: np.random.Generator) -> bytes:
+    """A random part of 16 to 400 bytes: part of a good text is good, so short texts need no proof of quality."""
+    size = int(draw.integers(16, 400))
+    low = int(draw.integers(0, max(1, len(text) - size)))
+    return text[low : low + size]
+
+
 def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = 5) -> Network:
     """Adam on the weighted log loss; a maximum passes its gradient to the one window that holds it."""
     net, draw = Network.fresh(seed), np.random.default_rng(seed + 1)
@@ -110,7 +119,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int =
         rate = RATE * (1 - epoch / EPOCHS)
         for low in range(0, len(order), MINIBATCH):
             pick = order[low : low + MINIBATCH]
-            chosen = [texts[i] for i in pick]
+            chosen = [excerpt(texts[i], draw) if labels[i] and draw.random() < EXCERPTS else texts[i] for i in pick]
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in chosen])])
             padded, starts, rows = layout(np.frombuffer(b"".join(chosen), np.uint8), offsets)
             best, at = pooled(net, padded, starts, rows, places=True)
