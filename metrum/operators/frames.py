@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrum.functions.scalars import half_even_int, mask_share, mask_unmatched
-from metrum.operators.folds import group_views
+from metrum.operators.folds import dilate_np, group_views
 from metrum.plans.ordered import (
     TILE_ROWS,
     Scan,
@@ -100,10 +100,14 @@ def _stack(masks: pd.Series, chosen: np.ndarray) -> np.ndarray:
     return np.stack([np.asarray(masks.iloc[i], dtype=bool) for i in chosen])
 
 
+PAIR_CELLS = 1 << 22
+"""Cells of masks that are compared at once; a batch of more is cut."""
+
+
 def _pairwise(match: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable:
     """Arrow-batched column function over pairs of masks; pairs of unequal size never match.
 
-    ``match`` sees all pairs of one mask size as two matrices and gives sizes and differences, nan for no match.
+    ``match`` sees pairs of one mask size as two matrices and gives sizes and differences, nan for no match.
     """
 
     def over_batch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -111,8 +115,10 @@ def _pairwise(match: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.nda
         difference = np.full(len(a), np.nan)
         lengths = np.array([len(x) if x is not None and y is not None and len(x) == len(y) else 0 for x, y in zip(a, b)])
         for n in np.unique(lengths[lengths > 0]):
-            chosen = np.flatnonzero(lengths == n)
-            size[chosen], difference[chosen] = match(_stack(a, chosen), _stack(b, chosen))
+            same = np.flatnonzero(lengths == n)
+            step = max(1, PAIR_CELLS // int(n))
+            for chosen in (same[k : k + step] for k in range(0, len(same), step)):
+                size[chosen], difference[chosen] = match(_stack(a, chosen), _stack(b, chosen))
         found = ~np.isnan(difference)
         sizes = pd.Series(size).where(found).astype("Int32")
         return pd.DataFrame({"size": sizes, "difference": pd.Series(difference).where(found, None)})
@@ -121,41 +127,45 @@ def _pairwise(match: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.nda
     return F.pandas_udf(over_batch, MOTION)
 
 
+def _without_lines(a: np.ndarray, b: np.ndarray, dense: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of masks (n, rows, width) without the rows that are denser than ``dense`` in either mask of their pair."""
+    if dense is None:
+        return a, b
+    keep = np.maximum(a.mean(axis=2), b.mean(axis=2))[:, :, None] <= dense
+    return a & keep, b & keep
+
+
 def _round(value: float) -> int:
     return int(np.rint(value))
 
 
-def _shift_matcher(minimum: int, limit: float = 0.24):
+def _shift_matcher(minimum: int, width: int | None, dense: float | None, limit: float = 0.24):
     def match(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        width = a.shape[1]
-        shares = []
-        for offset in range(max(0, width - max(24, _round(width * 0.38))) + 1):
-            left, right = a[:, offset:], b[:, : width - offset]
-            union = (left | right).sum(axis=1)
-            share = (left != right).sum(axis=1) / np.maximum(union, 1)
-            shares.append(np.where(union < max(minimum, _round((width - offset) * 0.003)), 1.0, share))
-        table = np.stack(shares)
-        best = table.argmin(axis=0)
-        difference = table[best, np.arange(len(a))]
+        across = width or a.shape[1]
+        left, right = _without_lines(a.reshape(len(a), -1, across), b.reshape(len(b), -1, across), dense)
+        # Set cells right of each cut of the left mask, and left of each cut of the right one.
+        of_left = np.cumsum(left.sum(axis=1)[:, ::-1], axis=1)[:, ::-1]
+        of_right = np.cumsum(right.sum(axis=1), axis=1)
+        offsets = np.arange(max(0, across - max(24, _round(across * 0.38))) + 1)
+        common = np.stack([np.count_nonzero(left[:, :, k:] & right[:, :, : across - k], axis=(1, 2)) for k in offsets], axis=1)
+        union = of_left[:, offsets] + of_right[:, across - 1 - offsets] - common
+        least = [max(minimum, _round(left.shape[1] * (across - k) * 0.003)) for k in offsets]
+        share = np.where(union < np.array(least), 1.0, (union - common) / np.maximum(union, 1))
+        best = share.argmin(axis=1)
+        difference = share[np.arange(len(a)), best]
         return best, np.where(difference <= limit, difference, np.nan)
 
     return match
 
 
-def _dilated(masks: np.ndarray) -> np.ndarray:
-    padded = np.pad(masks, ((0, 0), (1, 1), (1, 1)))
-    _, height, width = masks.shape
-    return np.any([padded[:, y : y + height, x : x + width] for y in range(3) for x in range(3)], axis=0)
-
-
-def _overlap_matcher(width: int, low: int, high: int, features: int, limit: float = 0.22):
+def _overlap_matcher(width: int, low: int, high: int, features: int, dense: float | None, limit: float = 0.22):
     def match(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left_all, right_all = a.reshape(len(a), -1, width), b.reshape(len(b), -1, width)
+        left_all, right_all = _without_lines(a.reshape(len(a), -1, width), b.reshape(len(b), -1, width), dense)
         shares = []
         for size in range(low, high + 1):
             left, right = left_all[:, :, width - size :], right_all[:, :, :size]
             total = left.sum(axis=(1, 2)) + right.sum(axis=(1, 2))
-            alone = (left & ~_dilated(right)).sum(axis=(1, 2)) + (right & ~_dilated(left)).sum(axis=(1, 2))
+            alone = (left & ~dilate_np(right)).sum(axis=(1, 2)) + (right & ~dilate_np(left)).sum(axis=(1, 2))
             shares.append(np.where(total < features, np.inf, alone / np.maximum(total, 1)))
         table = np.stack(shares)
         best = table.min(axis=0)
@@ -172,30 +182,38 @@ def _with_motion(frames: DataFrame, match, size: str, rows: int) -> DataFrame:
     return found.select(*frames.columns, F.col("_m.size").alias(size), F.col("_m.difference").alias("difference"))
 
 
-def best_shift(frames: DataFrame, minimum: int = 20, rows: int = TILE_ROWS) -> DataFrame:
+LINES = 0.32
+"""Share of set cells above which a row of a mask is a line, which matches at any shift."""
+
+
+def best_shift(
+    frames: DataFrame, minimum: int = 20, rows: int = TILE_ROWS, width: int | None = None, dense: float | None = LINES
+) -> DataFrame:
     """Add ``offset`` and ``difference`` of the movement to the next frame; null where there is none.
 
-    Masks are one row of cells. Shifts keep an overlap of at least 0.38 of the width and 24 cells; a shift counts only
+    Masks have rows of ``width`` cells; without ``width`` they are one row, of which no part is a line. Rows denser
+    than ``dense`` in either frame of a pair are left out. Shifts keep an overlap of at least 0.38 of the width and 24 cells; a shift counts only
     with enough set cells; above 0.24 there is no match. All shifts of a pair are tried inside one batch, so pairs are
     never multiplied into rows.
     """
-    return _with_motion(frames, _shift_matcher(minimum), "offset", rows)
+    return _with_motion(frames, _shift_matcher(minimum, width, dense if width else None), "offset", rows)
 
 
 def edge_overlap(
-    frames: DataFrame, width: int, minimum: int = 16, maximum: int | None = None, features: int = 30, rows: int = TILE_ROWS
+    frames: DataFrame, width: int, minimum: int = 16, maximum: int | None = None, features: int = 30, rows: int = TILE_ROWS,
+    dense: float | None = LINES,
 ) -> DataFrame:
     """Add ``overlap``: how many columns of the next frame repeat the right edge of this one; null where none do.
 
-    Masks have ``width`` columns. Among overlaps within 0.025 of the best mismatch (at most 0.22) the smallest wins.
+    Masks have ``width`` columns; rows denser than ``dense`` in either mask of a pair are left out. Among overlaps within 0.025 of the best mismatch (at most 0.22) the smallest wins.
     """
     low = max(minimum, round(width * 0.04))
     high = min(width, maximum if maximum is not None else max(low, round(width * 0.35)))
-    return _with_motion(frames, _overlap_matcher(width, low, high, features), "overlap", rows)
+    return _with_motion(frames, _overlap_matcher(width, low, high, features, dense), "overlap", rows)
 
 
 def drop_transitions(
-    frames: DataFrame, threshold: float = 0.02, minimum: int = 3, evidence: int = 20
+    frames: DataFrame, threshold: float = 0.02, minimum: int = 3, evidence: int = 20, width: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(frames kept with their group ``head``, number of rejected frames per session).
 
@@ -203,7 +221,7 @@ def drop_transitions(
     """
     grouped = group_views(frames, threshold)
     spans = grouped.groupBy("s", "head").agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last"))
-    moving = best_shift(frames, evidence).filter("offset is not null").select("s", "idx")
+    moving = best_shift(frames, evidence, width=width).filter("offset is not null").select("s", "idx")
     incoming = moving.select("s", (F.col("idx") + 1).alias("head"), F.lit(True).alias("_in"))
     outgoing = moving.select("s", F.col("idx").alias("last"), F.lit(True).alias("_out"))
     judged = spans.join(incoming, ["s", "head"], "left").join(outgoing, ["s", "last"], "left")

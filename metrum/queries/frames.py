@@ -272,6 +272,35 @@ def _(v: Views):
     return R.best_shift(_moving(v)).select("s", "idx", F.col("offset").cast("long").alias("offset"), "difference")
 
 
+TALL_SQL = """
+    sparse AS (SELECT label AS s, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx,
+                      [(i + 5 * vec_id) % 29 < 4 OR (i + 5 * vec_id) % 31 < 2 FOR i IN range(1, 65)] AS sig FROM embeddings),
+    rows4 AS (SELECT s, idx, [sig[1:48], [true FOR i IN range(48)], sig[7:54], sig[10:57]] AS a,
+                     lead([sig[1:48], [true FOR i IN range(48)], sig[7:54], sig[10:57]]) OVER (PARTITION BY s ORDER BY idx) AS b FROM sparse)"""
+
+
+@query(
+    "best_shift_tall",
+    f"""
+    WITH {TALL_SQL},
+    dense AS (SELECT s, idx, r, len([x FOR x IN a[r] IF x]) <= 0.32 * 48 AND len([x FOR x IN b[r] IF x]) <= 0.32 * 48 AS keep
+              FROM rows4, range(1, 5) q(r)),
+    c AS (SELECT s, idx, o, keep AND a[r][i + o] AS x, keep AND b[r][i] AS y
+          FROM rows4 JOIN dense USING (s, idx), range(0, 25) q(o), range(1, 49) t(i) WHERE i <= 48 - o AND b IS NOT NULL),
+    d AS (SELECT s, idx, o, count(*) FILTER (x OR y) AS u, count(*) FILTER (x <> y) AS d FROM c GROUP BY s, idx, o),
+    m AS (SELECT s, idx, min({{'d': CASE WHEN u < 20 THEN 1.0 ELSE d / u END, 'o': o}}) AS m FROM d GROUP BY s, idx)
+    SELECT p.s, p.idx, CASE WHEN m.m.d <= 0.24 THEN m.m.o END AS "offset", CASE WHEN m.m.d <= 0.24 THEN m.m.d END AS difference
+    FROM rows4 p LEFT JOIN m ON m.s = p.s AND m.idx = p.idx""",
+)
+def _(v: Views):
+    """Masks of four rows, the second a line."""
+    cell = lambda i: ((i + 5 * F.col("vec_id")) % 29 < 4) | ((i + 5 * F.col("vec_id")) % 31 < 2)
+    sparse = v.frames.select("s", "idx", F.transform(F.sequence(F.lit(1).cast("long"), F.lit(64).cast("long")), cell).alias("sig"))
+    parts = [F.slice("sig", 1, 48), F.array_repeat(F.lit(True), 48), F.slice("sig", 7, 48), F.slice("sig", 10, 48)]
+    tall = sparse.select("s", "idx", F.concat(*parts).alias("signature"))
+    return R.best_shift(tall, width=48).select("s", "idx", F.col("offset").cast("long").alias("offset"), "difference")
+
+
 def _near_cell(mask: str, first: str) -> str:
     """Whether the cell (r, k) of a crop of ``z`` columns that begins at column ``first`` has a set cell within one."""
     near = []
@@ -301,7 +330,7 @@ def _near_cell(mask: str, first: str) -> str:
 def _(v: Views):
     moving = _moving(v)
     tall = moving.withColumn("signature", F.concat(*[F.slice("signature", 1 + 3 * k, 48) for k in range(4)]))
-    return R.edge_overlap(tall, 48, minimum=8, maximum=40, features=20).select("s", "idx", "overlap", "difference")
+    return R.edge_overlap(tall, 48, minimum=8, maximum=40, features=20, dense=None).select("s", "idx", "overlap", "difference")
 
 
 @query(

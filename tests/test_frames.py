@@ -80,6 +80,19 @@ def test_best_shift_finds_the_pan(frame):
     assert all(r.offset is None for r in out if r.s == 1)
 
 
+@pytest.mark.parametrize("pan", [0, 5, 20, 35, 40])
+def test_best_shift_of_tall_masks(frame, pan):
+    """Rows move together; a row that is a line in one of the frames says nothing; cells don't run into the next row."""
+    rng = np.random.default_rng(pan)
+    strip = rng.random((12, 110)) < 0.2
+    left, right = strip[:, :64].copy(), strip[:, pan : pan + 64].copy()
+    left[1] = True
+    right[2] = rng.random(64) < 0.9
+    sequence = [[bool(x) for x in m.ravel()] for m in (left, right)]
+    out = R.best_shift(frames_of(frame, sequence), width=64).orderBy("idx").collect()
+    assert (out[0].offset, out[0].difference) == (pan, 0.0) and out[1].offset is None
+
+
 def test_edge_overlap_prefers_the_smallest_good_width(frame):
     rng = np.random.default_rng(2)
     strip = rng.random((8, 120)) < 0.12
