@@ -34,6 +34,8 @@ SPACE = 0x2581
 UNIGRAM, BPE = 1, 2
 #: Longer words are merged one by one with a heap, so that no word costs the square of its length.
 LONG = 96
+#: Characters held as arrays at once.
+CHUNK = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.float32(-np.inf)
 
@@ -271,14 +273,55 @@ class Vocabulary:
         return out, np.bincount(np.repeat(word, size), minlength=len(codes))
 
 
+def segments(text: str, size: int = CHUNK) -> list[str]:
+    """The text cut where a space follows another character, which no piece spans, every ``size`` characters or so."""
+    out, at = [], 0
+    while len(text) - at > size:
+        cut = text.find(" ", at + size)
+        while cut > 0 and text[cut - 1] in (" ", chr(SPACE)):
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
 def encode(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after the other, and the offsets of texts. A null or empty text has no ids."""
+    """Ids of all texts, one after the other, and the offsets of texts. A null or empty text has no ids.
+
+    At most about :data:`CHUNK` characters are held as arrays at once.
+    """
     head = " " if vocabulary.prefix else ""
-    own = [head + t if t else "" for t in texts]
+    counts = np.zeros(len(texts), np.int64)
+    parts: list[np.ndarray] = [np.zeros(0, np.int32)]
+    held: list[str] = []
+    owners: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        ids, offsets = _encode(vocabulary, held)
+        np.add.at(counts, owners, np.diff(offsets))
+        parts.append(ids)
+        held.clear()
+        owners.clear()
+
+    for i, text in enumerate(texts):
+        for part in segments(head + text) if text else ():
+            held.append(part)
+            owners.append(i)
+            size += len(part)
+            if size >= CHUNK:
+                flush()
+                size = 0
+    if held:
+        flush()
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _encode(vocabulary: Vocabulary, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in own])])
-    if not len(codes):
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     codes[codes == 32] = SPACE
     letter = vocabulary.letters[codes]
     cut = np.ones(len(codes) + 1, bool)
@@ -318,13 +361,18 @@ def encode(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray,
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and the offsets of texts. The space in front of a text's first piece is taken off."""
-    number = ids.astype(np.int64)
     heads = offsets[:-1][np.diff(offsets) > 0]
-    number[heads] += len(vocabulary.texts)
-    sizes = np.diff(vocabulary.surface_at)[number]
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    data = vocabulary.surface[np.arange(before[-1]) + np.repeat(vocabulary.surface_at[number] - before[:-1], sizes)]
-    return data, before[offsets]
+    lengths = np.diff(vocabulary.surface_at)
+    first = np.zeros(len(ids), bool)
+    first[heads] = True
+    out, sizes = [np.zeros(0, np.uint8)], np.zeros(len(ids) + 1, np.int64)
+    for low in range(0, len(ids), CHUNK // 2):
+        number = ids[low : low + CHUNK // 2] + first[low : low + CHUNK // 2] * np.int32(len(vocabulary.texts))
+        own = lengths[number]
+        before = np.concatenate([[0], np.cumsum(own)])
+        out.append(vocabulary.surface[np.arange(before[-1]) + np.repeat(vocabulary.surface_at[number] - before[:-1], own)])
+        sizes[low + 1 : low + 1 + len(own)] = own
+    return np.concatenate(out), np.cumsum(sizes)[offsets]
 
 
 def encoded(documents: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

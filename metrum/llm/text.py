@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 """Bytes of text in one Arrow batch handed to Python."""
 
 
