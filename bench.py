@@ -64,6 +64,7 @@ def main() -> None:
         "unit": "sec",
         "queries": seconds,
         "first_run": first,
+        "first_run_total": round(sum(first.values()), 3),
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
         "cpus": int(cpus),
         "runs": runs,
