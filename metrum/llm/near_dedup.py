@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from metrum.llm.components import components
 from metrum.llm.tables import durable, table
 from metrum.llm.text import map_arrow, splitmix, whole_windows, windows, word_hashes, words
+from metrum.session import tune
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -226,7 +227,10 @@ def between_components(families: DataFrame, sets: DataFrame, percent: int) -> Da
     def apart(other: Column) -> Column:
         return (other >= F.col("id")) & (F.col("mixed") | other["mixed"] | (other["own"] != F.col("own")))
 
-    left = packed.join(partners, "centre").select("centre", "id", F.col("rows").alias("one"), F.explode(F.filter("ids", apart)).alias("partner"))
+    # Blocks are paired by their names first, so that no task gathers the blocks of a family.
+    names = packed.select("centre", "mixed", "own", "id").join(partners, "centre")
+    named = names.select("centre", "id", F.explode(F.filter("ids", apart)).alias("partner"))
+    left = named.join(packed.select("centre", "id", F.col("rows").alias("one")), ["centre", "id"])
     right = packed.select("centre", F.col("id").alias("partner"), F.col("rows").alias("other"))
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -302,6 +306,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     Documents without words, and rows without a doc_id, are linked with nothing; the latter have a null component.
     Repeated rows give repeated result rows of one component. Other columns are not read.
     """
+    tune(documents.sparkSession)  # a group by (centre, label) must not be gathered by centre alone
     sketched = durable(sketches(documents, doc_id, text))
     linkable = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
