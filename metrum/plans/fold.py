@@ -55,7 +55,7 @@ def _settle(tiled: DataFrame, keys: list[str], state_type: str, leave: Pass, emi
     run = F.xxhash64("_entry").alias("_run")
     begun = tiles.filter("_k = 1").select(*keys, "_k", nothing.alias("_entry"))
     states = begun.select("*", run)
-    due = durable(tiles.filter(~F.col("_last")).select(*group, "_k", nothing.alias("_entry")).select("*", run))
+    due = tiles.filter(~F.col("_last")).select(*group, "_k", nothing.alias("_entry")).select("*", run)
     if not due.isEmpty():
         runs: DataFrame | None = None
         while not due.isEmpty():
