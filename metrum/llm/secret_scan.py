@@ -17,6 +17,7 @@ import binascii
 import json
 import re
 import struct
+from bisect import bisect
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,8 @@ RANK = {kind: i for i, kind in enumerate(KINDS)}
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of at least 24, as the runs of any length do not overlap
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----([^-]{1,65536})-----END \1PRIVATE KEY-----")
+PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*)PRIVATE KEY-----")
+ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+(?=/)")  # a line break or slash as JSON may write it
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 HEX_CANDIDATE = re.compile(r"[0-9a-fA-F]{48,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
@@ -130,6 +132,28 @@ def is_signed(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(loaded(payload), dict)
 
 
+def pem_blocks(text: str) -> list[tuple[str, int, int, int, int]]:
+    """Label, start, start and end of the body, and end of every BEGIN marker whose next marker is its END."""
+    marks = list(PEM.finditer(text)) if "PRIVATE KEY-----" in text else []
+    return [(a[2], a.start(), a.end(), b.start(), b.end()) for a, b in zip(marks, marks[1:]) if a[1] == "BEGIN" and b[1] == "END" and a[2] == b[2]]
+
+
+def is_pem_key(label: str, body: str) -> bool:
+    """The body of a block, after RFC 1421 headers if it has any, is a private key or encrypted as label or headers say."""
+    lines = [line.strip() for line in ESCAPED.sub(lambda m: "\n" if m[0].endswith("n") else "", body).strip().splitlines()]
+    cut = 0
+    if lines and ":" in lines[0]:  # headers end at the first empty line, or else with the last that has a colon
+        cut = lines.index("") if "" in lines else max(i for i, line in enumerate(lines) if ":" in line) + 1
+    heads = {name.strip().lower(): "".join(value.split()).upper() for name, _, value in (line.partition(":") for line in lines[:cut])}
+    data = decode("".join("".join(lines[cut:]).split()))
+    if not data:
+        return False
+    if heads.get("proc-type") == "4,ENCRYPTED":
+        cipher = heads.get("dek-info", "").partition(",")[0]
+        return len(data) % 8 == 0 or bool(cipher) and not cipher.endswith(("CBC", "ECB"))  # only those fill whole blocks
+    return is_der_key(data) or is_ssh_key(data) or label == "ENCRYPTED " and bool(fields(data))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the plain patterns, leftmost and not overlapping within a kind."""
     found = []
@@ -144,18 +168,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
     """Spans whose decoded structure is that of a secret."""
     found: list[tuple[str, int, int]] = []
-    blocks: list[tuple[int, int]] = []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            head, gap, body = m[2].rpartition("\n\n") if "Proc-Type: 4,ENCRYPTED" in m[2] else ("", "", m[2])
-            data = decode("".join(body.split()))
-            if data and (is_der_key(data) or is_ssh_key(data) or m[1] == "ENCRYPTED " and fields(data) or gap and len(data) % 8 == 0):
-                found.append(("pem", *m.span()))
-                blocks.append(m.span())
+    blocks = [(start, end) for label, start, low, high, end in pem_blocks(text) if is_pem_key(label, text[low:high])]
+    found += [("pem", *span) for span in blocks]
     if "." in text:
         found += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed(m[1], m[2])]
     for m in CANDIDATE.finditer(text):
-        if not any(low <= m.start() < high for low, high in blocks):
+        block = bisect(blocks, (m.start(), len(text))) - 1
+        if block < 0 or blocks[block][1] <= m.start():
             kind = _decoded(decode(m[0]), depth)
             if kind:
                 found.append((kind, *m.span()))

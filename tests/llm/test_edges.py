@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import base64
 import hashlib
 
 import pyarrow as pa
@@ -83,6 +84,32 @@ def test_secrets(documents, nothing):
     assert secret_scan.redacted(documents).columns == documents.columns
 
 
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
+CIPHERTEXT = b"".join(hashlib.sha256(bytes([i])).digest() for i in range(20))
+LOCKED = BEGIN + "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n" + base64.encodebytes(CIPHERTEXT).decode() + END
+KEY = "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(b"\x30\x2e\x02\x01\x00\x30\x05\x06\x03\x2b\x65\x70\x04\x22\x04\x20" + CIPHERTEXT[:32]).decode() + "-----END PRIVATE KEY-----"
+#: One number of 60,000 bytes in an encrypted key's container.
+LARGE = "-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + base64.encodebytes(b"\x04\x82\xea\x60" + CIPHERTEXT[:60] * 1000).decode() + "-----END ENCRYPTED PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        LOCKED, LOCKED.replace("\n", "\r\n"), LOCKED.replace("\n", "\\n"), LOCKED.replace("\n", "\\r\\n"), LOCKED.replace("\n", "\n    "), LOCKED.replace("\n\n", "\n"),
+        LOCKED.replace("AES-128-CBC", "DES-EDE3-CFB").replace(base64.encodebytes(CIPHERTEXT).decode(), base64.encodebytes(CIPHERTEXT[:-3]).decode()),
+        KEY, KEY.replace("\n", "\r\n"), KEY.replace("\n", "\\n"), KEY.replace("\n", "\\\\n"), KEY.replace("\n", "\nComment: mine\n\n", 1), LARGE,
+    ],
+)
+def test_private_key_blocks(text):
+    assert [s for s in secret_scan.find(f"é {text} .") if s[0] == "pem"] == [("pem", 2, 2 + len(text))]
+    assert secret_scan.redact(f"{BEGIN} {text}, {END}") == f"{BEGIN} [SECRET], {END}"
+
+
+def test_blocks_that_are_no_keys():
+    for text in (BEGIN + "Proc-Type: 4,ENCRYPTED\n\n" + END, LOCKED.replace("4,ENCRYPTED", "4,MIC-CLEAR"), LOCKED.replace("END RSA", "END DSA"), BEGIN * 20_000 + END, END + KEY[:-30]):
+        assert "pem" not in [kind for kind, _, _ in secret_scan.find(text)]
+
+
 def test_top_k(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0], "x"), (0, [1.0, 0.0], "y"), (1, [0.5, 0.5], "x"), (2, [0.5, 0.5], "x"), (3, None, "x"), (4, [nan, 1.0], "x"), (5, [None, 1.0], "x"), (None, [9.0, 9.0], "x"), (6, [], "x"), (7, [-1.0], "x"), (100, [2.0, 2.0], None)]
