@@ -1,13 +1,13 @@
 """Secret scans: patterns first, then structural confirmation of what base64 and hex candidates decode to.
 
 ``assign``, ``access`` and ``hex`` are plain patterns and always reported. A further span is reported only once its
-decoded bytes prove to be a secret:
+decoded bytes prove to be a secret, base64 and hex also where they are wrapped over several lines:
 
 ``pem``      a private-key block whose body is a key by one of the two parsers below, or is encrypted as its header says
 ``ssh``      binary with the OpenSSH magic whose length-prefixed fields add up to the whole
 ``der``      ASN.1 whose nested lengths add up to the whole and whose fields are those of a PKCS#1, PKCS#8 or EC key
 ``jwt``      a signed token: the header is a JSON object with ``alg``, the payload a JSON object
-``encoded``  printable text that itself holds an assignment, an access key or a signed token
+``encoded``  printable UTF-8 that itself holds an assignment, an access key or a signed token
 """
 
 from __future__ import annotations
@@ -35,8 +35,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of at least 24, as the runs of any length do not overlap
 PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*)PRIVATE KEY-----")
 ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+(?=/)")  # a line break or slash as JSON may write it
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
-HEX_CANDIDATE = re.compile(r"[0-9a-fA-F]{48,}")
+# The shortest secret of the base patterns has 12 bytes: 16 characters of base64, 24 of hex.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+HEX_CANDIDATE = re.compile(r"[0-9a-fA-F]{24,}")
+BREAK = re.compile(r"[ \t]*+(?:\r\n?|\n|\\++r\\++n|\\++n)[ \t]*+")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 OPENSSH = b"openssh-key-v1\x00"
@@ -165,6 +169,52 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def inside(at: int, blocks: list[tuple[int, int]]) -> bool:
+    """Whether a place is in one of the blocks, which are in order and disjoint."""
+    n = bisect(blocks, at, key=lambda block: block[0])
+    return n > 0 and at < blocks[n - 1][1]
+
+
+def wraps(sizes: list[int]) -> list[tuple[int, int]]:
+    """Ranges of lines that may be one wrapped text: all, or lines of one width, with a shorter one behind and one before
+    or not. A first or last of the same width may be a word of the text around. Of the same lines longest first."""
+    ranges, at = [(0, len(sizes))], 0
+    while at < len(sizes):
+        stop = at + 1
+        while stop < len(sizes) and sizes[stop] == sizes[at]:
+            stop += 1
+        tail = stop + (stop < len(sizes) and sizes[stop] < sizes[at])
+        ranges += [(low, high) for high in (tail, stop, stop - 1) for low in (max(0, at - 1), at, at + 1) if high - low > 1]
+        at = stop
+    return list(dict.fromkeys(ranges))
+
+
+def wrapped_spans(text: str, blocks: list[tuple[int, int]], depth: int) -> list[tuple[str, int, int]]:
+    """Secrets in base64 or hex that go on over several lines, outside the blocks; in order, disjoint."""
+    found = []
+    for run in WRAPPED.finditer(text):
+        lines, at = [], run.start()
+        for gap in BREAK.finditer(text, *run.span()):
+            lines.append((at, gap.start()))
+            at = gap.end()
+        lines.append((at, run.end()))
+        lines = [line for line in lines if not inside(line[0], blocks)]
+        done = 0
+        for low, high in wraps([b - a for a, b in lines]):
+            if low < done:
+                continue
+            whole = "".join(text[a:b] for a, b in lines[low:high])
+            if len(whole) < 16:
+                continue
+            kind = _decoded(decode(whole), depth)
+            if not kind and len(whole) % 2 == 0 and HEX_CANDIDATE.fullmatch(whole):
+                kind = _decoded(bytes.fromhex(whole), depth)
+            if kind:
+                found.append((kind, lines[low][0], lines[high - 1][1]))
+                done = high
+    return found
+
+
 def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
     """Spans whose decoded structure is that of a secret."""
     found: list[tuple[str, int, int]] = []
@@ -172,16 +222,20 @@ def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]
     found += [("pem", *span) for span in blocks]
     if "." in text:
         found += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed(m[1], m[2])]
+    joined = wrapped_spans(text, blocks, depth)
+    found += joined
+    wrapped = [(low, high) for _, low, high in joined]
+    blocks = sorted(blocks + wrapped)
     for m in CANDIDATE.finditer(text):
-        block = bisect(blocks, (m.start(), len(text))) - 1
-        if block < 0 or blocks[block][1] <= m.start():
+        if not inside(m.start(), blocks):
             kind = _decoded(decode(m[0]), depth)
             if kind:
                 found.append((kind, *m.span()))
     for m in HEX_CANDIDATE.finditer(text):
-        kind = _decoded(bytes.fromhex(m[0]), depth) if (m.end() - m.start()) % 2 == 0 else None
-        if kind and (kind, *m.span()) not in found:
-            found.append((kind, *m.span()))
+        if not inside(m.start(), wrapped):
+            kind = _decoded(bytes.fromhex(m[0]), depth) if (m.end() - m.start()) % 2 == 0 else None
+            if kind and (kind, *m.span()) not in found:
+                found.append((kind, *m.span()))
     return found
 
 
@@ -192,8 +246,13 @@ def _decoded(data: bytes | None, depth: int) -> str | None:
         return "der"
     if is_ssh_key(data):
         return "ssh"
-    if depth and len(data) >= 12 and data.isascii() and all(32 <= b < 127 or b in (9, 10, 13) for b in data):
-        text = data.decode()
+    if depth and len(data) >= 12:
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            return None
+        if CONTROL.search(text):
+            return None
         if any(kind != "hex" for kind, _, _ in base_spans(text)) or confirmed_spans(text, depth - 1):
             return "encoded"
     return None

@@ -110,6 +110,38 @@ def test_blocks_that_are_no_keys():
         assert "pem" not in [kind for kind, _, _ in secret_scan.find(text)]
 
 
+def lines(data, width, gap="\n"):
+    text = data if isinstance(data, str) else base64.b64encode(data).decode()
+    return gap.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+DER = base64.b64decode("".join(KEY.splitlines()[1:-1]))
+SPLIT = b"a list of settings that is long enough to go on: password=hunter2 and then some more words"
+CONTAINER = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4) + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + b"".join(len(x).to_bytes(4) + x for x in (CIPHERTEXT[:51], CIPHERTEXT[:200]))
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("dG9rZW46YWJjZGVm", "encoded"), ("cGFzc3dvcmQ9aHVudGVyMg==", "encoded"), (b"token:abcdef".hex().upper(), "encoded"), (b"password=hunter2".hex().upper(), "encoded"),
+        (base64.b64encode("naïve “quotes”: password=hunter2".encode()).decode(), "encoded"),
+        (lines(SPLIT, 64), "encoded"), (lines(SPLIT, 76), "encoded"), (lines(SPLIT, 66), "encoded"), (lines(SPLIT, 8), "encoded"), (lines(SPLIT.hex().upper(), 64), "encoded"),
+        (lines(SPLIT, 64, "\r\n"), "encoded"), (lines(SPLIT, 64, "\\n"), "encoded"), (lines(SPLIT, 64, " \n    "), "encoded"),
+        (lines(DER, 16), "der"), (lines(DER, 40), "der"), (lines(CONTAINER, 64), "ssh"), (lines(CONTAINER, 70), "ssh"), (lines(DER.hex().upper(), 30), "der"),
+    ],
+)
+@pytest.mark.parametrize("before, behind", [("é ", " ."), ("some words\n", "\nWords"), ("key: ", "\n\nwords"), (KEY + "\n", ""), ('"', '"'), ("x" * 64 + "\n", "\nx")])
+def test_shortest_and_wrapped_secrets(text, kind, before, behind):
+    found = [s for s in secret_scan.find(before + text + behind) if s[0] not in (*secret_scan.BASE, "pem")]
+    assert found == [(kind, len(before), len(before) + len(text))]
+    assert text[:12] not in secret_scan.redact(before + text + behind)
+
+
+def test_wrapped_text_that_is_no_secret():
+    for text in (lines(b"an ordinary sentence of plain words that goes on for more than one line", 64), "word\n" * 50_000, lines(DER[:-1], 40), lines(CIPHERTEXT, 76), "long" * 20_000 + "\n" * 20_000):
+        assert [s for s in secret_scan.find(text) if s[0] not in secret_scan.BASE] == []
+
+
 def test_top_k(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0], "x"), (0, [1.0, 0.0], "y"), (1, [0.5, 0.5], "x"), (2, [0.5, 0.5], "x"), (3, None, "x"), (4, [nan, 1.0], "x"), (5, [None, 1.0], "x"), (None, [9.0, 9.0], "x"), (6, [], "x"), (7, [-1.0], "x"), (100, [2.0, 2.0], None)]
