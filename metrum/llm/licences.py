@@ -1,7 +1,7 @@
 """License scans: headers and licence files against templates by sparse TF-IDF cosine, then inheritance by path.
 
-A file's candidates are the paragraphs that speak of a licence: of a licence file all, of any other file those that
-hold one of the cue words. Words are weighed by how rare they are among the candidates of the whole corpus and the
+A file's candidates are the lines that speak of a licence: of a licence file all, of any other file those that hold
+one of the cue words or enough words of a template. Words are weighed by how rare they are among the candidates of the whole corpus and the
 templates. A file's licence is the template of the greatest cosine, if that reaches the threshold. A file without one
 takes the licence of the nearest directory above it that has a licence file; its directories are joined by path.
 """
@@ -21,6 +21,8 @@ from metrum.llm.text import map_arrow
 
 THRESHOLD = 0.6
 CUE = re.compile(r"licen[cs]e|copyright|public domain|all rights reserved|spdx", re.IGNORECASE)
+#: Words that tell nothing of a template, as they are in any text.
+PLAIN = frozenset("a all and any are as at be but by for from in into is it its may no not of on or provided such that the this to under use we with without work you".split())
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 FILE = r"(?i)^(un)?licen[cs]e([-_.].*)?$|^copying([-_.].*)?$|^notice([-_.].*)?$"
 #: Notices as their licences' publishers word them, by SPDX identifier.
@@ -44,12 +46,42 @@ TEMPLATES = {
 }
 
 
-def candidates(text: str | None, licence_file: bool) -> list[Counter]:
-    """Word counts of the paragraphs (lines) of a whole text that speak of a licence."""
-    if not text or not (licence_file or CUE.search(text)):
+class Cues:
+    """The telling words of templates, and of how many a text must hold for a cosine at the threshold.
+
+    No cosine exceeds the share of a template's length that the common words have. Plain words weigh little, the others
+    count alike here, so a share of the square of the threshold is needed.
+    """
+
+    def __init__(self, templates: dict[str, list[str]], threshold: float):
+        self.need: list[int] = []
+        self.templates: dict[str, set[int]] = {}
+        for words in (WORD.findall(text.lower()) for texts in templates.values() for text in texts):
+            telling = set(words) - PLAIN or set(words)
+            for word in telling:
+                self.templates.setdefault(word, set()).add(len(self.need))
+            self.need.append(max(1, math.ceil(threshold * threshold * len(telling))))
+
+    def enough(self, words: list[str]) -> bool:
+        """Whether these words hold enough telling ones of a template."""
+        held = self.templates.keys() & words
+        counts = Counter(n for word in held for n in self.templates[word])
+        return any(k >= self.need[n] for n, k in counts.items())
+
+
+CUES = Cues(TEMPLATES, THRESHOLD)
+
+
+def candidates(text: str | None, licence_file: bool, cues: Cues = CUES) -> list[Counter]:
+    """Word counts of the lines of a whole text that speak of a licence."""
+    if not text:
         return []
-    lines = [line for line in text.splitlines() if licence_file or CUE.search(line)]
-    return [counts for counts in (Counter(WORD.findall(line.lower())) for line in lines) if counts]
+    cue, found = CUE.search(text), []
+    for line in text.splitlines():
+        words = WORD.findall(line.lower())
+        if words and (licence_file or cue and CUE.search(line) or cues.enough(words)):
+            found.append(Counter(words))
+    return found
 
 
 class Templates:
@@ -78,13 +110,13 @@ class Templates:
         return best
 
 
-def frequencies(files: DataFrame, words: set[str]) -> tuple[int, dict[str, int]]:
+def frequencies(files: DataFrame, words: set[str], cues: Cues) -> tuple[int, dict[str, int]]:
     """Number of candidates in all files, and of those that hold each word of the templates (a bounded list)."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: Counter = Counter()
         for text, own in zip(batch.column("text").to_pylist(), batch.column("licence_file").to_pylist()):
-            for counts in candidates(text, own):
+            for counts in candidates(text, own, cues):
                 found.update({""} | (words & counts.keys()))
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
@@ -110,12 +142,13 @@ def licences(files: DataFrame, path: str = "path", text: str = "text", templates
     rows = files.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
     rows = rows.withColumn("licence_file", F.coalesce(name.rlike(FILE), F.lit(False)))
     words = {w for texts in templates.values() for t in texts for w in WORD.findall(t.lower())}
-    held = files.sparkSession.sparkContext.broadcast(Templates(templates, *frequencies(rows, words)))
+    cues = Cues(templates, threshold)
+    held = files.sparkSession.sparkContext.broadcast(Templates(templates, *frequencies(rows, words, cues)))
 
     def match(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, scores = [], []
         for whole, own in zip(batch.column("text").to_pylist(), batch.column("licence_file").to_pylist()):
-            best = max((held.value.closest(c) for c in candidates(whole, own)), key=lambda b: b[0], default=(-1.0, ""))
+            best = max((held.value.closest(c) for c in candidates(whole, own, cues)), key=lambda b: b[0], default=(-1.0, ""))
             good = best[0] >= threshold
             found.append(best[1] if good else None)
             scores.append(round(best[0], 6) if good else None)

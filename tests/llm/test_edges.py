@@ -235,6 +235,15 @@ def test_licences(spark):
     assert licences.licences(files.limit(0)).count() == 0
 
 
+def test_notices_without_cue_words(spark):
+    notices = [(name, text) for name, texts in licences.TEMPLATES.items() for text in texts]
+    rows = [(f"{i}/x.py", f"import os\n\n# {text}\n\nprint(os.name)\n") for i, (_, text) in enumerate(notices)]
+    rows += [("own/LICENSE", "Released under the MIT License."), ("own/a.c", "int a;\n/* Proprietary and confidential. Unauthorized copying of this file is strictly prohibited. */\n"), ("own/b.c", "int b;\n")]
+    got = {r.path: r for r in licences.licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [(got[f"{i}/x.py"].licence, got[f"{i}/x.py"].origin) for i in range(len(notices))] == [(name, "own") for name, _ in notices]
+    assert (got["own/a.c"].licence, got["own/a.c"].origin) == ("Proprietary", "own") and (got["own/b.c"].licence, got["own/b.c"].origin) == ("MIT", "inherited")
+
+
 def test_languages(documents, nothing):
     names, model = languages.learn(documents)
     found = by_id(languages.identify(documents, names, model))
