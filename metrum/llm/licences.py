@@ -1,8 +1,10 @@
 """License scans: headers and licence files against templates by sparse TF-IDF cosine, then inheritance by path.
 
 A file's candidates are the lines that speak of a licence: of a licence file all, of any other file those that hold
-one of the cue words or enough words of a template. Words are weighed by how rare they are among the candidates of the whole corpus and the
-templates. A file's licence is the template of the greatest cosine, if that reaches the threshold. A file without one
+one of the cue words or enough words of a template. Further ones are windows of a template's length over the words of
+the whole text, wherever these hold enough of its words, as notices are wrapped or stand amid other text. Words are weighed by how rare they are among the candidates of the whole corpus and the
+templates. A file's licence is the template of the greatest cosine, if that reaches the threshold; of equals
+the longest, and none whose text is a part of another licence's that is found as well. A file without one
 takes the licence of the nearest directory above it that has a licence file; its directories are joined by path.
 """
 
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -23,6 +26,9 @@ THRESHOLD = 0.6
 CUE = re.compile(r"licen[cs]e|copyright|public domain|all rights reserved|spdx", re.IGNORECASE)
 #: Words that tell nothing of a template, as they are in any text.
 PLAIN = frozenset("a all and any are as at be but by for from in into is it its may no not of on or provided such that the this to under use we with without work you".split())
+MARK = re.compile(r"^\s*(?:rem|dnl)\s", re.IGNORECASE)  # comment marks of letters; others are no words
+#: Licences whose text holds the notice of another.
+HOLDS = {"BSD-3-Clause": {"BSD-2-Clause"}}
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 FILE = r"(?i)^(un)?licen[cs]e([-_.].*)?$|^copying([-_.].*)?$|^notice([-_.].*)?$"
 #: Notices as their licences' publishers word them, by SPDX identifier.
@@ -55,11 +61,17 @@ class Cues:
 
     def __init__(self, templates: dict[str, list[str]], threshold: float):
         self.need: list[int] = []
+        self.size: list[int] = []
         self.templates: dict[str, set[int]] = {}
+        self.offsets: dict[str, list[tuple[int, int]]] = {}
         for words in (WORD.findall(text.lower()) for texts in templates.values() for text in texts):
             telling = set(words) - PLAIN or set(words)
             for word in telling:
                 self.templates.setdefault(word, set()).add(len(self.need))
+            for offset, word in enumerate(words):
+                if word in telling:
+                    self.offsets.setdefault(word, []).append((len(self.need), offset))
+            self.size.append(len(words))
             self.need.append(max(1, math.ceil(threshold * threshold * len(telling))))
 
     def enough(self, words: list[str]) -> bool:
@@ -68,20 +80,57 @@ class Cues:
         counts = Counter(n for word in held for n in self.templates[word])
         return any(k >= self.need[n] for n, k in counts.items())
 
+    def windows(self, words: list[str]) -> list[tuple[int, int]]:
+        """Windows of a template's length that hold enough of its telling words.
+
+        They start where one of these words has its place in the template. Of windows that overlap the one counts that
+        holds most of them, then with most in place, then the first.
+        """
+        held: dict[int, list[int]] = {}
+        starts: dict[int, Counter] = {}
+        for place, word in enumerate(words):
+            if word in self.offsets:
+                for n in self.templates[word]:
+                    held.setdefault(n, []).append(place)
+                for n, offset in self.offsets[word]:
+                    starts.setdefault(n, Counter())[max(0, place - offset)] += 1
+        found: set[tuple[int, int]] = set()
+        for n, places in held.items():
+            size, need, best = self.size[n], self.need[n], None
+            if len(places) < need:
+                continue
+            for start, fit in sorted(starts[n].items()):
+                low, high = bisect_left(places, start), bisect_left(places, start + size)
+                if high - low < need or (k := len({words[p] for p in places[low:high]})) < need:
+                    continue
+                if best and start < best[2] + size:
+                    best = max(best, (k, fit, start), key=lambda b: (b[0], b[1], -b[2]))
+                    continue
+                if best:
+                    found.add((best[2], min(best[2] + size, len(words))))
+                best = (k, fit, start)
+            if best:
+                found.add((best[2], min(best[2] + size, len(words))))
+        return sorted(found)
+
 
 CUES = Cues(TEMPLATES, THRESHOLD)
 
 
 def candidates(text: str | None, licence_file: bool, cues: Cues = CUES) -> list[Counter]:
-    """Word counts of the lines of a whole text that speak of a licence."""
+    """Word counts of the lines of a whole text that speak of a licence, and of the windows that do."""
     if not text:
         return []
-    cue, found = CUE.search(text), []
+    cue, every, found = CUE.search(text), [], {}
     for line in text.splitlines():
-        words = WORD.findall(line.lower())
+        words = WORD.findall(MARK.sub("", line).lower())
         if words and (licence_file or cue and CUE.search(line) or cues.enough(words)):
-            found.append(Counter(words))
-    return found
+            found[len(every), len(every) + len(words)] = Counter(words)
+        every += words
+    for low, high in cues.windows(every):
+        if (low, high) not in found:
+            found[low, high] = Counter(every[low:high])
+    return list(found.values())
 
 
 class Templates:
@@ -99,16 +148,23 @@ class Templates:
         size = math.sqrt(sum(raw[w] * raw[w] for w in sorted(raw)))
         return {w: x / size for w, x in raw.items()}
 
-    def closest(self, counts: Counter) -> tuple[float, str]:
-        """The best cosine and its template; of equals the first name."""
+    def closest(self, counts: Counter) -> tuple[float, str, int]:
+        """The best cosine, its template and the number of its words; of equals the first name."""
         own = self._unit(counts)
-        best = (-1.0, "")
+        best = (-1.0, "", 0)
         for name, vector in self.vectors:
             cosine = math.fsum(x * own[w] for w, x in vector.items() if w in own)
             if cosine > best[0]:
-                best = (cosine, name)
+                best = (cosine, name, len(vector))
         return best
 
+    def choose(self, found: list[Counter], threshold: float) -> tuple[float, str] | None:
+        """The cosine and template of a file with these candidates, if one reaches the threshold."""
+        good = [b for b in map(self.closest, found) if b[0] >= threshold]
+        parts = {part for _, name, _ in good for part in HOLDS.get(name, ())}
+        best = max((b for b in good if b[1] not in parts), key=lambda b: (round(b[0], 6), b[2]), default=None)
+        return best and best[:2]
+
 
 def frequencies(files: DataFrame, words: set[str], cues: Cues) -> tuple[int, dict[str, int]]:
     """Number of candidates in all files, and of those that hold each word of the templates (a bounded list)."""
@@ -148,10 +204,9 @@ def licences(files: DataFrame, path: str = "path", text: str = "text", templates
     def match(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, scores = [], []
         for whole, own in zip(batch.column("text").to_pylist(), batch.column("licence_file").to_pylist()):
-            best = max((held.value.closest(c) for c in candidates(whole, own, cues)), key=lambda b: b[0], default=(-1.0, ""))
-            good = best[0] >= threshold
-            found.append(best[1] if good else None)
-            scores.append(round(best[0], 6) if good else None)
+            best = held.value.choose(candidates(whole, own, cues), threshold)
+            found.append(best[1] if best else None)
+            scores.append(round(best[0], 6) if best else None)
         return pa.RecordBatch.from_arrays([batch.column("path"), batch.column("licence_file"), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["path", "licence_file", "licence", "score"])
 
     matched = durable(map_arrow(rows, match, "path string, licence_file boolean, licence string, score double").withColumn("dir", parent(F.col("path"))))

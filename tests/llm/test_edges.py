@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import textwrap
 
 import pyarrow as pa
 import pytest
@@ -244,6 +245,32 @@ def test_notices_without_cue_words(spark):
     assert (got["own/a.c"].licence, got["own/a.c"].origin) == ("Proprietary", "own") and (got["own/b.c"].licence, got["own/b.c"].origin) == ("MIT", "inherited")
 
 
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above notice, this list of conditions and the following disclaimer."""
+BSD3 = BSD2 + """ 2. Neither the name of the Example Organization nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED AS IS."""
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify and merge it."""
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that this notice appears in all copies."
+
+
+def test_wrapped_notices(spark):
+    files = [("BSD-2-Clause", BSD2), ("BSD-3-Clause", BSD3), ("MIT", GRANT), ("ISC", ISC)]
+    rows, want = [], {}
+    for name, text in files:
+        for width in (30, 60, 72, 76, 80, 1000):
+            body = textwrap.wrap(text, width)
+            forms = {"LICENSE": "\n".join(body), "hash.py": "\n".join(["#!/bin/sh", "#", *(f"# {x}" for x in body), "import os"]), "star.c": "/*\r\n" + "\r\n".join(f" * {x}" for x in body) + "\r\n */\r\nint a;",
+                     "rem.bat": "\n".join(f"REM {x}" for x in body), "amid.md": "some words before\n" + "\n".join(body) + "\nand some behind"}
+            for file, whole in forms.items():
+                rows.append((f"{name}/{width}/{file}", whole))
+                want[rows[-1][0]] = (name, "own")
+            rows.append((f"{name}/{width}/src/x.c", "int a;"))
+            want[rows[-1][0]] = (name, "inherited")
+    got = {r.path: (r.licence, r.origin) for r in licences.licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == want
+
+
 def test_languages(documents, nothing):
     names, model = languages.learn(documents)
     found = by_id(languages.identify(documents, names, model))
