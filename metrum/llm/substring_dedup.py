@@ -87,8 +87,10 @@ class Chunk:
         order = np.argsort(keys, kind="stable")
         keys, doc, block = keys[order], self.doc[at[order]], block[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        last = np.concatenate([first[1:], [len(keys)]]) - 1 if len(keys) else first
-        return keys[first], np.logical_or.reduceat(block, first) if len(keys) else block, self.ids[doc[first]] != self.ids[doc[last]] if len(keys) else block
+        if not len(keys):
+            return keys, block, block
+        ids = self.ids[doc]  # repeated rows: both ends of a run may have one id and another be between
+        return keys[first], np.logical_or.reduceat(block, first), np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
 
     def candidates(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows around anchors: starts in order of hash, two hashes, the window's number among the distinct, its first place."""

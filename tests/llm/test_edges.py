@@ -165,6 +165,15 @@ def test_substrings(documents, nothing):
     assert substring_dedup.without_repeats(nothing).count() == 0
 
 
+def test_substrings_between_repeated_rows(spark):
+    passage = " ".join(f"shared{i}" for i in range(13))
+    rows = [(5, passage), (7, f"own {passage} end"), (5, passage)]
+    for order in (rows, [rows[1], rows[0], rows[2]], [(5, f"{passage} x"), *rows, (5, passage)]):
+        found = substring_dedup.without_repeats(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert [(r.kept, r.n_removed) for r in found if r.doc_id == 7] == [("own end", 13)]
+        assert all(r.n_removed == 0 for r in found if r.doc_id == 5)
+
+
 def test_quality(documents, nothing, labels):
     net = quality.train(documents, labels)
     found = by_id(quality.scored(documents, net))
