@@ -44,7 +44,6 @@ CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 OPENSSH = b"openssh-key-v1\x00"
-DEPTH = 2
 MARK = "[SECRET]"
 
 
@@ -189,7 +188,7 @@ def wraps(sizes: list[int]) -> list[tuple[int, int]]:
     return list(dict.fromkeys(ranges))
 
 
-def wrapped_spans(text: str, blocks: list[tuple[int, int]], depth: int) -> list[tuple[str, int, int]]:
+def wrapped_spans(text: str, blocks: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Secrets in base64 or hex that go on over several lines, outside the blocks; in order, disjoint."""
     found = []
     for run in WRAPPED.finditer(text):
@@ -206,54 +205,55 @@ def wrapped_spans(text: str, blocks: list[tuple[int, int]], depth: int) -> list[
             whole = "".join(text[a:b] for a, b in lines[low:high])
             if len(whole) < 16:
                 continue
-            kind = _decoded(decode(whole), depth)
+            kind = _decoded(decode(whole))
             if not kind and len(whole) % 2 == 0 and HEX_CANDIDATE.fullmatch(whole):
-                kind = _decoded(bytes.fromhex(whole), depth)
+                kind = _decoded(bytes.fromhex(whole))
             if kind:
                 found.append((kind, lines[low][0], lines[high - 1][1]))
                 done = high
     return found
 
 
-def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
+def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded structure is that of a secret."""
     found: list[tuple[str, int, int]] = []
     blocks = [(start, end) for label, start, low, high, end in pem_blocks(text) if is_pem_key(label, text[low:high])]
     found += [("pem", *span) for span in blocks]
     if "." in text:
         found += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed(m[1], m[2])]
-    joined = wrapped_spans(text, blocks, depth)
+    joined = wrapped_spans(text, blocks)
     found += joined
     wrapped = [(low, high) for _, low, high in joined]
     blocks = sorted(blocks + wrapped)
     for m in CANDIDATE.finditer(text):
         if not inside(m.start(), blocks):
-            kind = _decoded(decode(m[0]), depth)
+            kind = _decoded(decode(m[0]))
             if kind:
                 found.append((kind, *m.span()))
     for m in HEX_CANDIDATE.finditer(text):
         if not inside(m.start(), wrapped):
-            kind = _decoded(bytes.fromhex(m[0]), depth) if (m.end() - m.start()) % 2 == 0 else None
+            kind = _decoded(bytes.fromhex(m[0])) if (m.end() - m.start()) % 2 == 0 else None
             if kind and (kind, *m.span()) not in found:
                 found.append((kind, *m.span()))
     return found
 
 
-def _decoded(data: bytes | None, depth: int) -> str | None:
+def _decoded(data: bytes | None) -> str | None:
+    """What bytes are, if a secret. Text is scanned as any other: each layer is shorter than the one around it, so that ends."""
     if not data:
         return None
     if is_der_key(data):
         return "der"
     if is_ssh_key(data):
         return "ssh"
-    if depth and len(data) >= 12:
+    if len(data) >= 12:
         try:
             text = data.decode()
         except UnicodeDecodeError:
             return None
         if CONTROL.search(text):
             return None
-        if any(kind != "hex" for kind, _, _ in base_spans(text)) or confirmed_spans(text, depth - 1):
+        if any(kind != "hex" for kind, _, _ in base_spans(text)) or confirmed_spans(text):
             return "encoded"
     return None
 

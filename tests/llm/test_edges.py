@@ -143,6 +143,15 @@ def test_wrapped_text_that_is_no_secret():
         assert [s for s in secret_scan.find(text) if s[0] not in secret_scan.BASE] == []
 
 
+def test_layers_of_any_number():
+    for secret in (b"password=hunter2", LOCKED.encode(), DER):
+        for n in (1, 2, 3, 4, 9, 20):
+            data = secret
+            for i in range(n):
+                data = base64.b64encode(data) if i % 4 else data.hex().upper().encode() if i % 8 else base64.encodebytes(data).rstrip()
+            assert secret_scan.redact(f"a {data.decode()} b") == "a [SECRET] b"
+
+
 def test_top_k(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0], "x"), (0, [1.0, 0.0], "y"), (1, [0.5, 0.5], "x"), (2, [0.5, 0.5], "x"), (3, None, "x"), (4, [nan, 1.0], "x"), (5, [None, 1.0], "x"), (None, [9.0, 9.0], "x"), (6, [], "x"), (7, [-1.0], "x"), (100, [2.0, 2.0], None)]
