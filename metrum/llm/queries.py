@@ -1,6 +1,6 @@
 """The queries of the pipeline's operators, and their SQL where SQL can express them."""
 
-from metrum.llm import chat, decontamination, languages, licences, near_dedup, pieces, quality, retrieval, secret_scan, substring_dedup
+from metrum.llm import alignment, chat, decontamination, languages, licences, near_dedup, pieces, quality, retrieval, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_pieces": pieces.op8_pieces,
     "op9_licences": licences.op9_licences,
     "op10_languages": languages.op10_languages,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {
     "op1_decontamination": decontamination.OP1_SQL,
