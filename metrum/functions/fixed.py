@@ -171,3 +171,10 @@ STORAGE_CATEGORIES = (
 )
 CLEARABLE_CATEGORIES = ("work", "logs", "model-cache")
 PROTECTED_NAMES = ("uploads", "stem-exports", "r2-sync-cache.json")
+
+# Messages of a job that was stopped, and of one that was asked to stop.
+CANCELED_MESSAGE = "Canceled"
+CANCEL_REQUESTED_MESSAGE = "Cancel requested"
+
+# Messages of the job monitor; the first with the seconds since the start.
+RUNNING_MESSAGE = "Analyzer running for %ds"

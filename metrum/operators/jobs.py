@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metrum.functions.fixed import CANCELED_MESSAGE, CANCEL_REQUESTED_MESSAGE
 from metrum.functions.scalars import or_default
 
 
@@ -103,7 +104,7 @@ def cancel(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     stop = waiting | queued
     values = {
         "stage": F.when(stop, "canceled").otherwise(F.col("stage")),
-        "message": F.when(stop, "Canceled").when(running_, "Cancel requested").otherwise(F.col("message")),
+        "message": F.when(stop, CANCELED_MESSAGE).when(running_, CANCEL_REQUESTED_MESSAGE).otherwise(F.col("message")),
         "error": F.when(~stop, F.col("error")),
         "canceled": stop | truthy("canceled"),
         "cancel_requested": stop | running_ | truthy("cancel_requested"),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metrum.operators.library import practice_stats
 from metrum.queries.registry import query, scratch
 from metrum.queries.scalars import LINES_SQL, log_lines
 from metrum.queries.views import Views
+from metrum.streaming import monitor as M
 from metrum.streaming import streams as Z
 
 
@@ -22,6 +23,24 @@ def source(v: Views, table: str) -> DataFrame:
     return reader.parquet(v.sf_dir)
 
 
+ARRIVALS = 5
+
+
+def arriving(v: Views, table: str, at: str, work: str) -> DataFrame:
+    """The whole table as a stream of several files, one a batch: cut by time, with rows up to six minutes out of order."""
+    rows = v.table(table)
+    moment = F.unix_micros(F.col(at).cast("timestamp")) + F.col("event_id") % 7 * 60_000_000
+    low, high = rows.agg(F.min(moment), F.max(moment)).first()
+    return in_files(v, rows, F.floor((moment - F.lit(low)) * ARRIVALS / F.lit(max(1, (high or 0) - (low or 0) + 1))), work)
+
+
+def in_files(v: Views, rows: DataFrame, part: Column, work: str) -> DataFrame:
+    """Rows as a stream that gets those of part 0, 1, ... one after the other."""
+    for k in range(ARRIVALS):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{work}/arrived")
+    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/arrived")
+
+
 def status_events(events: DataFrame) -> DataFrame:
     """Status events of jobs named after the visitor's tens; purchases finish a job, errors ask to cancel it."""
     kind = F.col("event_type")
@@ -70,8 +89,8 @@ def _(v: Views):
 @query("job_state_stream", STATE_SQL)
 def _(v: Views):
     work = scratch(v.spark)
-    drain(Z.job_state_stream(status_events(source(v, "events")), f"{work}/out"), work)
-    return _micros(Z.latest_of(Z.read_epochs(v.spark, f"{work}/out"), ["id"]), "started", "updated")
+    drain(Z.job_state_stream(status_events(arriving(v, "events", "ts", work)), f"{work}/out"), work)
+    return _micros(Z.read_job_states(v.spark, f"{work}/out"), "started", "updated")
 
 
 CHANGES_SQL = f"""
@@ -87,10 +106,14 @@ def _(v: Views):
     return Z.change_log(status_events(v.table("events"))).select("id", "seq", "stage", "message", "error")
 
 
-@query("change_log_stream", CHANGES_SQL)
+SETTLED_SQL = "t <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"
+
+
+@query("change_log_stream", f"SELECT id, seq, stage, message, error FROM ({CHANGES_SQL.replace('SELECT id, seq, stage', 'SELECT t, id, seq, stage')}) WHERE {SETTLED_SQL}")
 def _(v: Views):
     work = scratch(v.spark)
-    drain(Z.change_log_stream(status_events(source(v, "events")), f"{work}/out", f"{work}/state"), work)
+    # What is younger than the delay when the table ends is not settled yet.
+    drain(Z.change_log_stream(status_events(arriving(v, "events", "ts", work)), f"{work}/out", f"{work}/state"), work)
     return Z.read_epochs(v.spark, f"{work}/out").select("id", "seq", "stage", "message", "error")
 
 
@@ -102,10 +125,11 @@ def _lines(events: DataFrame) -> DataFrame:
     "stage_stream",
     f"""
     WITH {LINES_SQL},
-    k AS (SELECT CAST(e.user_id AS VARCHAR) AS id, e.event_id AS seq, stage, message,
+    k AS (SELECT CAST(e.user_id AS VARCHAR) AS id, e.ts AS t, e.event_id AS seq, stage, message,
                  lag(stage) OVER w AS ps, lag(message) OVER w AS pm FROM stages t JOIN events e ON e.event_id = t.event_id
           WHERE stage IS NOT NULL WINDOW w AS (PARTITION BY e.user_id ORDER BY e.ts, e.event_id))
-    SELECT id, seq, stage, message FROM k WHERE ps IS DISTINCT FROM stage OR pm IS DISTINCT FROM message""",
+    SELECT id, seq, stage, message FROM k WHERE (ps IS DISTINCT FROM stage OR pm IS DISTINCT FROM message)
+        AND t <= (SELECT max(e.ts) FROM stages t JOIN events e ON e.event_id = t.event_id WHERE stage IS NOT NULL) - INTERVAL 10 MINUTES""",
 )
 def _(v: Views):
     work = scratch(v.spark)
@@ -113,7 +137,7 @@ def _(v: Views):
     class Streamed:
         @staticmethod
         def table(name: str) -> DataFrame:
-            return source(v, name)
+            return arriving(v, name, "ts", work)
 
     drain(Z.stage_stream(_lines(log_lines(Streamed)), f"{work}/out", f"{work}/state"), work)
     return Z.read_epochs(v.spark, f"{work}/out").select("id", "seq", "stage", "message")
@@ -163,6 +187,47 @@ def _(v: Views):
     return _micros(Z.read_epochs(v.spark, f"{work}/out").drop("epoch"), "first_at", "last_at", "stalled_at")
 
 
+BEAT, QUIET, LIMIT = 7200, 72_000, 180_000
+WATCH_SQL = f"""
+    WITH RECURSIVE l AS (SELECT user_id || '-' || epoch_us(ts) // 259200000000 AS id, epoch_us(ts) AS t, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS d
+        FROM events GROUP BY ALL),
+    n AS (SELECT *, lead(t) OVER (PARTITION BY id ORDER BY t) AS nx, min(t) OVER (PARTITION BY id) AS f FROM l),
+    steps AS (
+        SELECT id, t, nx, f, d, t = f AS run FROM n WHERE t = f
+        UNION ALL
+        SELECT n.id, n.t, n.nx, n.f, n.d, true FROM steps s JOIN n ON n.id = s.id AND n.t = s.nx
+        WHERE s.d = 0 AND s.nx - s.t < {QUIET}000000 AND s.nx < s.f + {LIMIT}000000),
+    e AS (SELECT *, least(t + {QUIET}000000, f + {LIMIT}000000) AS stop, d = 0 AND (nx IS NULL OR nx >= least(t + {QUIET}000000, f + {LIMIT}000000)) AS over FROM steps),
+    seen AS (
+        SELECT id, CASE WHEN stop = f + {LIMIT}000000 THEN 'expired' ELSE 'silent' END AS kind, stop AS moment, f FROM e WHERE over
+        UNION ALL
+        SELECT id, 'heartbeat', t + k * {BEAT}000000, f FROM e, unnest(range(1, {LIMIT // BEAT + 2})) AS r(k)
+        WHERE d = 0 AND CASE WHEN over THEN t + k * {BEAT}000000 < stop ELSE t + k * {BEAT}000000 <= nx END)
+    SELECT id, kind, moment AS "at", (moment - f) // 1000000 AS elapsed FROM seen
+    WHERE moment <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events)"""
+
+
+def _job_lines(events: DataFrame) -> DataFrame:
+    """Lines of jobs, one for each visitor and three days; a purchase is the last line."""
+    at = F.col("ts").cast("timestamp")
+    job = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor(F.unix_micros(at) / 259_200_000_000).cast("string"))
+    return events.select(job.alias("id"), at.alias("at"), (F.col("event_type") == "purchase").alias("done"))
+
+
+@query("watch", WATCH_SQL)
+def _(v: Views):
+    lines = _job_lines(v.table("events"))
+    last = lines.agg(F.unix_micros(F.max("at"))).first()[0] or 0
+    return _micros(M.watch(lines, BEAT, QUIET, LIMIT, F.timestamp_micros(F.lit(last // 1000 * 1000 - 600_000_000))), "at")
+
+
+@query("watch_stream", WATCH_SQL)
+def _(v: Views):
+    work = scratch(v.spark)
+    drain(M.watch_stream(_job_lines(arriving(v, "events", "ts", work)), f"{work}/out", BEAT, QUIET, LIMIT), work)
+    return _micros(Z.read_epochs(v.spark, f"{work}/out").drop("epoch"), "at")
+
+
 @query(
     "practice_stream",
     """
@@ -171,7 +236,7 @@ def _(v: Views):
 )
 def _(v: Views):
     work = scratch(v.spark)
-    plays = source(v, "events").select(F.col("user_id").alias("id"), (F.col("event_id") % 40).alias("visit"), F.col("ts").cast("timestamp").alias("at"))
+    plays = arriving(v, "events", "ts", work).select(F.col("user_id").alias("id"), (F.col("event_id") % 40).alias("visit"), F.col("ts").cast("timestamp").alias("at"))
     drain(Z.play_stream(plays, f"{work}/out"), work)
     return practice_stats(Z.read_epochs(v.spark, f"{work}/out")).select("id", "play_count")
 
@@ -188,7 +253,7 @@ def _(v: Views):
     work = scratch(v.spark)
     k = F.col("doc_id")
     digest = F.sha2("text", 256)
-    changes = source(v, "documents").select(
+    changes = in_files(v, v.table("documents"), k % ARRIVALS, work).select(
         k.alias("id"), digest.alias("digest"), F.lit(10.0).alias("updated_at"), F.lit(False).alias("deleted"),
         F.lit(None).cast("double").alias("deleted_at"), F.lit("d").alias("device"),
     )

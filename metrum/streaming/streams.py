@@ -1,8 +1,10 @@
 """Stream jobs over status events, log lines, plays and sync changes.
 
-Each job is a plain streaming plan where Spark has the operator (aggregation, session window, de-duplication within a
-watermark); otherwise a micro-batch is processed with the same skew-safe batch operator that its twin uses, and what
-the next batch needs is written by epoch. Epoch directories are overwritten on a retry, so output is exactly once.
+Each job is a plain streaming plan where Spark has the operator (session window, de-duplication). Where rows of one key
+depend on each other without bound, a micro-batch is processed with the skew-safe batch operator that its twin uses, and
+what later batches need goes to a :class:`metrum.streaming.store.Store`, which writes about as much as the batch has
+keys. Where time itself acts (heartbeats, limits), keyed state with timers does. Epoch directories and runs are
+overwritten on a retry, so output is exactly once.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from metrum.functions.fixed import CANCELED_MESSAGE, CANCEL_REQUESTED_MESSAGE
 from metrum.functions.scalars import stage_of
 from metrum.operators.sync import apply_reconciled, reconcile
 from metrum.plans.ordered import Scan, running, time_tile
+from metrum.streaming.store import Store
 
 LATENESS = "10 minutes"
 
@@ -38,50 +42,83 @@ def read_epochs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def latest_of(epochs: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest row of each key of an update-mode output."""
-    rest = [c for c in epochs.columns if c not in (*keys, "epoch")]
-    newest = epochs.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r"))
-    return newest.select(*keys, "_r.*")
+# --- job states ----------------------------------------------------------------------------------------------
 
 
-# --- job states ----------------------------------------------------------------------------------------------
+JOB_PARTS = {"_started": F.min, "_last": F.max, "_done": F.min, "_cancel": F.min}
+"""What is kept of a job: the earliest or latest of each, so parts of a job's events can be put together in any order."""
+
+
+def job_parts(events: DataFrame) -> DataFrame:
+    """One row per job of events ``(id, at, seq, stage, message, done, error, cancel)`` with the columns of :data:`JOB_PARTS`."""
+    order = [F.col("at"), F.col("seq")]
+    update = ~F.col("cancel")
+    place = F.struct(*order)
+    values = {
+        "_started": F.col("at"),
+        "_last": F.when(update, F.struct(*order, "stage", "message", "done", "error")),
+        "_done": F.when(update & F.col("done"), place),
+        "_cancel": F.when(F.col("cancel"), place),
+    }
+    return events.groupBy("id").agg(*[JOB_PARTS[name](value).alias(name) for name, value in values.items()])
+
+
+def states_of(parts: DataFrame) -> DataFrame:
+    """The state of each job from its parts."""
+    counts = F.col("_cancel").isNotNull() & (F.col("_done").isNull() | (F.col("_cancel") < F.col("_done")))
+    queued = counts & F.coalesce(F.col("_last.stage") == "queued", F.lit(True))
+    stage = F.when(queued, "canceled").otherwise(F.col("_last.stage"))
+    message = F.when(queued, CANCELED_MESSAGE).when(counts & ~F.col("_last.done"), CANCEL_REQUESTED_MESSAGE).otherwise(F.col("_last.message"))
+    latest = F.greatest(F.col("_last.at"), F.when(counts, F.col("_cancel.at")))
+    return parts.select(
+        "id", stage.alias("stage"), message.alias("message"), (queued | F.coalesce("_last.done", F.lit(False))).alias("done"),
+        F.when(~queued, F.col("_last.error")).alias("error"), counts.alias("cancel_requested"), F.col("_started").alias("started"), latest.alias("updated"),
+    )
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """Latest state per job from events ``(id, at, seq, stage, message, done, error, cancel)``, batch or stream.
+    """Latest state per job from events ``(id, at, seq, stage, message, done, error, cancel)``.
 
     The order of events is ``(at, seq)``, whatever order they arrive in, so late ones never overwrite newer ones. A
     cancel request counts only before the job is done. All parts are mergeable aggregates: a job with very many
-    events is combined before the shuffle. In a stream use update mode.
+    events is combined before the shuffle.
     """
-    order = F.struct("at", "seq")
-    update = ~F.col("cancel")
-    finished = update & F.col("done")
+    return states_of(job_parts(events))
 
-    def at_when(condition: Column) -> Column:
-        return F.when(condition, order)
 
-    state = events.groupBy("id").agg(
-        F.min("at").alias("started"),
-        F.max_by(F.struct("stage", "message", "done", "error"), at_when(update)).alias("_last"),
-        F.max(at_when(update)).alias("_at"),
-        F.min(at_when(finished)).alias("_done"),
-        F.min(at_when(F.col("cancel"))).alias("_cancel"),
-    )
-    counts = F.col("_cancel").isNotNull() & (F.col("_done").isNull() | (F.col("_cancel") < F.col("_done")))
-    queued = counts & F.coalesce(F.col("_last.stage") == "queued", F.lit(True))
-    stage = F.when(queued, "canceled").otherwise(F.col("_last.stage"))
-    message = F.when(queued, "Canceled").when(counts & ~F.col("_last.done"), "Cancel requested").otherwise(F.col("_last.message"))
-    latest = F.greatest(F.col("_at.at"), F.when(counts, F.col("_cancel.at")))
-    return state.select(
-        "id", stage.alias("stage"), message.alias("message"), (queued | F.coalesce("_last.done", F.lit(False))).alias("done"),
-        F.when(~queued, F.col("_last.error")).alias("error"), counts.alias("cancel_requested"), "started", latest.alias("updated"),
-    )
+def job_state_stream(events: DataFrame, path: str, keep: str | None = None) -> DataStreamWriter:
+    """Keep the state of every job under ``path``; read it with :func:`read_job_states`.
+
+    A batch looks up the jobs it has events of, and writes these. With ``keep``, an interval, a job that is done is
+    closed that long after its last event: a later event of its id begins a new record, as a new run of the job does,
+    and records that old, against the newest event of the batch, go when the base is rewritten.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        store = Store(batch.sparkSession, path, ["id"])
+        new = job_parts(batch)
+        known, forget = store.read(epoch, new.select("id")), None
+        if keep:
+            age = F.expr(f"INTERVAL {keep}")
+            over = F.col("_done").isNotNull()
+            last = F.greatest("_last.at", "_cancel.at")
+            if known is not None:
+                first = new.select("id", F.col("_started").alias("_from"))
+                known = known.join(first, "id").where(~(over & (last < F.col("_from") - age))).drop("_from")
+            newest = batch.agg(F.max("at")).first()[0]
+            forget = over & (last < F.lit(newest) - age)
+        if known is not None:
+            both = known.select(*new.columns).unionByName(new)
+            new = both.groupBy("id").agg(*[merge(name).alias(name) for name, merge in JOB_PARTS.items()])
+        store.write(epoch, new, forget)
+
+    return events.writeStream.foreachBatch(sink)
 
 
-def job_state_stream(events: DataFrame, path: str) -> DataStreamWriter:
-    return write_epochs(job_states(events), path, "update")
+def read_job_states(spark: SparkSession, path: str) -> DataFrame | None:
+    """The states after the last batch."""
+    parts = Store(spark, path, ["id"]).read()
+    return None if parts is None else states_of(parts)
 
 
 # --- change log ----------------------------------------------------------------------------------------------
@@ -99,29 +136,48 @@ def change_log(events: DataFrame, keys: tuple[str, ...] = ("id",), seconds: floa
     return seen.filter(F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(triple)).drop("_prev")
 
 
-def change_log_stream(events: DataFrame, path: str, state_path: str, late_path: str | None = None) -> DataStreamWriter:
-    """Append changes to ``path``; the last event of each job is kept by epoch under ``state_path``.
+def _until(micros: int | None) -> Column:
+    return F.coalesce(F.unix_micros("at") <= F.lit(micros).cast("long"), F.lit(False))
 
-    What was appended can't change any more, so events older than the last one of their job in an earlier batch go to
-    ``late_path`` (``path`` with ``_late``) instead. Log and late events together hold every change of the batch twin:
-    ``change_log`` over both is the twin's log.
+
+def change_log_stream(events: DataFrame, path: str, state_path: str, late_path: str | None = None, delay: str = LATENESS) -> DataStreamWriter:
+    """Append changes to ``path`` once they are settled: events older by ``delay`` than the newest one seen.
+
+    Younger events wait, by epoch, under ``state_path``; so does the last settled event of each job, in a store. A batch
+    reads and writes what waits, and the jobs that settle. Events that come after their time was settled go to
+    ``late_path`` (``path`` with ``_late``). So the log is that of the batch twin over all events in time, whatever
+    order they came in; ``change_log`` over log and late events is the twin's log over all. Events without a time are
+    late.
     """
     aside = late_path or f"{path}_late"
     columns = ["id", "at", "seq", *TRIPLE]
+    place = F.struct("at", "seq")
 
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*columns).withColumn("_old", F.lit(False))
+        store = Store(spark, f"{state_path}/last", ["id"])
+        waiting, marks = f"{state_path}/waiting", f"{state_path}/settled"
+        held, mark = batch.select(*columns), None
         if epoch > 0:
-            known = spark.read.parquet(epoch_path(state_path, epoch - 1))
-            last = known.select("id", F.struct("at", "seq").alias("_last"))
-            rows = rows.join(last, "id", "left")
-            fresh = F.col("_last").isNull() | (F.struct("at", "seq") > F.col("_last"))
-            rows.filter(~fresh).select(*columns).write.mode("overwrite").parquet(epoch_path(aside, epoch))
-            rows = rows.filter(fresh).drop("_last").unionByName(known.withColumn("_old", F.lit(True)))
-        change_log(rows).filter("not _old").select(*columns).write.mode("overwrite").parquet(epoch_path(path, epoch))
-        newest = rows.groupBy("id").agg(F.max_by(F.struct(*columns[1:]), F.struct("at", "seq")).alias("_r"))
-        newest.select("id", "_r.*").write.mode("overwrite").parquet(epoch_path(state_path, epoch))
+            mark = spark.read.parquet(epoch_path(marks, epoch - 1)).first()["at"]
+        newest = held.agg(F.unix_micros(F.max("at") - F.expr(f"INTERVAL {delay}")).alias("at")).first()["at"]
+        settled = max((t for t in (mark, newest) if t is not None), default=None)
+        late = F.col("at").isNull() | _until(mark)
+        held.where(late).write.mode("overwrite").parquet(epoch_path(aside, epoch))
+        held = held.where(~late)
+        if epoch > 0:
+            held = held.unionByName(spark.read.parquet(epoch_path(waiting, epoch - 1)))
+        spark.range(1).select(F.lit(settled).cast("long").alias("at")).write.mode("overwrite").parquet(epoch_path(marks, epoch))
+        over = _until(settled)
+        held.where(~over).write.mode("overwrite").parquet(epoch_path(waiting, epoch))
+        due = held.where(over)
+        now = due.withColumn("_old", F.lit(False))
+        known = store.read(epoch, due.select("id").distinct())
+        if known is not None:
+            now = now.unionByName(known.select(*columns).withColumn("_old", F.lit(True)))
+        change_log(now).filter("not _old").select(*columns).write.mode("overwrite").parquet(epoch_path(path, epoch))
+        last = due.groupBy("id").agg(F.max_by(F.struct(*columns[1:]), place).alias("_r"))
+        store.write(epoch, last.select("id", "_r.*"))
 
     return events.writeStream.foreachBatch(sink)
 
@@ -132,8 +188,8 @@ def stages(lines: DataFrame) -> DataFrame:
     return hit.select("id", "at", "seq", "_s.stage", "_s.message", F.lit(None).cast("string").alias("error"))
 
 
-def stage_stream(lines: DataFrame, path: str, state_path: str) -> DataStreamWriter:
-    return change_log_stream(stages(lines), path, state_path)
+def stage_stream(lines: DataFrame, path: str, state_path: str, delay: str = LATENESS) -> DataStreamWriter:
+    return change_log_stream(stages(lines), path, state_path, delay=delay)
 
 
 # --- silence -------------------------------------------------------------------------------------------------
@@ -169,12 +225,28 @@ def stall_stream(lines: DataFrame, path: str, quiet: str, limit: float | None =
 # --- plays ---------------------------------------------------------------------------------------------------
 
 
-def play_stream(plays: DataFrame, path: str) -> DataStreamWriter:
-    """Append plays ``(id, visit, at)``, one per session and page visit, however late a repetition comes.
+def play_stream(plays: DataFrame, path: str, within: str | None = None) -> DataStreamWriter:
+    """Append plays ``(id, visit, at)``, one per session and page visit.
 
-    A watermark would lose late plays, so every visit is remembered; use a state store on disk for many visits. Counts and latest plays are :func:`metrum.operators.library.practice_stats` over the appended table.
+    With ``within``, an interval, repetitions of a visit are looked for in that time only, and visits are then
+    forgotten. Without it a repetition is found however late it comes: visits met are kept in a store under ``path``
+    with ``_met``, where a batch looks up and adds its own, not in the memory of executors. Counts and latest plays are
+    :func:`metrum.operators.library.practice_stats` over the appended table.
     """
-    return write_epochs(plays.dropDuplicates(["id", "visit"]), path)
+    if within:
+        return write_epochs(plays.withWatermark("at", within).dropDuplicatesWithinWatermark(["id", "visit"]), path)
+    keys = ["id", "visit"]
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        store = Store(batch.sparkSession, f"{path}_met", keys)
+        new = batch.groupBy(*keys).agg(F.min("at").alias("at"))
+        known = store.read(epoch, new.select(*keys))
+        if known is not None:
+            new = new.join(known.select(*keys), keys, "left_anti")
+        new.write.mode("overwrite").parquet(epoch_path(path, epoch))
+        store.write(epoch, batch.sparkSession.read.parquet(epoch_path(path, epoch)))
+
+    return plays.writeStream.foreachBatch(sink)
 
 
 # --- sync ----------------------------------------------------------------------------------------------------
@@ -186,10 +258,9 @@ def sync_stream(
     """Reconcile each micro-batch of remote entries with the local state; actions are written by epoch.
 
     Only ids in the batch are looked at. If a batch holds several versions of an id, the newest counts. The state after
-    a batch (local, previous, tombstone of its ids) is written by epoch under ``path`` with ``_state``; later batches
-    start from the newest state of an id, and from the given tables for ids not met before.
+    a batch (local, previous, tombstone of its ids) goes to a store under ``path`` with ``_state``; later batches start
+    from the newest state of an id, and from the given tables for ids not met before.
     """
-    state_path = f"{path}_state"
     fields = ["digest", "updated_at", "deleted", "deleted_at", "device"]
 
     def sink(batch: DataFrame, epoch: int) -> None:
@@ -197,9 +268,9 @@ def sync_stream(
         remote = newest.select("id", "_r.*")
         ids = remote.select("id")
         parts = [table.join(ids, "id", "left_semi") for table in (local, previous, tombstones)]
-        if epoch > 0:
-            earlier = batch.sparkSession.read.parquet(state_path).filter(F.col("epoch") < epoch).join(ids, "id", "left_semi")
-            known = latest_of(earlier, ["id"])
+        store = Store(batch.sparkSession, f"{path}_state", ["id"])
+        known = store.read(epoch, ids)
+        if known is not None:
             for k, name in enumerate(("local", "previous", "tombstone")):
                 now_known = known.filter(F.col(name).isNotNull()).select("id", f"{name}.*")
                 parts[k] = parts[k].join(known.select("id"), "id", "left_anti").unionByName(now_known.select(*parts[k].columns))
@@ -207,6 +278,6 @@ def sync_stream(
         result.select("id", "action", "conflict", "deletes_local", "removes").write.mode("overwrite").parquet(epoch_path(path, epoch))
         remembered = apply_reconciled(result)[2].select("id", F.struct("local_digest", "remote_revision").alias("previous"))
         after = result.select("id", "local", "tombstone").join(remembered, "id", "left")
-        after.write.mode("overwrite").parquet(epoch_path(state_path, epoch))
+        store.write(epoch, after)
 
     return changes.writeStream.foreachBatch(sink)
