@@ -45,6 +45,7 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 OPENSSH = b"openssh-key-v1\x00"
 MARK = "[SECRET]"
+PLAIN_TEXT = ""
 
 
 def decode(text: str) -> bytes | None:
@@ -168,6 +169,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, in order."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
 def inside(at: int, blocks: list[tuple[int, int]]) -> bool:
     """Whether a place is in one of the blocks, which are in order and disjoint."""
     n = bisect(blocks, at, key=lambda block: block[0])
@@ -188,9 +200,10 @@ def wraps(sizes: list[int]) -> list[tuple[int, int]]:
     return list(dict.fromkeys(ranges))
 
 
-def wrapped_spans(text: str, blocks: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Secrets in base64 or hex that go on over several lines, outside the blocks; in order, disjoint."""
-    found = []
+def wrapped_spans(text: str, blocks: list[tuple[int, int]]) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
+    """Secrets in base64 or hex that go on over several lines, outside the blocks; in order, disjoint. And what was read
+    as text without one."""
+    found, plain = [], []
     for run in WRAPPED.finditer(text):
         lines, at = [], run.start()
         for gap in BREAK.finditer(text, *run.span()):
@@ -198,20 +211,24 @@ def wrapped_spans(text: str, blocks: list[tuple[int, int]]) -> list[tuple[str, i
             at = gap.end()
         lines.append((at, run.end()))
         lines = [line for line in lines if not inside(line[0], blocks)]
-        done = 0
+        done, read = 0, []
         for low, high in wraps([b - a for a, b in lines]):
-            if low < done:
+            # What was read as text within a longer range is not read again: else each layer would be read several times.
+            if low < done or any(a <= low and high <= b for a, b in read):
                 continue
             whole = "".join(text[a:b] for a, b in lines[low:high])
             if len(whole) < 16:
                 continue
             kind = _decoded(decode(whole))
             if not kind and len(whole) % 2 == 0 and HEX_CANDIDATE.fullmatch(whole):
-                kind = _decoded(bytes.fromhex(whole))
+                kind = _decoded(bytes.fromhex(whole)) or kind
             if kind:
                 found.append((kind, lines[low][0], lines[high - 1][1]))
                 done = high
-    return found
+            elif kind == PLAIN_TEXT:
+                read.append((low, high))
+        plain += [(lines[low][0], lines[high - 1][1]) for low, high in read]
+    return found, plain
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
@@ -221,12 +238,12 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     found += [("pem", *span) for span in blocks]
     if "." in text:
         found += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed(m[1], m[2])]
-    joined = wrapped_spans(text, blocks)
+    joined, plain = wrapped_spans(text, blocks)
     found += joined
     wrapped = [(low, high) for _, low, high in joined]
-    blocks = sorted(blocks + wrapped)
+    blocks, plain = sorted(blocks + wrapped), disjoint(plain)
     for m in CANDIDATE.finditer(text):
-        if not inside(m.start(), blocks):
+        if not inside(m.start(), blocks) and not inside(m.start(), plain):
             kind = _decoded(decode(m[0]))
             if kind:
                 found.append((kind, *m.span()))
@@ -239,7 +256,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _decoded(data: bytes | None) -> str | None:
-    """What bytes are, if a secret. Text is scanned as any other: each layer is shorter than the one around it, so that ends."""
+    """What bytes are, if a secret; ``PLAIN_TEXT`` (false, too) if they are text without one.
+
+    Text is scanned as any other: each layer is shorter than the one around it, so that ends.
+    """
     if not data:
         return None
     if is_der_key(data):
@@ -255,6 +275,7 @@ def _decoded(data: bytes | None) -> str | None:
             return None
         if any(kind != "hex" for kind, _, _ in base_spans(text)) or confirmed_spans(text):
             return "encoded"
+        return PLAIN_TEXT
     return None
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import textwrap
+import time
 
 import pyarrow as pa
 import pytest
@@ -143,6 +144,20 @@ def test_wrapped_text_that_is_no_secret():
         assert [s for s in secret_scan.find(text) if s[0] not in secret_scan.BASE] == []
 
 
+def test_wrapped_layers_without_a_secret():
+    """Each byte of each layer is read once: time follows the size, not the number of ways to cut the lines."""
+    text = "This is an ordinary sentence about beats and bars, without any of those things in it."
+    for _ in range(20):
+        text = base64.encodebytes(text.encode()).decode()
+    start = time.process_time()
+    assert secret_scan.find(text) == []
+    assert time.process_time() - start < 2
+    hidden = "note: password = hunter2secret and nothing else here, only words to make it longer"
+    for _ in range(12):
+        hidden = base64.encodebytes(hidden.encode()).decode()
+    assert [kind for kind, _, _ in secret_scan.find("before " + hidden + " after")] == ["encoded"]
+
+
 def test_layers_of_any_number():
     for secret in (b"password=hunter2", LOCKED.encode(), DER):
         for n in (1, 2, 3, 4, 9, 20):
