@@ -102,8 +102,13 @@ def estimate(equal: np.ndarray, above: np.ndarray, below: np.ndarray, size_a: np
     return (low + high) / 2
 
 
+def copy_name(text: str) -> Column:
+    """The same for equal texts; a null text is empty."""
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def sketches(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, digest, regs) for each row; digest and regs are null without words."""
+    """(doc_id, copy, n, digest, regs) for each row; copy names its text, digest and regs are null without words."""
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, digests, regs = [], [], []
@@ -112,11 +117,11 @@ def sketches(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
             regs.append(registers(minima(own)).tobytes() if len(own) else None)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())],
-            ["doc_id", "n", "digest", "regs"])
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())],
+            ["doc_id", "copy", "n", "digest", "regs"])
 
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_arrow(docs, sketch, "doc_id long, n long, digest binary, regs binary")
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), copy_name(text).alias("copy"))
+    return map_arrow(docs, sketch, "doc_id long, copy string, n long, digest binary, regs binary")
 
 
 def node_key() -> Column:
@@ -304,8 +309,14 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable over links).
 
     Documents without words, and rows without a doc_id, are linked with nothing; the latter have a null component.
-    Repeated rows give repeated result rows of one component. Other columns are not read.
+    Each row is a document: repeated rows give repeated result rows of one component, and different texts under one id
+    belong to the components of their texts. Other columns are not read.
     """
+    return grouped(documents, doc_id, text, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """The columns of :func:`near_duplicates`, with ``copy``, which names the text, and ``group``, the component's key (null: linked with nothing)."""
     tune(documents.sparkSession)  # a group by (centre, label) must not be gathered by centre alone
     sketched = durable(sketches(documents, doc_id, text))
     linkable = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL")
@@ -329,25 +340,30 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     edges = every.join(named.select(F.col("no").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("no").alias("b"), F.col("node").alias("y")), "b")
     roots = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
     joined = nodes.select("digest", "node", F.col("doc_id").alias("least")).join(roots, "node", "left")
-    classes = joined.select("digest", F.coalesce(key_doc(F.col("root")), F.col("least")).alias("component_id"))
-    out = sketched.select("doc_id", "n", "digest").join(classes, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    classes = joined.select("digest", F.coalesce("root", "node").alias("group"), F.coalesce(key_doc(F.col("root")), F.col("least")).alias("component_id"))
+    out = sketched.select("doc_id", "copy", "n", "digest").join(classes, "digest", "left")
+    known = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "copy", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(known, F.col("group")).alias("group"))
 
 
 def deduplicated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """The rows, with all their columns, that stay when each component keeps the document of the smallest id.
+    """The rows, with all their columns, that stay when each component keeps one: of the smallest id, then text.
 
-    Rows of one id are one document, of which one row stays. Rows without an id stay.
+    Different texts under one id stand for themselves: only what is linked goes. Of rows with the same id and text one
+    stays, the least by all its columns, so those must have an order. Rows without an id stay.
     """
-    found = durable(near_duplicates(documents, doc_id, text, percent))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(doc_id))
-    stay = documents.join(gone, doc_id, "left_anti")
+    found = durable(grouped(documents, doc_id, text, percent).where("doc_id IS NOT NULL").groupBy("doc_id", "copy").agg(F.min("group").alias("group"), F.count("*").alias("rows")))
+    least = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "copy")).alias("first"))
+    gone = found.join(least, "group").where(F.struct("doc_id", "copy") != F.col("first")).select(F.col("doc_id").alias(doc_id), F.col("copy").alias("_copy"))
+    again = found.where("rows > 1").select(F.col("doc_id").alias(doc_id), F.col("copy").alias("_copy"))
+    key = [doc_id, "_copy"]
+    stay = documents.withColumn("_copy", copy_name(text)).join(gone, key, "left_anti")
     if again.isEmpty():
-        return stay
-    single = stay.join(again, doc_id, "left_anti")
-    return single.unionByName(stay.join(again, doc_id, "left_semi").dropDuplicates([doc_id]))
+        return stay.select(*documents.columns)
+    rest = [c for c in documents.columns if c != doc_id]
+    single = stay.join(again, key, "left_anti")
+    repeated = stay.join(again, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row"))
+    return single.select(*documents.columns).unionByName(repeated.select(doc_id, "_row.*"))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
