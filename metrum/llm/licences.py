@@ -50,6 +50,27 @@ TEMPLATES = {
     "Proprietary": ["Copyright. All rights reserved", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
+#: Headers for source files as the publishers of these licences word them.
+HEADERS = {
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+}
+#: Licences whose identifier goes on with "only" or "or-later".
+VERSIONED = ("AGPL", "GPL", "LGPL")
+
+
+def identifiers(name: str) -> list[str]:
+    """Lines that name a licence by its identifier."""
+    ends = ["", "-only", "-or-later", "+"] if name.startswith(VERSIONED) else [""]
+    return [f"SPDX-License-Identifier: {name}{end}" for end in ends]
+
+
+for _name, _texts in TEMPLATES.items():
+    _texts += [HEADERS[_name]] if _name in HEADERS else []
+    _texts += identifiers(_name) if _name != "Proprietary" else []
 
 
 class Cues:
@@ -160,8 +181,10 @@ class Templates:
 
     def choose(self, found: list[Counter], threshold: float) -> tuple[float, str] | None:
         """The cosine and template of a file with these candidates, if one reaches the threshold."""
-        good = [b for b in map(self.closest, found) if b[0] >= threshold]
-        parts = {part for _, name, _ in good for part in HOLDS.get(name, ())}
+        close = [(self.closest(counts), counts) for counts in found]
+        good = [b for b, _ in close if b[0] >= threshold]
+        # A notice may be part of another licence's text, but not of a line that names one.
+        parts = {part for b, counts in close if b[0] >= threshold and "spdx" not in counts for part in HOLDS.get(b[1], ())}
         best = max((b for b in good if b[1] not in parts), key=lambda b: (round(b[0], 6), b[2]), default=None)
         return best and best[:2]
 
@@ -182,13 +205,25 @@ def frequencies(files: DataFrame, words: set[str], cues: Cues) -> tuple[int, dic
 
 
 def parent(path: Column) -> Column:
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", ""))
+    """The directory of a path: empty for the root of relative paths, a slash for that of absolute ones."""
+    return F.when(path.rlike("^/[^/]*$"), "/").otherwise(F.regexp_replace(path, r"(^|/)[^/]*$", ""))
+
+
+def with_ancestors(dirs: DataFrame) -> DataFrame:
+    """(dir, above): each directory with itself and all above it, up to its root."""
+    parts = F.split("dir", "/")
+    named = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    root = F.when(F.col("dir").startswith("/"), "/").otherwise("")
+    # The first part of an absolute path is empty: its root is the slash.
+    above = F.array_distinct(F.concat(F.array(root), F.filter(named, lambda x: x != "")))
+    return dirs.select("dir", F.explode(above).alias("above"))
 
 
 def licences(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per file: ``path, licence, score, origin, inherited_from``.
 
-    ``origin`` is own, inherited or none. Paths are separated by slashes. A licence file is told by its name. Of
+    ``origin`` is own, inherited or none. Paths are separated by slashes; the roots of relative and of absolute paths are
+    directories of their own. A licence file is told by its name. Of
     several in a directory the greatest cosine counts, then the smallest path. Its own candidates come first for every
     file. A null or empty text has no candidates; a null path inherits nothing. Repeated rows give repeated results.
     Other columns are not read.
@@ -215,9 +250,7 @@ def licences(files: DataFrame, path: str = "path", text: str = "text", templates
     own = at.select(F.col("dir").alias("above"), F.col("m.licence").alias("given"), F.col("m.path").alias("giver"))
     # Directories are resolved once each: every directory with those above it, the deepest with a licence file counts.
     dirs = matched.where("licence IS NULL AND dir IS NOT NULL").select("dir").distinct()
-    parts = F.split("dir", "/")
-    ups = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("above"))
-    nearest = ups.join(own, "above").groupBy("dir").agg(F.max_by(F.struct("given", "giver"), F.length("above")).alias("n"))
+    nearest = with_ancestors(dirs).join(own, "above").groupBy("dir").agg(F.max_by(F.struct("given", "giver"), F.length("above")).alias("n"))
     joined = matched.join(nearest, "dir", "left")
     inherited = F.col("licence").isNull() & F.col("n").isNotNull()
     return joined.select(
@@ -229,12 +262,12 @@ def licences(files: DataFrame, path: str = "path", text: str = "text", templates
 def document_path() -> Column:
     """Documents as files: a directory for each source, thousand and fifty; of every tenth the licence file of its place.
 
-    The given documents have no paths, so this lays them out as repositories. A document divisible by 1000 stands for
-    the licence file of its source, one divisible by 50 for that of the thousand, any other tenth for its fifty.
+    The given documents have no paths, so this lays them out as repositories. The first document stands for the licence
+    file of all, one divisible by 1000 for that of its source, one divisible by 50 for that of the thousand, any other tenth for its fifty.
     """
     n = F.col("doc_id")
     thousand, fifty = F.floor(n / 1000).cast("string"), F.floor(n / 50).cast("string")
-    return F.when(n % 1000 == 0, F.concat_ws("/", "source", F.concat(F.lit("LICENSE-"), n.cast("string")))) \
+    return F.when(n == 0, "LICENSE").when(n % 1000 == 0, F.concat_ws("/", "source", F.concat(F.lit("LICENSE-"), n.cast("string")))) \
         .when(n % 50 == 0, F.concat_ws("/", "source", thousand, F.concat(F.lit("LICENSE-"), n.cast("string")))) \
         .when(n % 10 == 0, F.concat_ws("/", "source", thousand, fifty, F.concat(F.lit("LICENSE-"), n.cast("string")))) \
         .otherwise(F.concat_ws("/", "source", thousand, fifty, F.concat(n.cast("string"), F.lit(".md"))))

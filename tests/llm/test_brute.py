@@ -291,15 +291,15 @@ def test_licences(spark):
             assert got[path].licence == own[path][0] and abs(got[path].score - own[path][1]) < 2e-6
     given = {}
     for path in sorted(own):
-        if own[path] and "/LICENSE" in path:
-            place = path.rsplit("/", 1)[0]
+        if own[path] and path.rpartition("/")[2].startswith("LICENSE"):
+            place = path.rpartition("/")[0]
             if place not in given or own[path][1] > given[place][1]:
                 given[place] = (own[path][0], own[path][1])
     for path in own:
         if not own[path]:
             place, found = path, None
-            while "/" in place and not found:
-                place = place.rsplit("/", 1)[0]
+            while place and not found:
+                place = place.rpartition("/")[0]
                 found = given.get(place)
             assert got[path].licence == (found and found[0]) and got[path].origin == ("inherited" if found else "none")
 

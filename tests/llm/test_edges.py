@@ -222,6 +222,17 @@ def test_near_duplicates(documents, nothing):
     assert twice.count() == 1
 
 
+def test_near_duplicates_under_one_id(spark):
+    """Different texts of one id: only what is linked goes; of rows with one id and text the least stays."""
+    other = " ".join(f"unlike{i}" for i in range(30))
+    rows = [(1, COPY, "b"), (2, COPY + " x", "a"), (2, other, "c"), (2, other, "b"), (5, COPY + " y", "a"), (5, COPY + " z", "a"), (6, "", "a"), (6, None, "a"), (None, COPY, "a"), (None, COPY, "a")]
+    kept = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    want = [(1, COPY, "b"), (2, other, "b"), (6, "", "a"), (None, COPY, "a"), (None, COPY, "a")]
+    assert sorted(map(tuple, kept.collect()), key=repr) in (sorted(want, key=repr), sorted([*want[:2], (6, None, "a"), *want[3:]], key=repr))
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted((r.doc_id, r.component_id) for r in found.where("doc_id IS NOT NULL").collect()) == [(1, 1), (2, 1), (2, 2), (2, 2), (5, 1), (5, 1), (6, 6), (6, 6)]
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, part int, pos int, n_turns int"
     said = [("user", "a"), ("assistant", None), (None, "<|im_end|>")]
@@ -287,6 +298,26 @@ files (the "Software"), to deal in the Software without restriction, including w
 ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that this notice appears in all copies."
 
 
+def test_licences_of_roots(spark):
+    """Licence files in the root of relative and of absolute paths, and nearer ones below."""
+    mit, isc = "Released under the MIT License", "Released under the ISC License"
+    rows = [("LICENSE", mit), ("b.c", "x"), ("src/a.c", "x"), ("src/deep/er/c.c", "x"), ("lib/COPYING", isc), ("lib/d.c", "x"), ("lib/e/f.c", "x"), ("/LICENSE", isc), ("/g.c", "x"), ("/h/i.c", "x"), (None, "x"), ("", "x")]
+    got = {r.path: (r.licence, r.inherited_from) for r in licences.licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert all(got[p] == ("MIT", "LICENSE") for p in ("b.c", "src/a.c", "src/deep/er/c.c", ""))
+    assert all(got[p] == ("ISC", "lib/COPYING") for p in ("lib/d.c", "lib/e/f.c"))
+    assert all(got[p] == ("ISC", "/LICENSE") for p in ("/g.c", "/h/i.c")) and got[None] == (None, None)
+
+
+def test_headers_and_identifiers(spark):
+    """Every licence by its identifier line and its standard header, one line or wrapped, behind comment marks."""
+    said = [(name, text) for name in licences.TEMPLATES if name != "Proprietary" for text in licences.identifiers(name)]
+    said += list(licences.HEADERS.items())
+    rows = [(f"{i}/x.c", f"// {text}\nint main() {{ return {i}; }}\n") for i, (_, text) in enumerate(said)]
+    rows += [(f"{i}/y.c", "/*\n" + textwrap.indent(textwrap.fill(text, 60), " * ") + "\n */\nint x;\n") for i, (_, text) in enumerate(said)]
+    got = {r.path: r.licence for r in licences.licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: n for p, n in got.items() if n != said[int(p.split("/")[0])][0]} == {}
+
+
 def test_wrapped_notices(spark):
     files = [("BSD-2-Clause", BSD2), ("BSD-3-Clause", BSD3), ("MIT", GRANT), ("ISC", ISC)]
     rows, want = [], {}
