@@ -18,15 +18,16 @@ from metrum.plans.ordered import (
     TILE_SECONDS,
     Scan,
     asof,
-    covering,
     exact_median,
     halo,
     nearest,
     neighbours,
     once,
+    positions,
     row_tile,
     running,
 )
+from metrum.plans.rank import in_order, range_of
 
 
 def intervals(beats: DataFrame, rows: int = TILE_ROWS) -> DataFrame:
@@ -85,15 +86,54 @@ def beats_due(points: DataFrame, beats: DataFrame, lookahead: float, seconds: fl
     return due.filter(F.col("point").isNotNull())
 
 
-SECTION_TILE = 300.0
-"""Seconds per tile of the section lookup; a tile's points are compared with the few sections that touch it."""
+def section_at(points: DataFrame, sections: DataFrame, at: str = "t", seconds: float = TILE_SECONDS, rows: int = TILE_ROWS) -> DataFrame:
+    """Add ``section``: the smallest index of a section with start <= t < end, else null.
 
+    Where sections begin in the order of their index, the first whose end, or that of one before it, lies behind the
+    point is the one, if it has begun: a search in the running maximum of ends. Sessions with sections in another order
+    are cut into pieces first, see :func:`first_open`.
+    """
+    spans = sections.select("s", F.col("idx").alias("section"), F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time")).where("start_time < end_time")
+    reached = durable(running(
+        spans, ["s"], row_tile("section", rows), ["section"],
+        {"_end": Scan("max", F.col("end_time")), "_before": Scan("max", F.col("start_time"), exclusive=True)},
+    ))
+    timed = points.where(F.col(at).isNotNull())
+    found = asof(
+        timed, reached, ["s"], F.col(at), F.col("_end"), {"_section": F.col("section"), "_start": F.col("start_time")}, F.col("section"), seconds, strict=True
+    )
+    result = found.withColumn("section", F.when(F.col("_start") <= F.col(at), F.col("_section"))).drop("_section", "_start")
+    untimed = points.where(F.col(at).isNull()).withColumn("section", F.lit(None).cast(result.schema["section"].dataType))
+    mixed = reached.where("_before > start_time").select("s").distinct()
+    if mixed.isEmpty():
+        return result.unionByName(untimed)
+    pieces = first_open(reached.select(*spans.columns).join(mixed, "s", "left_semi"), rows)
+    cut = asof(timed.join(mixed, "s", "left_semi"), pieces, ["s"], F.col(at), F.col("t"), {"section": F.col("section")}, F.lit(0), seconds, ahead=False)
+    return result.join(mixed, "s", "left_anti").unionByName(cut.select(*result.columns)).unionByName(untimed)
 
-def section_at(points: DataFrame, sections: DataFrame, at: str = "t", seconds: float = SECTION_TILE) -> DataFrame:
-    """Add ``section``: index of the first section with start <= t < end, else null. ``idx`` identifies a point."""
-    spans = sections.select("s", F.col("idx").alias("section"), "start_time", "end_time")
-    pairs = covering(points, spans, ["s"], at, "start_time", "end_time", seconds)
-    return pairs.groupBy(*points.columns).agg(F.min("section").alias("section"))
+
+def first_open(spans: DataFrame, rows: int = TILE_ROWS) -> DataFrame:
+    """``(s, t, section)``: the smallest section open from each edge on until the next, null where none is.
+
+    The edges of a session are numbered. A span of edges is the union of at most two blocks of each power of two, as in
+    a segment tree; each block keeps its smallest section, and an edge asks the blocks it lies in, one for each power.
+    """
+    edges = spans.select("s", F.explode(F.array("start_time", "end_time")).alias("t")).distinct()
+    placed = in_order(edges, [F.col("s").asc(), F.col("t").asc()])
+    numbered = durable(positions(placed, ["s"], ["_place"], range_of(), "r").select("s", "t", "r"))
+    low = numbered.select("s", F.col("t").alias("start_time"), F.col("r").alias("_a"))
+    high = numbered.select("s", F.col("t").alias("end_time"), F.col("r").alias("_b"))
+    spread = spans.join(low, ["s", "start_time"]).join(high, ["s", "end_time"])
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.col("_b") - F.col("_a"))) - 1)
+    at = spread.select("s", "section", "_a", "_b", F.explode(levels).alias("l"))
+    a, b = F.expr("shiftright(_a + shiftleft(1L, l) - 1, l)"), F.expr("shiftright(_b, l)")
+    ends = at.select("s", "section", "l", a.alias("a"), b.alias("b")).where("a < b")
+    blocks = ends.select("s", "section", "l", F.explode(F.array_compact(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1)))).alias("k"))
+    least = blocks.groupBy("s", "l", "k").agg(F.min("section").alias("section"))
+    size = numbered.groupBy("s").agg(F.max("r").alias("_n"))
+    asked = numbered.join(size, "s").select("s", "t", "r", F.explode(F.sequence(F.lit(0), F.length(F.bin("_n")) - 1)).alias("l"))
+    hit = asked.withColumn("k", F.expr("shiftright(r, l)")).join(least, ["s", "l", "k"], "left")
+    return hit.groupBy("s", "t").agg(F.min("section").alias("section"))
 
 
 def nearest_beat(points: DataFrame, beats: DataFrame, at: str = "t", seconds: float = TILE_SECONDS) -> DataFrame:

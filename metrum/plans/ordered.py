@@ -14,8 +14,9 @@ a large share of the rows. Everything ordered in this package goes through one o
 ``positions``
     dense row numbers, from per-bucket ranks plus carried counts.
 
-``asof`` and ``nearest`` are ``running`` over the union of points and anchors. ``covering`` is an interval join on
-time tiles.
+``asof`` and ``nearest`` are ``running`` over the union of points and anchors, in tiles of time; a tile with too many
+rows is cut at quantiles of its times, so a session whose rows crowd into one second is spread like any other.
+``covering`` is an interval join on time tiles.
 """
 
 from __future__ import annotations
@@ -26,12 +27,20 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from metrum.plans.durable import durable
+
 TILE_ROWS = 4096
 """Rows per position tile."""
 
 TILE_SECONDS = 3600.0
 """Seconds per time tile."""
 
+CROWDED = 1 << 20
+"""Rows of a time tile from which on it is cut."""
+
+PIECES = 64
+"""Pieces that a crowded tile is cut into at once."""
+
 
 def as_columns(items: Sequence[str | Column]) -> list[Column]:
     return [F.col(item) if isinstance(item, str) else item for item in items]
@@ -100,18 +109,57 @@ def running(
     df: DataFrame, keys: Sequence[str], tile: Column, order: Sequence[str | Column], scans: dict[str, Scan]
 ) -> DataFrame:
     """Add running aggregates to ``df``. ``tile`` must be monotone in ``order``; ``order`` must be total per key."""
-    default_order = tuple(as_columns(order))
     tiled = df.withColumn("_tile", tile)
-    group = [*keys, "_tile"]
+    return _scanned(tiled, _totals(tiled, keys, order, scans), keys, order, scans)
+
+
+def running_in_time(
+    df: DataFrame, keys: Sequence[str], t: str, order: Sequence[str | Column], scans: dict[str, Scan],
+    seconds: float = TILE_SECONDS, crowded: int = CROWDED,
+) -> DataFrame:
+    """``running`` in tiles of time, where no tile holds more than ``crowded`` rows unless they are of one moment."""
+    return _scanned(*uncrowded(df, keys, t, order, scans, seconds, crowded), keys, order, scans)
 
-    def order_of(scan: Scan) -> tuple[Column, ...]:
-        return scan.order or default_order
 
-    totals = tiled.groupBy(*group).agg(
-        *[_aggregate(s.op, s.value, order_of(s)).alias(f"_total_{name}") for name, s in scans.items()]
+def uncrowded(df, keys, t, order, scans, seconds, crowded) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_tile``, the time their tile begins at, and the totals of the tiles, with ``_rows``, their size.
+
+    The totals are needed in any case, and tell which tiles are crowded. These are cut at quantiles of their times, in
+    rounds: each makes a crowded tile about ``PIECES`` times smaller. Crowded tiles are few, by ``crowded`` times.
+    """
+    group = [*keys, "_tile"]
+    tiled, largest = df.withColumn("_tile", F.floor(F.col(t) / seconds) * F.lit(float(seconds))), None
+    while True:
+        extra = [F.count(F.lit(1)).alias("_rows"), (F.min(t) < F.max(t)).alias("_splits")]
+        totals = durable(_totals(tiled, keys, order, scans, extra))
+        found = totals.where((F.col("_rows") > crowded) & F.col("_splits"))
+        most = found.agg(F.max("_rows")).first()[0]
+        # The times of a tile may be so alike that cuts no longer help.
+        if most is None or largest is not None and most >= largest:
+            return tiled, totals
+        largest = most
+        steps = F.percentile_approx(t, [k / PIECES for k in range(1, PIECES)], 1000)
+        cuts = durable(tiled.join(found.select(*group), group, "left_semi").groupBy(*group).agg(steps.alias("_cuts")))
+        inner = F.array_max(F.filter("_cuts", lambda c: c <= F.col(t)))
+        tiled = tiled.join(cuts, group, "left").withColumn("_tile", F.coalesce(inner, "_tile")).drop("_cuts")
+
+
+def _order_of(scan: Scan, order: Sequence[str | Column]) -> tuple[Column, ...]:
+    return scan.order or tuple(as_columns(order))
+
+
+def _totals(tiled: DataFrame, keys, order, scans: dict[str, Scan], extra: Sequence[Column] = ()) -> DataFrame:
+    """One row for each key and tile."""
+    return tiled.groupBy(*keys, "_tile").agg(
+        *[_aggregate(s.op, s.value, _order_of(s, order)).alias(f"_total_{name}") for name, s in scans.items()], *extra
     )
+
+
+def _scanned(tiled: DataFrame, totals: DataFrame, keys, order, scans: dict[str, Scan]) -> DataFrame:
+    """Scan tiles, and the summaries across them, and put both together."""
+    group = [*keys, "_tile"]
     summary_op = {"count": "sum"}
-    carries = list(totals.columns[: len(group)])
+    carries = list(group)
     for name, scan in scans.items():
         across = Window.partitionBy(*keys)
         if scan.whole:
@@ -127,11 +175,11 @@ def running(
     for name, scan in scans.items():
         if not scan.whole:
             last = -1 if scan.exclusive else 0
-            frame = Window.partitionBy(*group).orderBy(*order_of(scan)).rowsBetween(Window.unboundedPreceding, last)
+            frame = Window.partitionBy(*group).orderBy(*_order_of(scan, order)).rowsBetween(Window.unboundedPreceding, last)
             local = local.withColumn(f"_local_{name}", _windowed(scan.op, scan.value).over(frame))
 
     joined = local.join(carried, group)
-    outputs = [F.col(c) for c in df.columns if c not in scans]
+    outputs = [F.col(c) for c in tiled.columns if c != "_tile" and c not in scans]
     for name, scan in scans.items():
         carry = F.col(f"_carry_{name}")
         value = carry if scan.whole else _combine(scan.op, carry, F.col(f"_local_{name}"))
@@ -190,12 +238,15 @@ def asof(
     seconds: float = TILE_SECONDS,
     ahead: bool = True,
     count_as: str | None = None,
+    strict: bool = False,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """For each point the first anchor at or after it (``ahead``) or the last one at or before it.
 
-    Among anchors at one time the smallest ``tie`` wins. ``count_as`` adds the number of anchors in the session.
+    Among anchors at one time the smallest ``tie`` wins. ``count_as`` adds the number of anchors in the session. With
+    ``strict`` an anchor at the point's own time doesn't count.
     """
-    marked = _union(points, anchors, keys, at, t, take, tie, point_first=ahead)
+    marked = _union(points, anchors, keys, at, t, take, tie, point_first=ahead != strict)
     if ahead:
         order = (-F.col("_t"), -F.col("_kind"), -F.col("_tie"))
     else:
@@ -203,7 +254,7 @@ def asof(
     scans = {"_hit": Scan("last", F.col("_take"), order, reverse=ahead)}
     if count_as:
         scans[count_as] = Scan("count", F.col("_take"), whole=True)
-    found = running(marked, keys, time_tile("_t", seconds), [*order], scans).filter(F.col("_row").isNotNull())
+    found = running_in_time(marked, keys, "_t", [*order], scans, seconds, crowded).filter(F.col("_row").isNotNull())
     return found.select(
         *keys,
         *[F.col(f"_row.{c}").alias(c) for c in points.columns if c not in keys],
@@ -222,6 +273,7 @@ def nearest(
     tie: Column,
     seconds: float = TILE_SECONDS,
     distance: str = "distance",
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """For each point the anchor closest in time; of equally close ones the smallest ``tie`` wins."""
     marked = _union(points, anchors, keys, at, t, take, tie, point_first=False)
@@ -235,7 +287,7 @@ def nearest(
         name: Scan(s.op, F.when(F.col("_row").isNull(), s.value), s.order, s.reverse) for name, s in scans.items()
     }
     order = [F.col("_t"), F.col("_kind"), -F.col("_tie")]
-    found = running(marked, keys, time_tile("_t", seconds), order, anchor_only).filter(F.col("_row").isNotNull())
+    found = running_in_time(marked, keys, "_t", order, anchor_only, seconds, crowded).filter(F.col("_row").isNotNull())
     back = F.abs(F.col("_t") - F.col("_prev._t"))
     forth = F.abs(F.col("_next._t") - F.col("_t"))
     use_prev = F.col("_next").isNull() | (back < forth) | ((back == forth) & (F.col("_prev._tie") < F.col("_next._tie")))

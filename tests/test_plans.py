@@ -116,6 +116,57 @@ def test_nearest_matches_min(spark, table, skewed):
         assert r.hit == min(range(len(times)), key=lambda i: (abs(times[i] - r.x), i))
 
 
+@pytest.fixture(scope="module")
+def dense():
+    """Session 0 has nearly all rows within one second, many of them of one moment; session 1 is spread out."""
+    draw = random.Random(9)
+    times = sorted([1000 + draw.random() for _ in range(900)] + [1000.5] * 60)
+    return [(0, i, t) for i, t in enumerate(times)] + [(1, i, i * 40.0) for i in range(50)]
+
+
+def test_crowded_tiles_are_cut(spark, dense):
+    anchors = spark.createDataFrame(dense, "s long, idx long, t double")
+    scans = {"n": O.Scan("count", F.lit(1))}
+    tiled, totals = O.uncrowded(anchors, ["s"], "t", ["t", "idx"], scans, 3600.0, 80)
+    sizes = {(r.s, r._tile): r._rows for r in totals.collect()}
+    # No tile is above the bound, but for that of the one moment.
+    assert sum(sizes.values()) == len(dense) and sorted(sizes.values())[-2] <= 80 and max(sizes.values()) <= 2 * 80
+    assert {(r.s, r._tile): r["count"] for r in tiled.groupBy("s", "_tile").count().collect()} == sizes
+    spans = tiled.groupBy("s", "_tile").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("s", "_tile").collect()
+    assert all(x.b < y.a for x, y in zip(spans, spans[1:]) if x.s == y.s) and all(x._tile <= x.a for x in spans)
+    ranked = O.running_in_time(anchors, ["s"], "t", ["t", "idx"], scans, 3600.0, 80).collect()
+    assert all(r.n == r.idx + 1 for r in ranked) and len(ranked) == len(dense)
+
+
+@pytest.mark.parametrize(("ahead", "strict"), [(True, False), (True, True), (False, False), (False, True)])
+def test_asof_in_a_crowded_second(spark, dense, ahead, strict):
+    draw = random.Random(4)
+    points = [(s, k, draw.choice([1000 + draw.random(), 1000.5, 999.0, 1002.0, draw.randrange(50) * 40.0])) for s in (0, 1, 2) for k in range(300)]
+    df = spark.createDataFrame(points, "s long, k long, x double")
+    anchors = spark.createDataFrame(dense, "s long, idx long, t double")
+    found = O.asof(df, anchors, ["s"], F.col("x"), F.col("t"), {"hit": F.col("idx")}, F.col("idx"), ahead=ahead, strict=strict, crowded=64).collect()
+    assert len(found) == len(points)
+    for r in found:
+        times = [t for s, _, t in dense if s == r.s]
+        if ahead:
+            i = (bisect.bisect_right if strict else bisect.bisect_left)(times, r.x)
+            assert r.hit == (i if i < len(times) else None)
+        else:
+            i = (bisect.bisect_left if strict else bisect.bisect_right)(times, r.x) - 1
+            assert r.hit == (bisect.bisect_left(times, times[i]) if i >= 0 else None)
+
+
+def test_nearest_in_a_crowded_second(spark, dense):
+    points = [(0, k, 999.9 + k / 400) for k in range(500)]
+    df = spark.createDataFrame(points, "s long, k long, x double")
+    anchors = spark.createDataFrame(dense, "s long, idx long, t double")
+    times = [t for s, _, t in dense if s == 0]
+    found = O.nearest(df, anchors, ["s"], F.col("x"), F.col("t"), {"hit": F.col("idx")}, F.col("idx"), crowded=64).collect()
+    assert len(found) == 500
+    for r in found:
+        assert r.hit == min(range(len(times)), key=lambda i: (abs(times[i] - r.x), i))
+
+
 def test_covering_finds_all_intervals(spark, table, skewed):
     spans = [(s, k, a, a + w) for s in (0, 1, 2) for k, (a, w) in enumerate([(0, 30), (5, 0), (10.5, 1), (20, 200)])]
     df = spark.createDataFrame([(s, k, float(a), float(b)) for s, k, a, b in spans], "s long, k long, a double, b double")

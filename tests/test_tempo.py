@@ -197,3 +197,16 @@ def test_restore_and_first_edit(frame):
 def test_half_beat_shift_uses_the_upper_median(frame):
     out = T.half_beat_shift(beats_of(frame, [0.0, 1.0, 3.0]), rows=2)
     assert times(out) == [0.0, 0.0, 2.0]
+
+
+def test_first_open_section(spark):
+    """Sections in order, nested, overlapping, in no order, empty or without times, against a loop."""
+    draw = random.Random(12)
+    sections = [(0, k, float(k * 10), float(k * 10 + 10)) for k in range(6)]
+    sections += [(1, 0, 0.0, 100.0), (1, 1, 10.0, 20.0), (1, 2, 30.0, 130.0), (1, 3, 40.0, 40.0), (1, 4, 150.0, 140.0), (1, 5, None, 9.0)]
+    sections += [(2, k, *sorted((draw.randrange(60) / 2, draw.randrange(60) / 2))) for k in range(40)]
+    sections += [(3, k, float(100 - k), float(101 - k)) for k in range(33)]
+    points = [(s, i, t / 4) for s in range(5) for i, t in enumerate(range(-8, 640, 3))] + [(1, 999, None)]
+    got = T.section_at(spark.createDataFrame(points, "s long, idx long, t double"), spark.createDataFrame(sections, "s long, idx long, start_time double, end_time double")).collect()
+    want = {(s, i): next((k for q, k, a, b in sections if q == s and None not in (a, b, t) and a <= t < b), None) for s, i, t in points}
+    assert len(got) == len(points) and {(r.s, r.idx): r.section for r in got} == want
