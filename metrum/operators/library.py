@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from metrum.functions import fixed
 from metrum.functions.scalars import asset_keys, source_id, stable_id
 from metrum.plans.ordered import neighbours, positions, row_tile
+from metrum.plans.rank import ranked
 
 ROOT = "root"
 
@@ -35,18 +36,28 @@ def search_library(library: DataFrame, query: str = "", unpracticed: bool = Fals
     return kept
 
 
-def sort_library(library: DataFrame, mode: str = "manual") -> DataFrame:
-    """Order by the user's order, by last play, by date of entry, or by title in Japanese collation."""
+def library_order(mode: str) -> list[Column]:
+    """Sort expressions: the user's order, last play, date of entry, or title in Japanese collation."""
     place = F.col("position").asc()
-    if mode == "recent":
-        return library.orderBy(F.coalesce("last_played", F.lit("")).desc(), place)
-    if mode == "added":
-        return library.orderBy(F.coalesce("date", F.lit("")).desc(), place)
-    if mode == "title":
-        return library.orderBy(F.collate(F.coalesce("title", F.lit("")), "ja_CI"), place)
-    if mode == "manual":
-        return library.orderBy(place)
-    raise ValueError(f"unknown order: {mode}")
+    orders = {
+        "recent": [F.coalesce("last_played", F.lit("")).desc(), place],
+        "added": [F.coalesce("date", F.lit("")).desc(), place],
+        "title": [F.collate(F.coalesce("title", F.lit("")), "ja_CI").asc(), place],
+        "manual": [place],
+    }
+    if mode not in orders:
+        raise ValueError(f"unknown order: {mode}")
+    return orders[mode]
+
+
+def sort_library(library: DataFrame, mode: str = "manual") -> DataFrame:
+    """The library in one of the orders of :func:`library_order`, as long as nothing follows."""
+    return library.orderBy(*library_order(mode))
+
+
+def rank_library(library: DataFrame, mode: str = "manual") -> DataFrame:
+    """Add ``rank``, the place in one of the orders of :func:`library_order`, from 0: an order that later steps keep."""
+    return ranked(library, library_order(mode))
 
 
 def recent_per_key(history: DataFrame, key: str, at: str, limit: int = 30) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrum.functions.scalars import asset_keys, is_sha256, is_valid_id, or_default, revision
+from metrum.plans.digest import ordered_digest
 
 
 def all_ids(*tables: DataFrame) -> DataFrame:
@@ -251,6 +252,21 @@ def group_legacy_index(index: DataFrame, prefix: str = "sessions") -> DataFrame:
     )
 
 
+def legacy_entries(index: DataFrame, today: str, prefix: str = "sessions") -> DataFrame:
+    """An old index as remote entries ``(id, digest, updated_at, deleted, deleted_at, device, entry_date)``, ready for :func:`reconcile`.
+
+    The digest is that of the session's files as a compact JSON map in the order of its keys. Keys of a session are put
+    in order and hashed as a stream, however many there are.
+    """
+    files = group_legacy_index(index, prefix)
+    # A map of one entry, without its braces.
+    entry = F.to_json(F.create_map("key", "sha"))
+    digests = ordered_digest(files, ["id"], [F.col("key")], entry.substr(F.lit(2), F.length(entry) - 2), "{", ",", "}")
+    return digests.select(
+        "id", "digest", F.lit(0.0).alias("updated_at"), F.lit(False).alias("deleted"), F.lit(None).cast("double").alias("deleted_at"), F.lit("legacy").alias("device"), F.lit(today).alias("entry_date")
+    )
+
+
 def bundle_digest(files: DataFrame, prefix: str = "sessions") -> DataFrame:
     """Per session the SHA-256 of its key-sorted compact JSON map and its newest change.
 

@@ -38,11 +38,27 @@ def _(v: Views):
     return L.search_library(v.library, "  ").select("id", "title")
 
 
-for _mode in ("manual", "recent", "added", "title"):
-
-    @query(f"sort_library_{_mode}", "SELECT id, position, title, date, last_played FROM v_library")
+# Titles of which most begin in Japanese; the order of the letters is not that of their codes.
+TITLES = ("ん", "あ", "か", "", "ア", "z")
+TITLE_SQL = "list_value(" + ", ".join(f"'{t}'" for t in TITLES) + ")[position % 6 + 1] || title"
+ORDERS = {
+    "manual": "position", "recent": "coalesce(last_played, '') DESC, position", "added": "coalesce(date, '') DESC, position",
+    "title": "coalesce(title, '') COLLATE ja, position",
+}
+
+
+for _mode, _order in ORDERS.items():
+
+    @query(
+        f"sort_library_{_mode}",
+        f"""
+        WITH l AS (SELECT * REPLACE ({TITLE_SQL} AS title) FROM v_library)
+        SELECT id, position, title, date, last_played, row_number() OVER (ORDER BY {_order}) - 1 AS rank FROM l""",
+    )
     def _(v: Views, mode=_mode):
-        return L.sort_library(v.library, mode).select("id", "position", "title", "date", "last_played")
+        begin = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("position") % 6 + 1).cast("int"))
+        titled = v.library.withColumn("title", F.concat(begin, "title"))
+        return L.rank_library(titled, mode).select("id", "position", "title", "date", "last_played", "rank")
 
 
 @query(

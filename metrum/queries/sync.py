@@ -238,6 +238,17 @@ def _(v: Views):
     return Y.desired_files(entries, v.index.select("key"), ("other/2/notes.txt", "index.html"))
 
 
+@query(
+    "legacy_entries",
+    """
+    WITH f AS (SELECT split_part(key, '/', 2) AS id, key, sha FROM v_index WHERE key LIKE 'sessions/%')
+    SELECT id, sha256('{' || string_agg('"' || key || '":"' || sha || '"', ',' ORDER BY key) || '}') AS digest, 0.0::DOUBLE AS updated_at,
+           false AS deleted, CAST(NULL AS DOUBLE) AS deleted_at, 'legacy' AS device, '2024-01-01' AS entry_date FROM f GROUP BY id""",
+)
+def _(v: Views):
+    return Y.legacy_entries(v.index, "2024-01-01")
+
+
 @query(
     "group_legacy_index",
     """

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from metrum.functions.scalars import parse_revision
+from metrum.plans.durable import durable
 from metrum.sources import schemas
 
 
@@ -136,7 +142,7 @@ def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_file_inventory(spark: SparkSession, *paths: str) -> DataFrame:
-    """``(path, length, modified)`` of all files below the paths. Contents are not read."""
+    """``(path, length, modified)`` of all files below the paths. Contents are not read. Spark lists no empty files."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
         .option("ignoreCorruptFiles", True).load(list(paths))
@@ -152,23 +158,54 @@ def read_frames(spark: SparkSession, *paths: str) -> DataFrame:
     return files.filter(number != "").select("path", "name", (number.cast("long") - 1).alias("idx"))
 
 
-def hash_files(spark: SparkSession, paths: list[str], cache: DataFrame) -> DataFrame:
+PIECE = 4 << 20
+"""Bytes of a file that are held at once while it is hashed."""
+
+
+def open_file(path: str):
+    """A stream of bytes from a path as Spark lists it. Runs where the file is hashed."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return store.open_input_stream(place)
+
+
+def hash_content(files: DataFrame, opened=open_file, piece: int = PIECE) -> DataFrame:
+    """Add ``sha`` to rows with a ``path``: the SHA-256 of the file, read in pieces; null where it can't be read any more.
+
+    A file of any size is hashed by one task in the memory of one piece; files are dealt out by a hash of their path.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                digest = hashlib.sha256()
+                try:
+                    with opened(path) as stream:
+                        while part := stream.read(piece):
+                            digest.update(part)
+                except FileNotFoundError:
+                    found.append(None)
+                else:
+                    found.append(digest.hexdigest())
+            yield batch.append_column("sha", pa.array(found, pa.string()))
+
+    schema = StructType([*files.schema.fields, StructField("sha", StringType())])
+    return files.repartition("path").mapInArrow(run, schema)
+
+
+def hash_files(spark: SparkSession, paths: list[str], cache: DataFrame, opened=open_file) -> DataFrame:
     """``(path, length, modified, sha)``: the cached hash where size and time are unchanged, else that of the content.
 
-    Only the time of the oldest miss comes to the driver: it is pushed into the second scan, which then skips the
-    contents of all older files.
+    Files are listed without their contents; only those the cache doesn't know are opened. A file that is gone by the
+    time it is read has a null hash. ``opened`` opens a path of another store than the ones Arrow knows.
     """
     inventory = read_file_inventory(spark, *paths)
-    known = inventory.join(cache.select("path", "length", "modified", "sha"), ["path", "length", "modified"], "left")
-    misses = known.filter("sha is null").select("path", "modified")
-    oldest = misses.agg(F.min("modified").alias("at")).first()["at"]
-    if oldest is None:
-        return known.select("path", "length", "modified", "sha")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(paths)
-    recent = content.filter(F.col("modificationTime") >= F.lit(oldest))
-    hashed = recent.join(misses, "path", "left_semi").select("path", F.sha2("content", 256).alias("_fresh"))
-    joined = known.join(hashed, "path", "left")
-    return joined.select("path", "length", "modified", F.coalesce("sha", "_fresh").alias("sha")).filter("sha is not null")
+    key = ["path", "length", "modified"]
+    known = durable(inventory.join(cache.select(*key, "sha").dropDuplicates(key), key, "left").select(*key, "sha"))
+    fresh = hash_content(known.filter("sha is null").select(*key), opened)
+    return known.filter("sha is not null").unionByName(fresh)
 
 
 def rebuild_library(sessions: DataFrame, existing: DataFrame) -> DataFrame:
@@ -188,9 +225,13 @@ def stream_job_events(spark: SparkSession, path: str, schema: str = schemas.JOB_
 
 
 def stream_log_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Log lines with the file they came from and its time."""
-    lines = spark.readStream.options(**options).text(path)
-    return lines.select(
-        F.element_at(F.split(F.col("_metadata.file_name"), r"\."), 1).alias("id"), F.col("value").alias("line"),
-        F.col("_metadata.file_modification_time").alias("at"), F.monotonically_increasing_id().alias("seq"),
-    )
+    """Log lines ``(id, line, at, seq)``: the file they came from, its time, and their place in it.
+
+    A log file is read once, when it is complete, and as a whole, since only so its lines keep their order.
+    """
+    files = spark.readStream.options(**options).text(path, wholetext=True)
+    ids = F.element_at(F.split(F.col("_metadata.file_name"), r"\."), 1)
+    # The last line may end with a break or not.
+    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
+    placed = files.select(ids.alias("id"), F.col("_metadata.file_modification_time").alias("at"), F.posexplode(lines).alias("seq", "line"))
+    return placed.select("id", "line", "at", F.col("seq").cast("long").alias("seq"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metrum.functions.scalars import revision_text
-from metrum.plans.ordered import positions
+from metrum.plans.rank import ranked
 
 INDEX_KEYS = 50_000
 """Keys per part of a written sync index."""
@@ -57,10 +57,7 @@ def write_sync_index(index: DataFrame, path: str, keys: int = INDEX_KEYS) -> Non
     One document for everything would pass the whole index through one task; parts hold consecutive keys instead, and
     :func:`metrum.sources.readers.read_sync_index` reads any number of them.
     """
-    bucket = F.substring("key", 1, 12)
-    # The prefix and the first letters of the session: some 250,000 buckets for random ids, one summary row each.
-    whole = index.withColumn("_one", F.lit(1))
-    placed = positions(whole, ["_one"], ["key"], bucket, "_pos")
+    placed = ranked(index, [F.col("key").asc()], "_pos")
     parts = placed.groupBy(F.floor(F.col("_pos") / keys).alias("_part")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "sha")))).alias("files")
     )

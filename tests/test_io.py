@@ -1,5 +1,6 @@
 """Files in, files out, and streams over several files."""
 
+import hashlib
 import json
 import os
 import time
@@ -96,6 +97,34 @@ def test_inventory_frames_and_hashes(spark, home):
     assert sorted(x == "cached" for x in again) == [False, True, True]
 
 
+def test_hashes_read_only_what_is_missing(spark, home):
+    """Contents are opened for misses alone, in pieces; a file that is gone by then has no hash."""
+    for k in range(6):
+        home(f"w/{k}.bin", "x" * (k * 1000 + 1))
+    root, log = f"{home.root}/w", f"{home.root}/opened"
+    os.makedirs(log)
+
+    def opened(path):
+        open(f"{log}/{os.path.basename(path)}", "w").close()
+        return open(path.removeprefix("file:"), "rb")
+
+    inventory = I.read_file_inventory(spark, root)
+    even = F.regexp_extract("path", r"(\d)\.bin$", 1).cast("int") % 2 == 0
+    got = {os.path.basename(r.path): r.sha for r in I.hash_files(spark, [root], inventory.where(even).withColumn("sha", F.lit("known")), opened).collect()}
+    assert sorted(os.listdir(log)) == ["1.bin", "3.bin", "5.bin"]
+    assert got == {f"{k}.bin": "known" if k % 2 == 0 else hashlib.sha256(b"x" * (k * 1000 + 1)).hexdigest() for k in range(6)}
+    gone = spark.createDataFrame([(f"file:{root}/1.bin",), (f"file:{root}/no.bin",)], "path string")
+    assert {os.path.basename(r.path): r.sha is None for r in I.hash_content(gone, piece=7).collect()} == {"1.bin": False, "no.bin": True}
+
+
+def test_log_lines_keep_their_order(spark, home):
+    for name, text in (("a.log", "one\ntwo\n\nfour\n"), ("b.x.log", "only"), ("empty.log", "")):
+        home(f"logs/{name}", text)
+    drain(Z.write_epochs(I.stream_log_lines(spark, f"{home.root}/logs"), f"{home.root}/out"), home.root, "lines")
+    found = rows(Z.read_epochs(spark, f"{home.root}/out").select("id", "seq", "line"), "id", "seq")
+    assert [x for x in found if x[0] != "empty"] == [("a", 0, "one"), ("a", 1, "two"), ("a", 2, ""), ("a", 3, "four"), ("b", 0, "only")]
+
+
 def drain(writer, root, name):
     writer.option("checkpointLocation", f"{root}/progress-{name}").trigger(availableNow=True).start().awaitTermination()
 

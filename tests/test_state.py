@@ -248,3 +248,43 @@ def test_storage_and_retention(frame):
     assert report["work"] == (12, 2) and report["logs"] == (0, 0) and report[None] == (12, 2)
     assert rows(R.retention(files, F.lit(100_000)).select("path")) == [("work/a.bin",)]
     assert rows(R.clear_categories(files, ["work", "work"]).select("path")) == [("work/a.bin",)]
+
+
+def test_ranks(spark):
+    """Places in any order over many ranges: equal keys, one value in most rows, long common prefixes, nulls."""
+    from metrum.plans.rank import in_order, range_of, ranked
+
+    data = [("same",)] * 400 + [("p" * 50 + str(k % 37),) for k in range(200)] + [(None,)] * 5
+    df = spark.createDataFrame(data, "k string").repartition(5)
+    got = sorted((r.rank, r.k) for r in ranked(df, [F.col("k").asc_nulls_first()], ranges=8).collect())
+    assert [r for r, _ in got] == list(range(len(data)))
+    assert [k for _, k in got] == sorted((k for (k,) in data), key=lambda k: (k is not None, k or ""))
+    sizes = [r["count"] for r in in_order(df, [F.col("k").asc()], ranges=8).groupBy(range_of()).count().collect()]
+    # Two thirds of the rows are equal, and still no range is much larger than its share.
+    assert len(sizes) == 8 and max(sizes) < 2.5 * len(data) / 8
+    assert ranked(df.limit(0), [F.col("k").asc()]).count() == 0
+    titles = spark.createDataFrame([(k, t) for k, t in enumerate(["ん", "い", "b", "あ", "カ", "A", None])], "position long, title string").withColumns({c: F.lit(None).cast("string") for c in ("date", "last_played")})
+    order = rows(L.rank_library(titles, "title").select("rank", "title"), "rank")
+    assert [t for _, t in order] == [None, "A", "b", "あ", "い", "カ", "ん"]
+
+
+def test_legacy_entries(spark, frame):
+    """The digest is that of the session's compact JSON map, however the keys are spread over ranges and blocks."""
+    import hashlib
+    import json
+
+    from metrum.plans.digest import ordered_digest
+
+    index = {f"sessions/{s}/f{k}é\".txt": f"{k:x}" for s, n in (("a", 1), ("b", 40)) for k in range(n)} | {"sessions/manifest.json": "m", "other/a/x": "o"}
+    df = frame(list(index.items()), "key string, sha string").repartition(3)
+    got = {r.id: r for r in Y.legacy_entries(df, "2024-01-01").collect()}
+    for s in "ab":
+        own = {k: v for k, v in index.items() if k.startswith(f"sessions/{s}/")}
+        want = hashlib.sha256(json.dumps(own, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        assert got[s].digest == want and got[s].device == "legacy" and got[s].entry_date == "2024-01-01" and not got[s].deleted
+    assert len(got) == 2
+    actions = Y.reconcile(frame([], LOCAL), Y.legacy_entries(df, "x").select("id", "digest", "updated_at", "deleted", "deleted_at", "device"), frame([], PREV), frame([], TOMB), 5.0)
+    assert {r.id: r.action for r in actions.collect()} == {"a": "download", "b": "download"}
+    small = ordered_digest(spark.range(30).select((F.col("id") % 2).alias("g"), "id"), ["g"], [F.col("id")], F.col("id").cast("string"), block_rows=4)
+    assert {r.g: r.digest for r in small.collect()} == {g: hashlib.sha256(",".join(str(k) for k in range(g, 30, 2)).encode()).hexdigest() for g in (0, 1)}
+    assert Y.legacy_entries(df.limit(0), "x").count() == 0
