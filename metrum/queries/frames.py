@@ -158,7 +158,30 @@ def _(v: Views):
     return D.drop_overlap(plain, width=8, vertical=True).drop("signature")
 
 
-@query("split_at_boundaries")
+@query(
+    "split_at_boundaries",
+    """
+    WITH RECURSIVE ink AS (SELECT s || '/' || track AS s, idx, abs(level) + idx % 3 AS amount FROM v_tracks),
+    marks AS (SELECT DISTINCT t.s || '/' || t.track AS s, l.value // 9 AS x FROM (SELECT DISTINCT s, track FROM v_tracks) t JOIN v_lines l ON l.s = t.s),
+    sizes AS (SELECT s, max(idx) + 1 AS width, greatest(1, CAST(round_even((max(idx) + 1) / 60.0, 0) AS BIGINT)) AS pieces FROM ink GROUP BY s),
+    cols AS (SELECT i.s, i.idx, sum(amount) OVER (PARTITION BY i.s ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS quiet, m.x IS NOT NULL AS mark
+             FROM ink i LEFT JOIN marks m ON m.s = i.s AND m.x = i.idx),
+    cuts(s, width, pieces, part, start) AS (
+        SELECT s, width, pieces, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM sizes
+        UNION ALL
+        SELECT s, width, pieces, part + 1, CASE WHEN stop > start THEN stop ELSE least(width, start + target) END FROM (
+            SELECT g.s, g.width, g.pieces, g.part, g.start, g.target, coalesce(
+                (min({'d': abs(c.idx - g.ideal), 'x': c.idx}) FILTER (c.mark AND c.idx BETWEEN g.start + g.low AND g.start + g.high)).x,
+                CASE WHEN g.ideal >= g.width THEN g.width ELSE
+                    coalesce((min({'d': c.quiet, 'x': c.idx}) FILTER (c.idx BETWEEN g.q_low AND least(g.width - 1, g.start + g.target))).x, -1) END) AS stop
+            FROM (
+                SELECT *, least(ideal, start + greatest(32, CAST(round_even(target * 0.82, 0) AS BIGINT))) AS q_low,
+                    CAST(round_even(target * 0.65, 0) AS BIGINT) AS low, CAST(round_even(target * 1.08, 0) AS BIGINT) AS high
+                FROM (SELECT *, least(width, start + target) AS ideal FROM (
+                    SELECT *, CAST(round_even((width - start) / CAST(pieces - part AS DOUBLE), 0) AS BIGINT) AS target FROM cuts WHERE part + 1 < pieces))) g
+            LEFT JOIN cols c ON c.s = g.s AND c.idx >= g.start GROUP BY g.s, g.width, g.pieces, g.part, g.start, g.target, g.ideal, g.q_low, g.low, g.high))
+    SELECT s, part, start, coalesce(lead(start) OVER (PARTITION BY s ORDER BY part), width) AS "end" FROM cuts""",
+)
 def _(v: Views):
     panorama = F.concat_ws("/", "s", "track").alias("s")
     ink = v.tracks.select(panorama, "idx", (F.abs("level") + F.col("idx") % 3).alias("amount"))
