@@ -158,18 +158,19 @@ def relabel_runs(sections: DataFrame, rows: int = TILE_ROWS) -> DataFrame:
     )
 
 
-def selection_range(sections: DataFrame, picked: DataFrame, localized: bool = False) -> DataFrame:
-    """Range from the first to the last picked section ``(s, idx)``, one row per session, with the labels in order.
+def _picked(sections: DataFrame, picked: DataFrame) -> DataFrame:
+    return sections.join(picked.select("s", "idx").distinct(), ["s", "idx"])
 
-    The labels are those of one user's selection, so the list stays as short as the selection.
-    """
-    chosen = sections.join(picked.select("s", "idx").distinct(), ["s", "idx"])
-    label = localize_label("label") if localized else F.col("label")
-    return chosen.groupBy("s").agg(
-        F.min_by("start_time", "idx").alias("start"),
-        F.max_by("end_time", "idx").alias("end"),
-        F.transform(F.sort_array(F.collect_list(F.struct("idx", label.alias("label")))), lambda r: r["label"]).alias("labels"),
-    )
+
+def selection_range(sections: DataFrame, picked: DataFrame) -> DataFrame:
+    """Range from the first to the last picked section ``(s, idx)``, one row per session. For the labels see :func:`selection_labels`."""
+    return _picked(sections, picked).groupBy("s").agg(F.min_by("start_time", "idx").alias("start"), F.max_by("end_time", "idx").alias("end"))
+
+
+def selection_labels(sections: DataFrame, picked: DataFrame, localized: bool = False, rows: int = TILE_ROWS) -> DataFrame:
+    """``(s, place, label)``: the labels of the picked sections, numbered in their order; as rows, for any number of them."""
+    chosen = _picked(sections, picked).select("s", "idx", (localize_label("label") if localized else F.col("label")).alias("label"))
+    return positions(chosen, ["s"], ["idx"], row_tile("idx", rows), "place").select("s", "place", "label")
 
 
 def edit_sections(sections: DataFrame, edits: DataFrame, rows: int = TILE_ROWS) -> DataFrame:

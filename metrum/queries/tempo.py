@@ -494,16 +494,28 @@ def _(v: Views):
     return S.relabel_runs(v.labels)
 
 
+def _selection(v: Views):
+    return v.timed_sections.filter((F.col("idx") + F.col("s")) % 3 != 1)
+
+
 @query(
     "selection_range",
     """
-    SELECT s, min_by(start_time, idx) AS start, max_by(end_time, idx) AS "end",
-           string_agg(label, '|' ORDER BY idx) AS labels
+    SELECT s, min_by(start_time, idx) AS start, max_by(end_time, idx) AS "end"
     FROM v_timed_sections WHERE (idx + s) % 3 <> 1 GROUP BY s""",
 )
 def _(v: Views):
-    picked = v.timed_sections.filter((F.col("idx") + F.col("s")) % 3 != 1)
-    return S.selection_range(v.timed_sections, picked).withColumn("labels", F.array_join("labels", "|"))
+    return S.selection_range(v.timed_sections, _selection(v))
+
+
+@query(
+    "selection_labels",
+    """
+    SELECT s, row_number() OVER (PARTITION BY s ORDER BY idx) - 1 AS place, label
+    FROM v_timed_sections WHERE (idx + s) % 3 <> 1""",
+)
+def _(v: Views):
+    return S.selection_labels(v.timed_sections, _selection(v))
 
 
 @query(

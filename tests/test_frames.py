@@ -342,3 +342,25 @@ def test_texts(frame):
     ).first()
     assert (row.b, row.c, row.d, row.v, row.w, row.l, row.e) == ("1.50 KB", "1:00", "1時間 2分 5秒", "abc", "q", "Aメロ 2", "a b.MP3")
     assert row.p.seconds == 3723.5 and not row.p.error
+
+
+def test_views_of_any_size(spark):
+    """Heads of runs of masks of 0 to 200 cells, sizes mixed, over small tiles, against a loop."""
+    import random
+
+    draw = random.Random(8)
+    masks, mask = [], [False] * 70
+    for k in range(120):
+        if draw.random() < 0.15:
+            mask = [draw.random() < 0.5 for _ in range(draw.choice([0, 1, 63, 64, 65, 128, 200, len(mask)]))]
+        mask = [not x if draw.random() < 0.02 else x for x in mask]
+        masks.append(mask)
+    rows = [(s, k, m) for s in (0, 1) for k, m in enumerate(masks if s == 0 else masks[:1])]
+    got = {(r.s, r.idx): r.head for r in D.group_views(spark.createDataFrame(rows, "s long, idx long, signature array<boolean>"), 0.05, 16).collect()}
+    head = 0
+    for k, m in enumerate(masks):
+        held = masks[head]
+        share = sum(a != b for a, b in zip(m, held)) / max(1, len(held)) if len(m) == len(held) else 1.0
+        head = k if share > 0.05 else head
+        assert got[0, k] == head
+    assert got[1, 0] == 0 and len(got) == 121
