@@ -353,8 +353,10 @@ def deduplicated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     stays, the least by all its columns, so those must have an order. Rows without an id stay.
     """
     found = durable(grouped(documents, doc_id, text, percent).where("doc_id IS NOT NULL").groupBy("doc_id", "copy").agg(F.min("group").alias("group"), F.count("*").alias("rows")))
-    least = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "copy")).alias("first"))
-    gone = found.join(least, "group").where(F.struct("doc_id", "copy") != F.col("first")).select(F.col("doc_id").alias(doc_id), F.col("copy").alias("_copy"))
+    linked = found.where("group IS NOT NULL")
+    # By document, not by group, so that a group with a third of all rows is spread.
+    first = linked.groupBy("group").agg(F.min(F.struct("doc_id", "copy")).alias("first")).select("first.*")
+    gone = linked.join(first, ["doc_id", "copy"], "left_anti").select(F.col("doc_id").alias(doc_id), F.col("copy").alias("_copy"))
     again = found.where("rows > 1").select(F.col("doc_id").alias(doc_id), F.col("copy").alias("_copy"))
     key = [doc_id, "_copy"]
     stay = documents.withColumn("_copy", copy_name(text)).join(gone, key, "left_anti")
