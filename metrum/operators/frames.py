@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metrum.functions.scalars import half_even_int, mask_share, mask_unmatched
-from metrum.operators.folds import dilate_np, group_views
+from metrum.operators.folds import group_views
 from metrum.plans.ordered import (
     TILE_ROWS,
     Scan,
@@ -100,7 +100,7 @@ def _stack(masks: pd.Series, chosen: np.ndarray) -> np.ndarray:
     return np.stack([np.asarray(masks.iloc[i], dtype=bool) for i in chosen])
 
 
-PAIR_CELLS = 1 << 22
+PAIR_CELLS = 1 << 20
 """Cells of masks that are compared at once; a batch of more is cut."""
 
 
@@ -139,6 +139,18 @@ def _round(value: float) -> int:
     return int(np.rint(value))
 
 
+def correlated(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For masks (n, rows, width) and each shift, the number of cells set in ``left`` and in ``right`` moved there.
+
+    A Fourier transform of each row gives all shifts at once; sums over rows are taken before the way back. Counts are
+    whole numbers far below what rounding could blur.
+    """
+    width = left.shape[2]
+    size = 1 << (2 * width - 1).bit_length()
+    product = np.fft.rfft(left, size) * np.conj(np.fft.rfft(right, size))
+    return np.rint(np.fft.irfft(product.sum(axis=1), size)[:, :width]).astype(np.int64)
+
+
 def _shift_matcher(minimum: int, width: int | None, dense: float | None, limit: float = 0.24):
     def match(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         across = width or a.shape[1]
@@ -147,7 +159,7 @@ def _shift_matcher(minimum: int, width: int | None, dense: float | None, limit:
         of_left = np.cumsum(left.sum(axis=1)[:, ::-1], axis=1)[:, ::-1]
         of_right = np.cumsum(right.sum(axis=1), axis=1)
         offsets = np.arange(max(0, across - max(24, _round(across * 0.38))) + 1)
-        common = np.stack([np.count_nonzero(left[:, :, k:] & right[:, :, : across - k], axis=(1, 2)) for k in offsets], axis=1)
+        common = correlated(left, right)[:, offsets]
         union = of_left[:, offsets] + of_right[:, across - 1 - offsets] - common
         least = [max(minimum, _round(left.shape[1] * (across - k) * 0.003)) for k in offsets]
         share = np.where(union < np.array(least), 1.0, (union - common) / np.maximum(union, 1))
@@ -158,16 +170,32 @@ def _shift_matcher(minimum: int, width: int | None, dense: float | None, limit:
     return match
 
 
+def _grown(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masks grown by one cell to all sides; and without the step to the left, and without that to the right."""
+    tall = masks.copy()
+    tall[:, 1:] |= masks[:, :-1]
+    tall[:, :-1] |= masks[:, 1:]
+    from_left, from_right = tall.copy(), tall.copy()
+    from_left[:, :, 1:] |= tall[:, :, :-1]
+    from_right[:, :, :-1] |= tall[:, :, 1:]
+    return from_left | from_right, from_left, from_right
+
+
 def _overlap_matcher(width: int, low: int, high: int, features: int, dense: float | None, limit: float = 0.22):
     def match(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left_all, right_all = _without_lines(a.reshape(len(a), -1, width), b.reshape(len(b), -1, width), dense)
-        shares = []
-        for size in range(low, high + 1):
-            left, right = left_all[:, :, width - size :], right_all[:, :, :size]
-            total = left.sum(axis=(1, 2)) + right.sum(axis=(1, 2))
-            alone = (left & ~dilate_np(right)).sum(axis=(1, 2)) + (right & ~dilate_np(left)).sum(axis=(1, 2))
-            shares.append(np.where(total < features, np.inf, alone / np.maximum(total, 1)))
-        table = np.stack(shares)
+        left, right = _without_lines(a.reshape(len(a), -1, width), b.reshape(len(b), -1, width), dense)
+        sizes = np.arange(low, high + 1)
+        of_left = np.cumsum(left.sum(axis=1)[:, ::-1], axis=1)[:, sizes - 1]
+        of_right = np.cumsum(right.sum(axis=1), axis=1)[:, sizes - 1]
+        total = of_left + of_right
+        # A crop's edge column has no neighbours beyond the crop: take off what only these would match.
+        whole_l, _, inner_l = _grown(left)
+        whole_r, inner_r, _ = _grown(right)
+        edge_l = np.einsum("nr,nrw->nw", right[:, :, 0].astype(np.int64), (whole_l & ~inner_l).astype(np.int64))[:, width - sizes]
+        edge_r = np.einsum("nr,nrw->nw", left[:, :, -1].astype(np.int64), (whole_r & ~inner_r).astype(np.int64))[:, sizes - 1]
+        near_left = correlated(left, whole_r)[:, width - sizes] - edge_r
+        near_right = correlated(whole_l, right)[:, width - sizes] - edge_l
+        table = np.where(total < features, np.inf, (total - near_left - near_right) / np.maximum(total, 1)).T
         best = table.min(axis=0)
         near = table <= np.minimum(limit, best + 0.025)
         # The smallest overlap among those about as good as the best.
@@ -193,8 +221,8 @@ def best_shift(
 
     Masks have rows of ``width`` cells; without ``width`` they are one row, of which no part is a line. Rows denser
     than ``dense`` in either frame of a pair are left out. Shifts keep an overlap of at least 0.38 of the width and 24 cells; a shift counts only
-    with enough set cells; above 0.24 there is no match. All shifts of a pair are tried inside one batch, so pairs are
-    never multiplied into rows.
+    with enough set cells; above 0.24 there is no match. All shifts of a pair come from one correlation of its masks, so
+    pairs are never multiplied into rows, and the cost of one grows with its cells, not with cells times shifts.
     """
     return _with_motion(frames, _shift_matcher(minimum, width, dense if width else None), "offset", rows)
 

@@ -364,3 +364,26 @@ def test_views_of_any_size(spark):
         head = k if share > 0.05 else head
         assert got[0, k] == head
     assert got[1, 0] == 0 and len(got) == 121
+
+
+def test_correlations_equal_slices():
+    """All shifts and all edge overlaps at once, against crops compared one by one."""
+    draw = np.random.default_rng(3)
+    for _ in range(40):
+        n, rows, width = draw.integers(1, 6), draw.integers(1, 9), draw.integers(26, 90)
+        view = draw.random((n, rows, 2 * width)) < draw.choice([0.02, 0.1, 0.4])
+        a, b = view[:, :, :width], view[:, :, (at := draw.integers(0, width)) : at + width]
+        common = np.stack([np.count_nonzero(a[:, :, k:] & b[:, :, : width - k], axis=(1, 2)) for k in range(width)], axis=1)
+        assert (R.correlated(a, b) == common).all()
+        shares = []
+        for size in range(4, width + 1):
+            left, right = a[:, :, width - size :], b[:, :, :size]
+            total = left.sum(axis=(1, 2)) + right.sum(axis=(1, 2))
+            alone = (left & ~D.dilate_np(right)).sum(axis=(1, 2)) + (right & ~D.dilate_np(left)).sum(axis=(1, 2))
+            shares.append(np.where(total < 3, np.inf, alone / np.maximum(total, 1)))
+        table = np.stack(shares)
+        best = table.min(axis=0)
+        sizes, difference = R._overlap_matcher(int(width), 4, int(width), 3, None, 0.9)(a.reshape(n, -1), b.reshape(n, -1))
+        found = best <= 0.9
+        assert (sizes == 4 + (table <= np.minimum(0.9, best + 0.025)).argmax(axis=0))[found].all()
+        assert (difference == best)[found].all() and np.isnan(difference[~found]).all()
