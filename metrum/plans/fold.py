@@ -6,8 +6,8 @@ over the rows of one tile and a small state; the state leaving one tile enters t
 A tile's run is a transition from an entry state to an exit state. Every tile first runs on a guess (the state of a
 session's start); then each round runs it on those exits of the tile before that it hasn't met. Folds that restart on
 clear evidence meet few states: once no tile meets a new one, the transitions hold the true path of every session, and
-it is found by composing them over 1, 2, 4, ... tiles. A session of one tile needs no run but the one that emits. The
-result equals the sequential fold, whatever the number of tiles.
+it is found by composing them over 1, 2, 4, ... tiles. A session of one tile needs no run but the one that emits; with
+longer ones the rows are stored once, for all rounds. The result equals the sequential fold, whatever the number of tiles.
 
 The rounds are as many as states met by one tile, so a state should hold what later rows depend on and nothing else:
 a number that is only carried along (the head of a group, the start of a page) is left out and filled in afterwards
@@ -57,6 +57,8 @@ def _settle(tiled: DataFrame, keys: list[str], state_type: str, leave: Pass, emi
     states = begun.select("*", run)
     due = tiles.filter(~F.col("_last")).select(*group, "_k", nothing.alias("_entry")).select("*", run)
     if not due.isEmpty():
+        # Rounds come back to the same rows, so they are evaluated once and stored.
+        tiled = durable(tiled)
         runs: DataFrame | None = None
         while not due.isEmpty():
             exits = leave(tiled.join(due.drop("_k"), group).withColumn("_last", F.lit(False)))
