@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from metrum.functions.fixed import CANCELED_MESSAGE, CANCEL_REQUESTED_MESSAGE
 from metrum.functions.scalars import stage_of
 from metrum.operators.sync import apply_reconciled, reconcile
+from metrum.plans.durable import durable
 from metrum.plans.ordered import Scan, running, time_tile
 from metrum.streaming.store import Store
 
@@ -265,7 +266,7 @@ def sync_stream(
 
     def sink(batch: DataFrame, epoch: int) -> None:
         newest = batch.groupBy("id").agg(F.max_by(F.struct(*fields), F.struct("updated_at", "digest")).alias("_r"))
-        remote = newest.select("id", "_r.*")
+        remote = durable(newest.select("id", "_r.*"))
         ids = remote.select("id")
         parts = [table.join(ids, "id", "left_semi") for table in (local, previous, tombstones)]
         store = Store(batch.sparkSession, f"{path}_state", ["id"])
@@ -274,7 +275,8 @@ def sync_stream(
             for k, name in enumerate(("local", "previous", "tombstone")):
                 now_known = known.filter(F.col(name).isNotNull()).select("id", f"{name}.*")
                 parts[k] = parts[k].join(known.select("id"), "id", "left_anti").unionByName(now_known.select(*parts[k].columns))
-        result = reconcile(parts[0], remote, parts[1], parts[2], now)
+        # Written twice below, in two forms.
+        result = durable(reconcile(parts[0], remote, parts[1], parts[2], now))
         result.select("id", "action", "conflict", "deletes_local", "removes").write.mode("overwrite").parquet(epoch_path(path, epoch))
         remembered = apply_reconciled(result)[2].select("id", F.struct("local_digest", "remote_revision").alias("previous"))
         after = result.select("id", "local", "tombstone").join(remembered, "id", "left")

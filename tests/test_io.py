@@ -3,7 +3,6 @@
 import hashlib
 import json
 import os
-import time
 
 import pytest
 from pyspark.sql import functions as F
