@@ -21,3 +21,10 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_sizes_beyond_64_bits(spark, tmp_path):
+    keys = [1, 748_000, 9_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.id: r.text for r in entry.queries()["human_bytes"](spark, str(tmp_path)).collect()}
+    assert got == {1: "23 B"} | {k: f"{(22 * k**3 + 1) / 2**40:.1f} TB" for k in keys[1:]}
