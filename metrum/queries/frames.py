@@ -175,8 +175,8 @@ def _(v: Views):
                 CASE WHEN g.ideal >= g.width THEN g.width ELSE
                     coalesce((min({'d': c.quiet, 'x': c.idx}) FILTER (c.idx BETWEEN g.q_low AND least(g.width - 1, g.start + g.target))).x, -1) END) AS stop
             FROM (
-                SELECT *, least(ideal, start + greatest(32, CAST(round_even(target * 0.82, 0) AS BIGINT))) AS q_low,
-                    CAST(round_even(target * 0.65, 0) AS BIGINT) AS low, CAST(round_even(target * 1.08, 0) AS BIGINT) AS high
+                SELECT *, least(ideal, start + greatest(32, CAST(target * 0.82::DOUBLE AS BIGINT))) AS q_low,
+                    CAST(target * 0.65::DOUBLE AS BIGINT) AS low, CAST(target * 1.08::DOUBLE AS BIGINT) AS high
                 FROM (SELECT *, least(width, start + target) AS ideal FROM (
                     SELECT *, CAST(round_even((width - start) / CAST(pieces - part AS DOUBLE), 0) AS BIGINT) AS target FROM cuts WHERE part + 1 < pieces))) g
             LEFT JOIN cols c ON c.s = g.s AND c.idx >= g.start GROUP BY g.s, g.width, g.pieces, g.part, g.start, g.target, g.ideal, g.q_low, g.low, g.high))

@@ -23,8 +23,19 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def _compared(spark, folder, name):
+    return compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], str(folder), duck(str(folder)))
+
+
 def test_sizes_beyond_64_bits(spark, tmp_path):
     keys = [1, 748_000, 9_000_000]
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.id: r.text for r in entry.queries()["human_bytes"](spark, str(tmp_path)).collect()}
     assert got == {1: "23 B"} | {k: f"{(22 * k**3 + 1) / 2**40:.1f} TB" for k in keys[1:]}
+
+
+def test_panorama_whose_limit_falls_between_columns(spark, tmp_path):
+    """0.82 of a target of 75 columns is a hair less than 61.5 as a double."""
+    duck("/root/testdata/sf0.1").execute(f"COPY (SELECT * FROM lineitem WHERE l_suppkey = 595) TO '{tmp_path}/lineitem.parquet'")
+    ok, message = _compared(spark, tmp_path, "split_at_boundaries")
+    assert ok, message
