@@ -17,17 +17,19 @@ def pitch_histogram(notes: DataFrame) -> DataFrame:
     return notes.groupBy("s", F.pmod("note", F.lit(12)).alias("pitch_class")).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _centred(profile: tuple[float, ...]) -> list[float]:
-    mean = sum(profile) / len(profile)
-    spread = math.sqrt(sum((p - mean) ** 2 for p in profile))
-    return [(p - mean) / spread for p in profile]
+def profile_deviations(profile: tuple[float, ...]) -> list[int]:
+    """Twelve times each value's distance from the mean, in hundredths: whole numbers, so sums over them are exact."""
+    hundredths = [round(100 * p) for p in profile]
+    return [12 * p - sum(hundredths) for p in hundredths]
 
 
 def estimate_key(histogram: DataFrame) -> DataFrame:
     """Best key per session by correlation with the 24 rolled key profiles.
 
     The histogram becomes one array of twelve weights, so the profiles are constants of one expression and nothing is
-    joined. Ties prefer the higher tonic, then minor. An empty or flat histogram has no key and confidence 0.
+    joined. Ties prefer the higher tonic, then minor. An empty or flat histogram has no key and confidence 0. Weights
+    and profiles enter as twelve times their distance from the mean; for counts (up to 10 million of a class) all sums
+    are whole numbers, so that equal correlations are equal however they are added up.
     """
     weights = [F.sum(F.when(F.col("pitch_class") == k, F.col("weight")).otherwise(0)).cast("double") for k in range(12)]
     wide = histogram.groupBy("s").agg(F.array(*weights).alias("_w"))
@@ -35,23 +37,23 @@ def estimate_key(histogram: DataFrame) -> DataFrame:
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
-    mean = wide.withColumn("_mean", total(F.col("_w")) / 12)
-    energy = mean.withColumn("_e", F.transform("_w", lambda x: x - F.col("_mean")))
+    summed = wide.withColumn("_sum", total(F.col("_w")))
+    energy = summed.withColumn("_e", F.transform("_w", lambda x: x * 12 - F.col("_sum")))
     shares = energy.withColumn("_spread", F.sqrt(total(F.transform("_e", lambda x: x * x))))
     # One parsed literal: building it from hundreds of columns would take longer than the query.
     rolled = [
-        f"named_struct('p', array({', '.join(f'{centred[(k - tonic) % 12]!r}D' for k in range(12))}), 'tonic', {tonic}, 'mode', '{mode}')"
-        for mode, centred in (("major", _centred(fixed.MAJOR_PROFILE)), ("minor", _centred(fixed.MINOR_PROFILE)))
+        f"named_struct('p', array({', '.join(f'{own[(k - tonic) % 12]}D' for k in range(12))}), 'norm', {math.sqrt(sum(x * x for x in own))!r}D, 'tonic', {tonic}, 'mode', '{mode}')"
+        for mode, own in (("major", profile_deviations(fixed.MAJOR_PROFILE)), ("minor", profile_deviations(fixed.MINOR_PROFILE)))
         for tonic in range(12)
     ]
     profiles = F.expr(f"array({', '.join(rolled)})")
 
     def score(profile: Column) -> Column:
         fit = total(F.zip_with("_e", profile["p"], lambda x, y: x * y))
-        return F.struct(F.try_divide(fit, F.col("_spread")).alias("score"), profile["tonic"].alias("tonic"), profile["mode"].alias("mode"))
+        return F.struct(F.try_divide(fit, F.col("_spread") * profile["norm"]).alias("score"), profile["tonic"].alias("tonic"), profile["mode"].alias("mode"))
 
     ranked = shares.withColumn("_c", F.sort_array(F.transform(profiles, score), asc=False))
-    known = F.col("_spread") > 1e-9
+    known = F.col("_spread") > 1e-8
     best, second = F.col("_c")[0], F.col("_c")[1]
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + (best["score"] - second["score"]) * 1.8))
     tonic, mode = F.when(known, best["tonic"]), F.when(known, best["mode"])

@@ -829,13 +829,18 @@ KEY_SQL = f"""
     hist AS (SELECT s, note % 12 AS pc, count(*) AS w FROM v_notes GROUP BY ALL),
     pcs AS (SELECT s, pc, coalesce(w, 0) AS w FROM (SELECT DISTINCT s FROM hist) CROSS JOIN (SELECT unnest(range(0, 12)) AS pc)
             LEFT JOIN hist USING (s, pc)),
-    prof AS (SELECT 'major' AS mode, unnest({list(fixed.MAJOR_PROFILE)}) AS p, unnest(range(0, 12)) AS k
-             UNION ALL SELECT 'minor', unnest({list(fixed.MINOR_PROFILE)}), unnest(range(0, 12))),
+    dev AS (SELECT s, pc, 12 * w - sum(w) OVER (PARTITION BY s) AS d FROM pcs),
+    prof AS (SELECT 'major' AS mode, unnest({H.profile_deviations(fixed.MAJOR_PROFILE)}) AS p, unnest(range(0, 12)) AS k
+             UNION ALL SELECT 'minor', unnest({H.profile_deviations(fixed.MINOR_PROFILE)}), unnest(range(0, 12))),
     rolled AS (SELECT mode, tonic, (k + tonic) % 12 AS pc, p FROM prof, (SELECT unnest(range(0, 12)) AS tonic)),
-    scored AS (SELECT h.s, r.tonic, r.mode, corr(h.w, r.p) AS score FROM pcs h JOIN rolled r ON r.pc = h.pc GROUP BY ALL),
+    scored AS (SELECT h.s, r.tonic, r.mode, CASE WHEN sum(h.d * h.d) > 0 THEN CAST(sum(h.d * r.p) AS DOUBLE)
+                   / (sqrt(CAST(sum(h.d * h.d) AS DOUBLE)) * sqrt(CAST(sum(r.p * r.p) AS DOUBLE))) END AS score
+               FROM dev h JOIN rolled r ON r.pc = h.pc GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, tonic DESC, mode DESC) AS k,
                       lead(score) OVER (PARTITION BY s ORDER BY score DESC, tonic DESC, mode DESC) AS second FROM scored),
-    keys AS (SELECT s, tonic, mode, round_even(greatest(0, least(1, 0.5 + (score - second) * 1.8)), 3) AS confidence
+    keys AS (SELECT s, CASE WHEN score IS NOT NULL THEN tonic END AS tonic, CASE WHEN score IS NOT NULL THEN mode END AS mode,
+                    CASE WHEN score IS NULL THEN 0.0::DOUBLE
+                         ELSE CAST(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + (score - second) * 1.8::DOUBLE)) * 1000 AS BIGINT) / 1000.0::DOUBLE END AS confidence
              FROM ranked WHERE k = 1)"""
 
 

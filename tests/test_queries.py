@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -39,3 +40,17 @@ def test_panorama_whose_limit_falls_between_columns(spark, tmp_path):
     duck("/root/testdata/sf0.1").execute(f"COPY (SELECT * FROM lineitem WHERE l_suppkey = 595) TO '{tmp_path}/lineitem.parquet'")
     ok, message = _compared(spark, tmp_path, "split_at_boundaries")
     assert ok, message
+
+
+def test_keys_of_equal_score(spark, tmp_path):
+    """Sessions whose best tonics are equally good, and flat ones."""
+    sets = [(0, 6), (1, 7), (0, 4, 8), (0, 3, 6, 9), (2, 5, 8, 11), (0, 2, 4, 6, 8, 10), (0, 1, 6, 7), range(12)]
+    rows = [(s * 10 + n, float(12 + c)) for s, classes in enumerate(sets) for n in (1, 3, 7) for c in classes for _ in range(n)]
+    pd.DataFrame(rows, columns=["l_suppkey", "l_quantity"]).to_parquet(f"{tmp_path}/lineitem.parquet")
+    ok, message = _compared(spark, tmp_path, "estimate_key")
+    assert ok, message
+    got = {r.s: r for r in entry.queries()["estimate_key"](spark, str(tmp_path)).collect()}
+    # Sets that look alike from several tonics: the highest of these wins, whatever the number of notes.
+    for s, period in ((0, 6), (1, 6), (2, 4), (3, 3), (4, 3), (5, 2), (6, 6)):
+        assert {got[s * 10 + n].tonic >= 12 - period for n in (1, 3, 7)} == {True}
+    assert {(got[70 + n].tonic, got[70 + n].confidence) for n in (1, 3, 7)} == {(None, 0.0)}
