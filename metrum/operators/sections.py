@@ -162,9 +162,18 @@ def _picked(sections: DataFrame, picked: DataFrame) -> DataFrame:
     return sections.join(picked.select("s", "idx").distinct(), ["s", "idx"])
 
 
-def selection_range(sections: DataFrame, picked: DataFrame) -> DataFrame:
-    """Range from the first to the last picked section ``(s, idx)``, one row per session. For the labels see :func:`selection_labels`."""
-    return _picked(sections, picked).groupBy("s").agg(F.min_by("start_time", "idx").alias("start"), F.max_by("end_time", "idx").alias("end"))
+def selection_range(sections: DataFrame, picked: DataFrame, localized: bool = False) -> DataFrame:
+    """Range from the first to the last picked section ``(s, idx)``, one row per session, with the labels in order.
+
+    The labels are those of one user's selection, so the list stays as short as the selection; :func:`selection_labels`
+    gives them as rows.
+    """
+    label = localize_label("label") if localized else F.col("label")
+    return _picked(sections, picked).groupBy("s").agg(
+        F.min_by("start_time", "idx").alias("start"),
+        F.max_by("end_time", "idx").alias("end"),
+        F.transform(F.sort_array(F.collect_list(F.struct("idx", label.alias("label")))), lambda r: r["label"]).alias("labels"),
+    )
 
 
 def selection_labels(sections: DataFrame, picked: DataFrame, localized: bool = False, rows: int = TILE_ROWS) -> DataFrame:

@@ -501,11 +501,12 @@ def _selection(v: Views):
 @query(
     "selection_range",
     """
-    SELECT s, min_by(start_time, idx) AS start, max_by(end_time, idx) AS "end"
+    SELECT s, min_by(start_time, idx) AS start, max_by(end_time, idx) AS "end",
+           string_agg(label, '|' ORDER BY idx) AS labels
     FROM v_timed_sections WHERE (idx + s) % 3 <> 1 GROUP BY s""",
 )
 def _(v: Views):
-    return S.selection_range(v.timed_sections, _selection(v))
+    return S.selection_range(v.timed_sections, _selection(v)).withColumn("labels", F.array_join("labels", "|"))
 
 
 @query(
