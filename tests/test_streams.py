@@ -2,10 +2,12 @@
 
 import os
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from metrum.queries.streaming import ARRIVALS, Arrivals
 from metrum.streaming import monitor, store
 from metrum.streaming import streams as Z
 from tests.conftest import rows
@@ -177,3 +179,15 @@ def test_watch_stream_against_a_loop(spark, tmp_path):
     assert seen(out) == plain([x for x in LINES if x[0] != "clock"], 10, 30, 120, 380)
     assert len({r.epoch for r in out.select("epoch").distinct().collect()}) > 1
     assert out.select(monitor.messages().alias("m")).where("m = 'Analyzer running for 10s'").count() > 0
+
+
+# --- arrivals ------------------------------------------------------------------------------------------------
+
+
+def test_arrivals_are_batches_of_many_files(spark, tmp_path):
+    """A part is written by as many tasks as read it, not by one, and is one batch all the same."""
+    arrivals = Arrivals(SimpleNamespace(spark=spark), spark.range(0, 100, 1, 4), F.col("id") % ARRIVALS, str(tmp_path))
+    sizes = []
+    arrivals.drain(arrivals.stream.writeStream.foreachBatch(lambda batch, epoch: sizes.append((epoch, sorted(r.id % ARRIVALS for r in batch.collect())))))
+    assert sizes == [(k, [k] * 20) for k in range(ARRIVALS)]
+    assert len(spark.read.parquet(f"{tmp_path}/arrived").inputFiles()) == 4 * ARRIVALS
