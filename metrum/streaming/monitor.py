@@ -5,28 +5,23 @@ every ``beat`` seconds after that. The job is over when its last line (``done``)
 with none following, or ``limit`` seconds after its start; lines that come after count for nothing. Where two things
 fall on one moment, the limit comes first, then silence, then the heartbeat, then the line.
 
-``watch`` finds all that from a finished table. ``watch_stream`` finds it while lines arrive: the state of each job is
-what the next moment depends on, and a timer stands at that moment. Lines wait in the state until the watermark has
-passed them, so the rows do not depend on the order in which lines came in, and equal those of the batch twin up to
-the watermark.
+``watch`` finds all that from a finished table. ``watch_stream`` finds it while lines arrive: a batch runs the batch
+twin over the lines its watermark has passed and the last line of each job still running, and writes what happens up to
+the watermark. Lines wait until the watermark has passed them, so the rows do not depend on the order in which lines
+came in, and equal those of the batch twin up to the watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from metrum.functions.fixed import RUNNING_MESSAGE
+from metrum.plans.durable import durable
 from metrum.plans.ordered import Scan, running, time_tile
-from metrum.streaming.streams import LATENESS, write_epochs
+from metrum.streaming.streams import LATENESS, epoch_path
 
-#: id, what happened (heartbeat, silent, expired), when, and seconds since the start.
-EVENT = "id string, kind string, at timestamp, elapsed long"
 MICROS = 1_000_000
 
 
@@ -43,155 +38,102 @@ def watch(lines: DataFrame, beat: int, quiet: int | None = None, limit: int | No
 
     ``until`` cuts off what happens after that moment: a table that ends is not a job that fell silent.
     """
-    end_of_time = F.lit((1 << 62)).cast("long")
-    rows = lines.select("id", F.unix_micros("at").alias("t"), F.coalesce("done", F.lit(False)).cast("int").alias("d")).where("t IS NOT NULL")
-    # Equal lines of a job are one; of two at one moment the last line of all is read last.
-    rows = rows.groupBy("id", "t").agg(F.max("d").alias("d"))
+    rows = _line_rows(lines).where("t IS NOT NULL").groupBy("id", "t").agg(F.max("d").alias("d"))
+    known, over = _spans(rows.withColumn("begun", F.col("t")), quiet, limit, seconds)
+    return _named(_happenings(known, over, beat, None if until is None else F.unix_micros(until)))
+
+
+def _line_rows(lines: DataFrame) -> DataFrame:
+    """``id, t, d``. Equal lines of a job are one; of two at one moment the last line of all is read last."""
+    return lines.select("id", F.unix_micros("at").alias("t"), F.coalesce("done", F.lit(False)).cast("int").alias("d"))
+
+
+def _named(happenings: DataFrame) -> DataFrame:
+    return happenings.select(F.col("id").cast("string").alias("id"), "kind", F.timestamp_micros("t").alias("at"), F.floor((F.col("t") - F.col("start")) / MICROS).cast("long").alias("elapsed"))
+
+
+END_OF_TIME = 1 << 62
+
+
+def _spans(rows: DataFrame, quiet: int | None, limit: int | None, seconds: float) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(id, t, d, begun)`` with ``next`` and ``start``, and when each job is over, and by what."""
+    end_of_time = F.lit(END_OF_TIME).cast("long")
     known = running(
         rows, ["id"], time_tile(F.col("t") / MICROS, seconds), ["t"],
-        {"next": Scan("last", F.col("t"), (-F.col("t"),), reverse=True, exclusive=True), "start": Scan("min", F.col("t"), whole=True)},
+        {"next": Scan("last", F.col("t"), (-F.col("t"),), reverse=True, exclusive=True), "start": Scan("min", F.col("begun"), whole=True)},
     )
     silent = F.lit(None).cast("long") if quiet is None else F.when((F.col("d") == 0) & (F.coalesce("next", end_of_time) - F.col("t") >= quiet * MICROS), F.col("t") + quiet * MICROS)
     expired = F.lit(None).cast("long") if limit is None else F.min("start") + limit * MICROS
-    ends = known.groupBy("id").agg(F.min("start").alias("start"), F.min(silent).alias("silent"), F.min(F.when(F.col("d") == 1, F.col("t"))).alias("last"), expired.alias("expired"))
+    ends = known.groupBy("id").agg(F.min("start").alias("start"), F.min(silent).alias("silent"), F.min(F.when(F.col("d") == 1, F.col("t"))).alias("last"), expired.alias("expired"), F.max("t").alias("latest"))
     first = F.least("silent", "last", "expired")
-    over = ends.select("id", "start", first.alias("over"), F.when(F.col("expired") == first, "expired").when(F.col("silent") == first, "silent").alias("kind"))
+    kind = F.when(F.col("expired") == first, "expired").when(F.col("silent") == first, "silent")
+    return known, ends.select("id", "start", "latest", first.alias("over"), kind.alias("kind"))
+
+
+def _happenings(known: DataFrame, over: DataFrame, beat: int, until: Column | None) -> DataFrame:
+    """``id, kind, t, start`` of all that happens up to the microsecond ``until``."""
+    end_of_time = F.lit(END_OF_TIME).cast("long")
     stopped = over.where("kind IS NOT NULL").select("id", "kind", F.col("over").alias("t"), "start")
     lively = known.select("id", "t", "next", "start").join(over.select("id", "over", "kind"), "id")
     # A heartbeat comes before a line of the same moment, but after the end.
     bound = F.least(F.coalesce("next", end_of_time), F.coalesce(F.when(F.col("kind").isNotNull(), F.col("over") - 1).otherwise(F.col("over")), end_of_time))
     if until is not None:
-        bound = F.least(bound, F.unix_micros(until))
-        stopped = stopped.where(F.col("t") <= F.unix_micros(until))
+        bound = F.least(bound, until)
+        stopped = stopped.where(F.col("t") <= until)
     count = F.floor((bound - F.col("t")) / (beat * MICROS)).cast("long")
     # Without an end in sight there is no last heartbeat.
     beats = lively.where(F.coalesce("over", end_of_time) > F.col("t")).where(bound < end_of_time).where(count >= 1)
     each = beats.select("id", "t", "start", F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("k"))
     ticks = each.select("id", F.lit("heartbeat").alias("kind"), (F.col("t") + F.col("k") * (beat * MICROS)).alias("t"), "start")
-    return stopped.unionByName(ticks).select(F.col("id").cast("string").alias("id"), "kind", F.timestamp_micros("t").alias("at"), F.floor((F.col("t") - F.col("start")) / MICROS).cast("long").alias("elapsed"))
-
-
-# --- keyed state with timers ---------------------------------------------------------------------------------
-
-STATE = "start long, last long, beat long, over boolean, timer long, waiting array<long>, final array<long>"
-
-
-class Watch(StatefulProcessor):
-    """The state of one job. Times are microseconds; ``final`` holds those of lines that are a job's last."""
-
-    def __init__(self, beat: int, quiet: int | None, limit: int | None, keep: int):
-        self.beat, self.keep = beat * MICROS, keep * MICROS
-        self.quiet = None if quiet is None else quiet * MICROS
-        self.limit = None if limit is None else limit * MICROS
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("job", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self._load()
-        for batch in rows:
-            state["waiting"] += batch["t"].tolist()
-            state["final"] += batch.loc[batch["d"] > 0, "t"].tolist()
-        yield self._forward(key[0], state, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # The timer that went off is no longer set.
-        yield self._forward(key[0], self._load() | {"timer": None}, timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
-
-    def _load(self) -> dict:
-        if not self.state.exists():
-            return {"start": None, "last": None, "beat": None, "over": False, "timer": None, "waiting": [], "final": []}
-        found = dict(zip(("start", "last", "beat", "over", "timer", "waiting", "final"), self.state.get()))
-        return found | {k: list(found[k] or []) for k in ("waiting", "final")}
-
-    def _forward(self, job: str, state: dict, watermark: int) -> pd.DataFrame:
-        """Let all happen that is due by the watermark, and set the timer on what comes next."""
-        now, found, gone = watermark * 1000, [], state["over"]
-        state["waiting"] = sorted(set(state["waiting"]))
-        place = 0
-        while not state["over"]:
-            line = state["waiting"][place] if place < len(state["waiting"]) else None
-            due = self._due(state)
-            if due and due[0] <= now and (line is None or due[0] <= line):
-                found.append((job, due[2], due[0], (due[0] - state["start"]) // MICROS))
-                state["beat"], state["over"] = due[0], due[2] != "heartbeat"
-            elif line is not None and line <= now:
-                if state["start"] is None:
-                    state["start"] = line
-                state["last"] = state["beat"] = line
-                state["over"] = line in state["final"]
-                place += 1
-            else:
-                break
-        del state["waiting"][:place]
-        state["final"] = [t for t in state["final"] if t > now]
-        if not state["over"]:
-            due = self._due(state)
-            moments = state["waiting"][:1] + ([due[0]] if due else [])
-            self._set(state, min(moments, default=now + self.keep))
-        elif not gone:
-            state["waiting"], state["final"] = [], []
-            self._set(state, max(state["beat"], now) + self.keep)
-        elif state["timer"] is None:
-            self.state.clear()
-        frame = pd.DataFrame(found, columns=["id", "kind", "at", "elapsed"])
-        return frame.astype({"id": "object", "kind": "object", "elapsed": "int64"}).assign(at=pd.to_datetime(frame["at"].astype("int64"), unit="us"))
-
-    def _due(self, state: dict) -> tuple[int, int, str] | None:
-        """Moment, rank and kind of the first thing that happens if no line comes."""
-        if state["start"] is None:
-            return None
-        moments = [(state["beat"] + self.beat, 2, "heartbeat")]
-        if self.quiet is not None:
-            moments.append((state["last"] + self.quiet, 1, "silent"))
-        if self.limit is not None:
-            moments.append((state["start"] + self.limit, 0, "expired"))
-        return min(moments)
-
-    def _set(self, state: dict, moment: int) -> None:
-        # A timer goes off when the watermark is past it.
-        at = -(-moment // 1000) - 1
-        before = None if state["timer"] is None else -(-state["timer"] // 1000) - 1
-        if before != at:
-            if before is not None:
-                self.handle.deleteTimer(before)
-            self.handle.registerTimer(at)
-        state["timer"] = moment
-        self.state.update((state["start"], state["last"], state["beat"], state["over"], moment, state["waiting"], state["final"]))
-
-
-def thinned(lines: DataFrame, beat: int, quiet: int | None) -> DataFrame:
-    """Lines that matter: of those of a job in one short span and batch only the first, the last, and its last of all.
-
-    Between the two no heartbeat and no silence can fall, so a job that prints a third of all lines sends few.
-    """
-    span = max(1, min(beat, quiet or beat) * MICROS // 2)
+    return stopped.unionByName(ticks)
 
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            spans = batch.groupby(["id", batch["t"] // span])["t"]
-            yield batch[(batch["t"] == spans.transform("min")) | (batch["t"] == spans.transform("max")) | (batch["d"] > 0)].drop_duplicates(["id", "t", "d"])
 
-    return lines.mapInPandas(thin, "id string, at timestamp, t long, d int")
+# --- the stream ----------------------------------------------------------------------------------------------
 
 
-def watched(lines: DataFrame, beat: int, quiet: int | None = None, limit: int | None = None, delay: str = LATENESS, keep: int = 86_400) -> DataFrame:
-    """The rows of :func:`watch` from a stream of lines ``(id, at, done)``, each as soon as the watermark has passed it.
+def watch_stream(lines: DataFrame, path: str, beat: int, quiet: int | None = None, limit: int | None = None, delay: str = LATENESS, keep: int = 86_400) -> DataStreamWriter:
+    """Append what happens to running jobs to ``path``: the rows of :func:`watch`, as soon as the watermark has passed them.
 
-    Lines may come out of order by ``delay``. A job that is over is remembered for ``keep`` seconds; lines of its id
-    that come later are a new job. State is kept on disk (RocksDB) and holds a handful of numbers for a job.
+    Lines ``(id, at, done)`` may come out of order by ``delay``. A job that is over is remembered for ``keep`` seconds;
+    lines of its id that come later are a new job. By epoch, a folder beside ``path`` holds the watermark, the lines
+    that wait for it, and start and last line of the jobs that run or are remembered. A batch reads and writes these.
     """
-    spark = lines.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = lines.where("at IS NOT NULL").select(F.col("id").cast("string").alias("id"), "at", F.unix_micros("at").alias("t"), F.coalesce("done", F.lit(False)).cast("int").alias("d"))
-    timed = thinned(rows, beat, quiet).withWatermark("at", delay)
-    return timed.groupBy("id").transformWithStateInPandas(Watch(beat, quiet, limit, keep), EVENT, "Append", "EventTime")
-
-
-def watch_stream(lines: DataFrame, path: str, beat: int, quiet: int | None = None, limit: int | None = None, delay: str = LATENESS, keep: int = 86_400) -> DataStreamWriter:
-    """Append what happens to running jobs to ``path``."""
-    return write_epochs(watched(lines, beat, quiet, limit, delay, keep), path)
+    marks, waiting, jobs = (f"{path}_state/{name}" for name in ("watermark", "waiting", "jobs"))
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+
+        def keep_rows(rows: DataFrame, folder: str) -> None:
+            rows.write.mode("overwrite").parquet(epoch_path(folder, epoch))
+            # A retry needs the epoch before.
+            old = spark._jvm.org.apache.hadoop.fs.Path(epoch_path(folder, epoch - 2))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+        rows = _line_rows(batch).withColumn("id", F.col("id").cast("string")).where("t IS NOT NULL")
+        before = spark.read.parquet(epoch_path(marks, epoch - 1)).first()["t"] if epoch else None
+        millis = F.timestamp_millis(F.floor(F.max("t") / 1000).cast("long"))
+        newest = rows.agg(F.unix_micros(millis - F.expr(f"INTERVAL {delay}")).alias("t")).first()["t"]
+        now = max((t for t in (before, newest) if t is not None), default=-END_OF_TIME)
+        since = -END_OF_TIME if before is None else before
+        rows, begun = rows.where(F.col("t") > since), []
+        if epoch:
+            held = spark.read.parquet(epoch_path(jobs, epoch - 1))
+            rows = rows.join(held.where("forget IS NOT NULL").select("id"), "id", "left_anti")
+            rows = rows.unionByName(spark.read.parquet(epoch_path(waiting, epoch - 1)))
+            begun = [held.where("forget IS NULL").select("id", F.col("last").alias("t"), F.lit(0).alias("d"), F.col("start").alias("begun"))]
+        rows = durable(rows.groupBy("id", "t").agg(F.max("d").alias("d")))
+        due = rows.where(F.col("t") <= now).withColumn("begun", F.col("t"))
+        for part in begun:
+            due = due.unionByName(part)
+        known, over = map(durable, _spans(due, quiet, limit, 86_400.0))
+        found = _happenings(known, over, beat, F.lit(now)).where(F.col("t") > since)
+        _named(found).write.mode("overwrite").parquet(epoch_path(path, epoch))
+        ended = F.coalesce(F.col("over") <= now, F.lit(False))
+        after = over.select("id", "start", F.col("latest").alias("last"), F.when(ended, F.lit(now + keep * MICROS)).alias("forget"))
+        if epoch:
+            after = after.unionByName(held.where(F.col("forget") > now))
+        keep_rows(after, jobs)
+        keep_rows(rows.where(F.col("t") > now).join(over.where(ended).select("id"), "id", "left_anti"), waiting)
+        keep_rows(spark.range(1).select(F.lit(None if now == -END_OF_TIME else now).cast("long").alias("t")), marks)
+
+    return lines.writeStream.foreachBatch(sink)

@@ -181,6 +181,20 @@ def test_watch_stream_against_a_loop(spark, tmp_path):
     assert out.select(monitor.messages().alias("m")).where("m = 'Analyzer running for 10s'").count() > 0
 
 
+def test_watch_stream_keeps_what_runs(spark, tmp_path):
+    """Jobs by the thousand end in the first batch: the state holds none of their lines, and forgets them after ``keep``."""
+    first = [(f"j{k}", k % 50, False) for k in range(2000)]
+    batches = [first, [("run", 300, False)], [("clock", 905, False)], [("j1", 1500, False)], [("end", 3000, False)]]
+    source = feed(spark, tmp_path, batches, "id string, s long, done boolean").select("id", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at"), "done")
+    drain(monitor.watch_stream(source, f"{tmp_path}/out", 500, 100, None, delay="20 seconds", keep=60), tmp_path, "k")
+    got = seen(Z.read_epochs(spark, f"{tmp_path}/out"))
+    # The line at 1500 is of a new job: the watermark has passed 340, when the first one is forgotten.
+    assert got == sorted([(i, "silent", t + 100, 100) for i, t, _ in [*first, *(x for batch in batches[1:4] for x in batch)]])
+    held = spark.read.parquet(f"{tmp_path}/out_state/jobs")
+    assert {r.epoch for r in held.select("epoch").distinct().collect()} == {3, 4}
+    assert [r.id for r in held.where("epoch = 4").collect()] == ["j1"]
+
+
 # --- arrivals ------------------------------------------------------------------------------------------------
 
 
