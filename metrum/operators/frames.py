@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrum.functions.scalars import half_even_int, mask_share, mask_unmatched
@@ -51,13 +51,19 @@ def merge_close(values: DataFrame, tolerance: float, how: str = "mean", span: fl
 
     ``how`` is mean (rounded half to even), first or last.
     """
-    tile = F.floor(F.col("value") / span).cast("long")
-    distinct = values.select("s", "value").distinct()
-    before = running(distinct, ["s"], tile, ["value"], {"_prev": Scan("last", F.col("value"), exclusive=True)})
-    breaks = F.when(F.coalesce(F.col("value") - F.col("_prev") <= tolerance, F.lit(False)), 0).otherwise(1).cast("long")
-    runs = running(before, ["s"], tile, ["value"], {"run": Scan("sum", breaks)})
+    tiled = values.where("value IS NOT NULL").select("s", "value", F.floor(F.col("value") / span).cast("long").alias("_tile"))
+    inside, across = Window.partitionBy("s", "_tile").orderBy("value"), Window.partitionBy("s").orderBy("_tile")
+    # Rows are sorted once, by tile: equal values, steps and runs of a tile are told in one go.
+    steps = tiled.withColumn("_step", F.col("value") - F.lag("value").over(inside)).where("_step IS NULL OR _step > 0")
+    runs = steps.withColumn("_run", F.sum((F.coalesce("_step", F.lit(0)) > tolerance).cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = runs.groupBy("s", "_tile").agg(F.min("value").alias("_low"), F.max("value").alias("_high"), F.max("_run").alias("_breaks"))
+    # A tile's first value goes on with the run before it, or begins another.
+    fresh = F.coalesce(F.col("_low") - F.lag("_high").over(across) > tolerance, F.lit(False)).cast("long")
+    begun = ends.select("s", "_tile", "_breaks", fresh.alias("_fresh"))
+    first = F.sum(F.col("_fresh") + F.col("_breaks")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_breaks")
+    runs = runs.join(begun.select("s", "_tile", first.alias("_first")), ["s", "_tile"]).withColumn("run", F.col("_first") + F.col("_run"))
     pick = {"mean": half_even_int(F.avg("value")), "first": F.min("value"), "last": F.max("value")}[how]
-    return runs.groupBy("s", (F.col("run") - 1).alias("run")).agg(pick.alias("value"), F.count(F.lit(1)).alias("n"))
+    return runs.groupBy("s", "run").agg(pick.alias("value"), F.count(F.lit(1)).alias("n"))
 
 
 def regular_groups(

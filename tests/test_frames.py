@@ -387,3 +387,21 @@ def test_correlations_equal_slices():
         found = best <= 0.9
         assert (sizes == 4 + (table <= np.minimum(0.9, best + 0.025)).argmax(axis=0))[found].all()
         assert (difference == best)[found].all() and np.isnan(difference[~found]).all()
+
+
+def test_merge_close_over_many_tiles(frame):
+    """Runs across small tiles, equal and missing values, against a loop; rows are shuffled by tile and by run only."""
+    draw = random.Random(5)
+    data = [(s, draw.choice([None, *range(-200, 200, 1 + s)])) for s in range(3) for _ in range(60 + 300 * s)]
+    got = R.merge_close(frame(data, "s long, value long"), 4, "last", span=16)
+    want = []
+    for s in range(3):
+        held = []
+        for x in sorted({x for k, x in data if k == s and x is not None}):
+            if held and x - held[-1][-1] <= 4:
+                held[-1].append(x)
+            else:
+                held.append([x])
+        want += [(s, k, run[-1], len(run)) for k, run in enumerate(held)]
+    assert rows(got.select("s", "run", "value", "n"), "s", "run") == want
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 5
