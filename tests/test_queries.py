@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from metrum.operators.sections import selection_range
 from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +55,8 @@ def test_keys_of_equal_score(spark, tmp_path):
     for s, period in ((0, 6), (1, 6), (2, 4), (3, 3), (4, 3), (5, 2), (6, 6)):
         assert {got[s * 10 + n].tonic >= 12 - period for n in (1, 3, 7)} == {True}
     assert {(got[70 + n].tonic, got[70 + n].confidence) for n in (1, 3, 7)} == {(None, 0.0)}
+
+
+def test_selection_with_its_labels(spark):
+    sections = spark.createDataFrame([(0, k, x, float(k), k + 1.0) for k, x in enumerate("cabd")], "s long, idx long, label string, start_time double, end_time double")
+    assert [tuple(r) for r in selection_range(sections, sections.where("idx <> 1")).collect()] == [(0, 0.0, 4.0, ["c", "b", "d"])]
