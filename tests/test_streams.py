@@ -205,3 +205,27 @@ def test_arrivals_are_batches_of_many_files(spark, tmp_path):
     arrivals.drain(arrivals.stream.writeStream.foreachBatch(lambda batch, epoch: sizes.append((epoch, sorted(r.id % ARRIVALS for r in batch.collect())))))
     assert sizes == [(k, [k] * 20) for k in range(ARRIVALS)]
     assert len(spark.read.parquet(f"{tmp_path}/arrived").inputFiles()) == 4 * ARRIVALS
+
+
+def test_settled_changes_make_the_rows_of_a_batch_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(message):
+        made.add(1)
+        return message
+
+    batch = [(f"j{k % 3}", k, "queued", f"m{k % 2}", None) for k in range(12)]
+    stream = feed(spark, tmp_path, [batch], "id string, seq long, stage string, message string, error string")
+    events = stream.withColumns({"at": F.timestamp_seconds(F.col("seq") * 60), "message": told("message")})
+    drain(Z.change_log_stream(events, f"{tmp_path}/log", f"{tmp_path}/st", delay="0 seconds"), tmp_path, "once")
+    assert made.value == len(batch)
+    assert spark.read.parquet(f"{tmp_path}/log").count() == len(batch)
+
+
+def test_a_part_that_lies_in_one_file_arrives_by_many(spark, tmp_path):
+    arrivals = Arrivals(SimpleNamespace(spark=spark), spark.range(0, 1000, 1, 1), F.floor(F.col("id") * ARRIVALS / 1000), str(tmp_path))
+    arrived = spark.read.parquet(f"{tmp_path}/arrived")
+    assert sorted(r.id for r in arrived.collect()) == list(range(1000 // ARRIVALS))
+    assert arrived.select(F.input_file_name()).distinct().count() == spark.sparkContext.defaultParallelism
+    assert arrivals.stream.isStreaming
