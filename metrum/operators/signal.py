@@ -43,7 +43,8 @@ def mix_tracks(
 ) -> DataFrame:
     """Sum of gain x sample over the tracks that are on, clamped; a time range is cut out first.
 
-    ``gains (track, gain)`` or ``(s, track, gain)``. Indexes start at 0 again after a cut.
+    ``gains (track, gain)`` or ``(s, track, gain)``. Indexes start at 0 again after a cut. Gains of tracks alone are few,
+    and so are tracks: they are sent to the samples, which a join by track would send to as few tasks.
     """
     kept = samples
     offset = 0
@@ -52,8 +53,8 @@ def mix_tracks(
             raise ValueError("the range must have a positive length")
         offset, stop = round(start * rate), round(end * rate)
         kept = kept.filter((F.col("idx") >= offset) & (F.col("idx") < stop))
-    on = ["s", "track"] if "s" in gains.columns else ["track"]
-    loud = kept.join(gains.filter("gain > 0"), on)
+    audible = gains.filter("gain > 0")
+    loud = kept.join(audible, ["s", "track"]) if "s" in gains.columns else kept.join(F.broadcast(audible), "track")
     mixed = loud.groupBy("s", (F.col("idx") - offset).alias("idx")).agg(F.sum(F.col("sample") * F.col("gain")).alias("sample"))
     return mixed.withColumn("sample", F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col("sample"))))
 

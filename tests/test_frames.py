@@ -314,6 +314,21 @@ def test_mix(frame):
         S.mix_tracks(tracks, gains, start=2.0, end=1.0)
 
 
+def test_mix_does_not_deal_samples_by_track(spark, frame):
+    """Two tracks would be two tasks."""
+    tracks = frame([(s, t, i, 0.5) for s in range(3) for t in "ab" for i in range(4)], "s long, track string, idx long, sample double")
+    gains = tracks.select("track").distinct().withColumn("gain", F.lit(0.5))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        loud = S.mix_tracks(tracks, gains)
+        plan = loud._jdf.queryExecution().executedPlan().toString()
+        assert [r.sample for r in loud.collect()] == [0.5] * 12
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_ranges_and_ids(frame):
     df = frame([("abc123", 30.5, 95.0), ("abc123", 0.0, None), ("abc123", 60.0, 30.0), ("x", -1.0, None)], "id string, start_sec double, end_sec double")
     good, bad = G.normalize_ranges(df)
