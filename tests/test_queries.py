@@ -1,10 +1,13 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
+
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 from metrum.operators.sections import selection_range
+from metrum.session import FIRST_PARTITIONS, PARTITIONS, spread
 from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -25,6 +28,17 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_shuffles_begin_with_many_partitions(spark):
+    """With as many as the session has for small tables, a task would grow with large ones."""
+    spark.conf.unset(FIRST_PARTITIONS)
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) < PARTITIONS
+    pairs = entry.queries()["drop_narrow"](spark, SF)
+    assert re.search(rf"hashpartitioning\(s#\S+ _tile#\S+ {PARTITIONS}\)", pairs._jdf.queryExecution().executedPlan().toString())
+    spark.conf.set(FIRST_PARTITIONS, "7")
+    assert spread(spark).conf.get(FIRST_PARTITIONS) == "7"
+    spark.conf.unset(FIRST_PARTITIONS)
+
+
 def _compared(spark, folder, name):
     return compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], str(folder), duck(str(folder)))
 
