@@ -70,11 +70,12 @@ def regular_groups(
     values: DataFrame, n: int, low: float, high: float, ratio: float, rows: int = TILE_ROWS
 ) -> DataFrame:
     """Starts ``(s, idx, value)`` of ``n`` consecutive values with gaps in low..high, largest at most ratio x smallest."""
-    gaps = neighbours(values, ["s"], {"_gap": lambda w: F.lead("value").over(w) - F.col("value")}, after=1, rows=rows)
-    spread, window, owned = halo(gaps, ["s"], after=n - 2, rows=rows)
+    # The gaps need one row more than the groups, and both the same windows.
+    spread, window, owned = halo(values, ["s"], after=n - 1, rows=rows)
     frame = window.rowsBetween(0, n - 2)
     measured = (
-        spread.withColumn("_min", F.min("_gap").over(frame))
+        spread.withColumn("_gap", F.lead("value").over(window) - F.col("value"))
+        .withColumn("_min", F.min("_gap").over(frame))
         .withColumn("_max", F.max("_gap").over(frame))
         .withColumn("_n", F.count("_gap").over(frame))
         .filter(owned)

@@ -224,6 +224,15 @@ def test_pages_match_a_loop(frame, tile):
     assert got == want
 
 
+def test_regular_groups_deal_rows_once(frame):
+    values = [0, 10, 20, 31, 70, 80, 90, 100, 105, 118]
+    df = frame([(0, i, v) for i, v in enumerate(values)], "s long, idx long, value long")
+    for tile in (2, 4096):
+        groups = R.regular_groups(df, 4, 6, 36, 1.6, rows=tile)
+        plan = groups._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.idx for r in groups.collect()) == [0, 4] and plan.count("hashpartitioning(") == 1
+
+
 def cut_loop(ink, marks, frame_width):
     width = len(ink)
     quiet = np.convolve(np.array(ink, dtype=float), np.ones(7), mode="same")
