@@ -36,7 +36,8 @@ Step = Callable[[pd.DataFrame, State, bool], "tuple[pd.DataFrame, State]"]
 RowStep = Callable[["dict[str, np.ndarray]", "list[float] | None", bool], "tuple[dict[str, np.ndarray], list[float] | None]"]
 """The same over columns."""
 
-Pass = Callable[[DataFrame], DataFrame]
+Pass = Callable[[DataFrame, DataFrame], DataFrame]
+"""(rows with their tile, entry states of tiles) -> exit states or output rows"""
 
 CHUNK = 64
 """Rows whose outputs ``fold_expr`` appends one by one before they are put aside."""
@@ -45,7 +46,8 @@ CHUNK = 64
 def _settle(tiled: DataFrame, keys: list[str], state_type: str, leave: Pass, emit: Pass) -> DataFrame:
     """Find the true entry state of every tile, then emit.
 
-    ``leave`` turns rows with ``_entry``, its hash ``_run`` and ``_last`` into one row per tile and run with ``_exit``.
+    Both get the rows and the entries: one row per tile and run with ``_entry``, its hash ``_run`` and ``_last``. ``leave``
+    turns them into one row per tile and run with ``_exit``.
     """
     group = [*keys, "_tile"]
     across = Window.partitionBy(*keys).orderBy("_tile")
@@ -56,12 +58,14 @@ def _settle(tiled: DataFrame, keys: list[str], state_type: str, leave: Pass, emi
     begun = tiles.filter("_k = 1").select(*keys, "_k", nothing.alias("_entry"))
     states = begun.select("*", run)
     due = tiles.filter(~F.col("_last")).select(*group, "_k", nothing.alias("_entry")).select("*", run)
+    # What holds where every session is one tile.
+    entries = tiles.select(*group, nothing.alias("_entry"), "_last").select("*", run)
     if not due.isEmpty():
         # Rounds come back to the same rows, so they are evaluated once and stored.
         tiled = durable(tiled)
         runs: DataFrame | None = None
         while not due.isEmpty():
-            exits = leave(tiled.join(due.drop("_k"), group).withColumn("_last", F.lit(False)))
+            exits = leave(tiled, due.drop("_k").withColumn("_last", F.lit(False)))
             placed = exits.join(tiles.select(*group, "_k"), group).select(*keys, "_k", "_run", "_exit")
             runs = durable(placed if runs is None else runs.unionByName(placed))
             offered = runs.select(*keys, (F.col("_k") + 1).alias("_k"), F.col("_exit").alias("_entry")).select("*", run).dropDuplicates([*keys, "_k", "_run"])
@@ -76,8 +80,8 @@ def _settle(tiled: DataFrame, keys: list[str], state_type: str, leave: Pass, emi
             jump = durable(jump.join(after, [*keys, "_k", "_to"]).select(*keys, "_k", "_run", F.col("_end").alias("_to")))
             reach *= 2
         states = path.join(offered.unionByName(states), [*keys, "_k", "_run"]).dropDuplicates([*keys, "_k"])
-    entries = tiles.join(states, [*keys, "_k"]).select(*group, "_entry", "_run", "_last")
-    return emit(tiled.join(entries, group))
+        entries = tiles.join(states, [*keys, "_k"]).select(*group, "_entry", "_run", "_last")
+    return emit(tiled, entries)
 
 
 def fold(
@@ -117,8 +121,8 @@ def fold(
         tiled,
         keys,
         "binary",
-        lambda rows_in: rows_in.groupBy(*group, "_run").applyInPandas(leave_tile, exit_schema),
-        lambda rows_in: rows_in.groupBy(*group).applyInPandas(emit_tile, f"{key_ddl}, {schema}"),
+        lambda rows_in, entries: rows_in.join(entries, group).groupBy(*group, "_run").applyInPandas(leave_tile, exit_schema),
+        lambda rows_in, entries: rows_in.join(entries, group).groupBy(*group).applyInPandas(emit_tile, f"{key_ddl}, {schema}"),
     )
 
 
@@ -139,20 +143,25 @@ def _unpacked(value):
 def fold_rows(
     df: DataFrame, keys: Sequence[str], idx: str, columns: Sequence[str], step: RowStep, schema: str, rows: int = TILE_ROWS
 ) -> DataFrame:
-    """As ``fold``, for many small sessions: sorted partitions are cut into tiles in Python, without a call for each."""
+    """As ``fold``, for many small sessions: sorted partitions are cut into tiles in Python, without a call for each.
+
+    ``idx`` and ``columns`` are numbers. Entry states come as rows of their own in front of a tile's rows, so all of them
+    are dealt and sorted once. They are not joined: Spark may leave out a dealing that repeats a join's, and then read
+    the join's rows where they were written, or in parts, which would cut tiles.
+    """
     keys = list(keys)
     group, names = [*keys, "_tile"], [idx, *[c for c in columns if c != idx]]
-    tiled = df.select(*keys, *names).withColumn("_tile", row_tile(idx, rows))
+    tiled = df.select(*keys, *names).withColumn("_tile", row_tile(idx, rows)).dropna(subset=group)
     key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
     out_names = [part.split()[0] for part in schema.split(",")]
 
-    def tiles(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Frames of whole tiles."""
         held: pd.DataFrame | None = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = pdf[by].iloc[-1]
-            open_rows = (pdf[by] == last).all(axis=1).to_numpy()
+            last = pdf[group].iloc[-1]
+            open_rows = (pdf[group] == last).all(axis=1).to_numpy()
             done = len(pdf) - int(open_rows[::-1].argmin() if not open_rows.all() else len(pdf))
             if done:
                 yield pdf.iloc[:done]
@@ -160,34 +169,48 @@ def fold_rows(
         if held is not None and len(held):
             yield held
 
-    def runner(by: list[str], leaving: bool):
+    def runner(leaving: bool):
+        by = [*group, "_run"] if leaving else keys
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in tiles(batches, by):
-                change = (pdf[by].to_numpy()[1:] != pdf[by].to_numpy()[:-1]).any(axis=1)
+            for pdf in tiles(batches):
+                change = (pdf[group].to_numpy()[1:] != pdf[group].to_numpy()[:-1]).any(axis=1)
                 cut = [0, *(np.flatnonzero(change) + 1).tolist(), len(pdf)]
-                held = {c: pdf[c].to_numpy() for c in [*names, *by, "_entry", "_last"]}
+                held = {c: pdf[c].to_numpy() for c in dict.fromkeys([*names, *by, "_entry", "_last"])}
+                firsts = np.add.reduceat(pdf["_first"].to_numpy().astype(np.int64), cut[:-1]).tolist()
                 parts: list[dict] = []
-                for low, high in zip(cut[:-1], cut[1:]):
-                    entry = _unpacked(held["_entry"][low])
-                    out, state = step({c: held[c][low:high] for c in names}, entry, bool(held["_last"][low]) and not leaving)
-                    if leaving:
-                        parts.append({c: [held[c][low]] for c in by} | {"_exit": [_packed(state)]})
-                    else:
-                        size = len(out[out_names[0]])
-                        parts.append({k: np.repeat(held[k][low], size) for k in keys} | out)
+                for low, high, entries in zip(cut[:-1], cut[1:], firsts):
+                    begin = low + entries
+                    for at in range(low, begin):
+                        own = {c: held[c][begin:high] for c in names}
+                        out, state = step(own, _unpacked(held["_entry"][at]), bool(held["_last"][at]))
+                        if leaving:
+                            parts.append({c: [held[c][at]] for c in by} | {"_exit": [_packed(state)]})
+                        else:
+                            size = len(out[out_names[0]])
+                            parts.append({k: np.repeat(held[k][at], size) for k in keys} | out)
                 yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) if not leaving else [p[c][0] for p in parts] for c in parts[0]})
 
         return run
 
-    def mapped(rows_in: DataFrame, by: list[str], leaving: bool, ddl: str) -> DataFrame:
-        return rows_in.repartition(*by).sortWithinPartitions(*by, idx).mapInPandas(runner(by, leaving), ddl)
+    def mapped(rows_in: DataFrame, entries: DataFrame, leaving: bool, ddl: str) -> DataFrame:
+        carried = ["_entry", "_last", *(["_run"] if leaving else [])]
+        blank = [F.lit(0).cast(f.dataType).alias(f.name) for f in rows_in.select(*names).schema.fields]
+        firsts = entries.select(*group, *blank, *carried, F.lit(True).alias("_first"))
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) if f.name == "_entry" else F.lit(0).cast(f.dataType).alias(f.name) for f in entries.select(*carried).schema.fields]
+        own = rows_in.select(*group, *names, *nothing, F.lit(False).alias("_first"))
+        dealt = firsts.unionByName(own).repartition(*group).sortWithinPartitions(*group, F.desc("_first"), idx)
+        return dealt.mapInPandas(runner(leaving), ddl)
 
     return _settle(
         tiled,
         keys,
         "binary",
-        lambda rows_in: mapped(rows_in, [*group, "_run"], True, f"{key_ddl}, _tile long, _run long, _exit binary"),
-        lambda rows_in: mapped(rows_in, group, False, f"{key_ddl}, {schema}"),
+        # Few sessions have tiles that are due, so the others' rows stay where they are.
+        lambda rows_in, entries: mapped(
+            rows_in.join(entries.select(*group), group, "left_semi"), entries, True, f"{key_ddl}, _tile long, _run long, _exit binary"
+        ),
+        lambda rows_in, entries: mapped(rows_in, entries, False, f"{key_ddl}, {schema}"),
     )
 
 
@@ -234,8 +257,8 @@ def fold_expr(
         starts = F.sequence(F.lit(1), F.size("_rows"), F.lit(CHUNK))
         return tiles.withColumn("_f", F.aggregate(starts, zero, chunk))
 
-    def emit(rows_in: DataFrame) -> DataFrame:
-        done = folded(rows_in, group)
+    def emit(rows_in: DataFrame, entries: DataFrame) -> DataFrame:
+        done = folded(rows_in.join(entries, group), group)
         last = finish(F.col("_f.state")) if finish else nothing
         tail = F.filter(F.array(F.when(F.col("_last"), last)), lambda r: r.isNotNull())
         return done.select(*keys, F.inline(F.concat(F.flatten("_f.outs"), tail)))
@@ -244,6 +267,6 @@ def fold_expr(
         tiled,
         keys,
         state_type,
-        lambda rows_in: folded(rows_in, [*group, "_run"]).select(*group, "_run", F.col("_f.state").alias("_exit")),
+        lambda rows_in, entries: folded(rows_in.join(entries, group), [*group, "_run"]).select(*group, "_run", F.col("_f.state").alias("_exit")),
         emit,
     )

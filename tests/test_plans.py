@@ -220,6 +220,29 @@ def test_folds_equal_the_sequential_fold(table, skewed, rows):
     assert {tuple(r) for r in by_expr.collect()} == want
 
 
+SMALL_JOINS = {"spark.sql.autoBroadcastJoinThreshold": "100k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+@pytest.mark.parametrize("rows", [16, 4096])
+def test_a_fold_of_scattered_sessions(spark, rows):
+    """Sessions that lie in all partitions, with entries so few that Spark turns their join into a broadcast as it runs."""
+    from metrum.operators import folds
+
+    for name, value in SMALL_JOINS.items():
+        spark.conf.set(name, value)
+    idx = F.floor(F.col("id") / 500)
+    bars = spark.range(500 * 40).select((F.col("id") % 500).alias("s"), idx.alias("idx"), (idx * 20.0).alias("x"), F.lit(None).cast("long").alias("recognized"))
+    kept = folds.drop_close(bars, 60, rows)
+    got = sorted(tuple(r) for r in kept.select("s", "idx", "x").collect())
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    for name in SMALL_JOINS:
+        spark.conf.unset(name)
+    assert got == [(s, i, i * 20.0) for s in range(500) for i in range(0, 40, 3)]
+    # What is folded was dealt by tile right before, once, and sorted once.
+    dealt = plan.split("Union")[0]
+    assert dealt.count("Exchange hashpartitioning") == 1 and dealt.count("Sort [") == 1
+
+
 def test_last_row_of_a_fold_comes_once(table, skewed):
     """``finish`` runs on the last tile only, with the state of the whole session."""
 

@@ -4,10 +4,12 @@ import re
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from metrum.operators.sections import selection_range
-from metrum.session import FIRST_PARTITIONS, PARTITIONS, spread
+from metrum.queries.views import Views
+from metrum.session import FIRST_PARTITIONS, OWN_PARTITIONS, PARTITIONS, SMALL_TASKS, TASK_BYTES, spread
 from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +41,36 @@ def test_shuffles_begin_with_many_partitions(spark):
     spark.conf.unset(FIRST_PARTITIONS)
 
 
+def test_partitions_follow_the_tables(spark):
+    names = [FIRST_PARTITIONS, OWN_PARTITIONS, *SMALL_TASKS]
+    for name in names:
+        spark.conf.unset(name)
+    most = [spread(spark, size).conf.get(FIRST_PARTITIONS) for size in (0, 500 * TASK_BYTES, 900 * TASK_BYTES - 1, TASK_BYTES)]
+    assert most == [str(PARTITIONS), "500", "900", "900"] and all(spark.conf.get(n) == v for n, v in SMALL_TASKS.items())
+    # What a session names stays.
+    for name in names[:1] + names[2:]:
+        spark.conf.set(name, "77")
+    assert [spread(spark, 900 * TASK_BYTES).conf.get(n) for n in names if n != OWN_PARTITIONS] == ["77"] * 3
+    for name in names:
+        spark.conf.unset(name)
+
+
+def test_barlines_are_read_and_grouped_once(spark):
+    plan = Views(spark, SF)._make_barlines()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_barlines_of_unknown_place(spark, tmp_path):
+    """A line without a price sorts last and counts as close to the one before it, which it replaces if only it is known."""
+    rows = [(s, n, 1.0 + (n + s) % 3, price) for s, prices in enumerate([(10.5, None), (30.0, 100.0, None, 170.0), (None, 640.0, 1270.0), (5.0, 70.0)]) for n, price in enumerate(prices)]
+    pd.DataFrame(rows, columns=["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]).to_parquet(f"{tmp_path}/lineitem.parquet")
+    views = sorted(tuple(r) for r in Views(spark, str(tmp_path)).barlines.select("s", "idx", F.coalesce("x", F.lit(-1))).collect())
+    assert views == [(0, 0, 10), (0, 1, -1), (1, 0, 30), (1, 1, 100), (1, 2, 170), (1, 3, -1), (2, 0, 40), (2, 1, 70), (2, 2, -1), (3, 0, 5), (3, 1, 70)]
+    for name in ("drop_close", "drop_narrow", "chunk_rows"):
+        ok, message = _compared(spark, tmp_path, name)
+        assert ok, f"{name}: {message}"
+
+
 def _compared(spark, folder, name):
     return compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], str(folder), duck(str(folder)))
 
