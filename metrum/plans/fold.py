@@ -13,13 +13,15 @@ The rounds are as many as states met by one tile, so a state should hold what la
 a number that is only carried along (the head of a group, the start of a page) is left out and filled in afterwards
 with :func:`metrum.plans.ordered.running`.
 
-``fold`` takes a step over a pandas frame, ``fold_rows`` one over numpy columns for many small sessions, and
-``fold_expr`` one as a column expression, whose tiles never leave the JVM.
+``fold`` takes a step over a pandas frame, ``fold_rows`` one over numpy columns for many small sessions, ``fold_strips``
+one over rows that hold many positions each, and ``fold_expr`` one as a column expression, whose tiles never leave the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -36,23 +38,32 @@ Step = Callable[[pd.DataFrame, State, bool], "tuple[pd.DataFrame, State]"]
 RowStep = Callable[["dict[str, np.ndarray]", "list[float] | None", bool], "tuple[dict[str, np.ndarray], list[float] | None]"]
 """The same over columns."""
 
+StripStep = Callable[[int, int, "list[tuple]", "list[float] | None", bool], "tuple[list[tuple], list[float] | None]"]
+"""(number of a tile, its fact, its strips in order, entry state, is last tile) -> (output rows, exit state)"""
+
 Pass = Callable[[DataFrame, DataFrame], DataFrame]
 """(rows with their tile, entry states of tiles) -> exit states or output rows"""
 
+BATCH = 10_000
+"""Output rows that ``fold_strips`` hands over at once, or a tile's, if it has more."""
+
 CHUNK = 64
 """Rows whose outputs ``fold_expr`` appends one by one before they are put aside."""
 
 
-def _settle(tiled: DataFrame, keys: list[str], state_type: str, leave: Pass, emit: Pass) -> DataFrame:
+def _settle(
+    tiled: DataFrame, keys: list[str], state_type: str, leave: Pass, emit: Pass, tiles: DataFrame | None = None
+) -> DataFrame:
     """Find the true entry state of every tile, then emit.
 
     Both get the rows and the entries: one row per tile and run with ``_entry``, its hash ``_run`` and ``_last``. ``leave``
-    turns them into one row per tile and run with ``_exit``.
+    turns them into one row per tile and run with ``_exit``. Where ``tiles`` names the tiles, the rows needn't be read for it.
     """
     group = [*keys, "_tile"]
     across = Window.partitionBy(*keys).orderBy("_tile")
     place = F.row_number().over(across).alias("_k")
-    tiles = durable(tiled.select(*group).distinct().select(*group, place, F.lead("_tile").over(across).isNull().alias("_last")))
+    known = tiled.select(*group).distinct() if tiles is None else tiles
+    tiles = durable(known.select(*group, place, F.lead("_tile").over(across).isNull().alias("_last")))
     nothing = F.lit(None).cast(state_type)
     run = F.xxhash64("_entry").alias("_run")
     begun = tiles.filter("_k = 1").select(*keys, "_k", nothing.alias("_entry"))
@@ -214,6 +225,59 @@ def fold_rows(
     )
 
 
+def fold_strips(
+    strips: DataFrame, tiles: DataFrame, key: str, order: Sequence[str], fact: str, step: StripStep, schema: str
+) -> DataFrame:
+    """As ``fold_rows``, for rows that hold many positions each: ``strips (key, _tile, ...)``, in order of ``order``.
+
+    ``tiles (key, _tile)`` names all tiles of each key, with a number ``fact`` that their steps get; strips of others are
+    left out.
+    """
+    group, names = [key, "_tile"], [c for c in strips.columns if c not in (key, "_tile")]
+    facts = tiles.select(*group, fact)
+    key_ddl = f"{key} {strips.schema[key].dataType.simpleString()}"
+
+    def runner(leaving: bool):
+        columns = [*group, "_run", "_exit"] if leaving else [key, *(part.split()[0] for part in schema.split(","))]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            heads = [*group, "_entry", "_last", "_run", fact]
+            rows = (row for pdf in batches for row in zip(*(pdf[c].tolist() for c in [*heads, *names])))
+            out: list[tuple] = []
+            for (name, tile), of_tile in groupby(rows, key=itemgetter(0, 1)):
+                entries, own = [], []
+                for row in of_tile:
+                    (own if row[4] is None else entries).append(row)
+                for _, _, entry, last, run_hash, value in (row[:6] for row in entries):
+                    found, state = step(int(tile), int(value), [row[6:] for row in own], _unpacked(entry), bool(last))
+                    out.extend([(name, tile, int(run_hash), _packed(state))] if leaving else [(name, *row) for row in found])
+                if len(out) >= BATCH:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+
+        return run
+
+    def mapped(rows_in: DataFrame, entries: DataFrame, leaving: bool, ddl: str) -> DataFrame:
+        # A hash as text is missing in strips, so it tells them from entries.
+        firsts = entries.join(facts, group).select(*group, "_entry", "_last", F.col("_run").cast("string").alias("_run"), fact)
+        # Dealt by a hash of its own, which no join has dealt by: Spark may leave out a dealing that repeats a join's.
+        dealt = firsts.unionByName(rows_in, allowMissingColumns=True).repartition(F.xxhash64(*group))
+        return dealt.sortWithinPartitions(*group, *order).mapInPandas(runner(leaving), ddl)
+
+    return _settle(
+        strips,
+        [key],
+        "binary",
+        lambda rows_in, entries: mapped(
+            rows_in.join(entries.select(*group), group, "left_semi"), entries, True, f"{key_ddl}, _tile long, _run long, _exit binary"
+        ),
+        lambda rows_in, entries: mapped(rows_in, entries, False, f"{key_ddl}, {schema}"),
+        tiles,
+    )
+
+
 def fold_expr(
     df: DataFrame,
     keys: Sequence[str],

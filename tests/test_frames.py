@@ -289,6 +289,38 @@ def test_cuts_match_a_loop(frame, tile):
     assert got == want
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+@pytest.mark.parametrize("kind", ["negative", "wide", "double", "null"])
+def test_cuts_of_packed_columns(spark, frame, monkeypatch, kind, batch):
+    """Amounts of any size, sign and kind, in no order; columns without one count nothing, and last where none near has one."""
+    rng = random.Random(9)
+    draw = {
+        "negative": lambda i: rng.randint(-300, 100), "wide": lambda i: rng.choice([-1, 1]) * rng.randint(0, 2**40),
+        "double": lambda i: rng.randint(0, 80) / 8, "null": lambda i: None if 120 < i < 200 or rng.random() < 0.3 else rng.randint(0, 9),
+    }[kind]
+    rows, mark_rows, want = [], [(0, None), (0, -1), (0, 900), (0, 5000), (None, 3), (7, 4)], {}
+    for s, width in enumerate((900, 131, 48)):
+        ink, marks = [draw(i) for i in range(width)], sorted(rng.sample(range(width), 3)) if s else []
+        quiet = [[a for a in ink[max(0, i - 3) : i + 4] if a is not None] for i in range(width)]
+        with monkeypatch.context() as patch:
+            # Exact sums, of known amounts only.
+            patch.setattr(np, "convolve", lambda *_, mode: np.array([sum(q) if q else np.inf for q in quiet]))
+            want[s] = cut_loop(ink, marks, 150)
+        rows += [(s, i, a) for i, a in enumerate(ink)]
+        mark_rows += [(s, x) for x in marks * 2]
+    rng.shuffle(rows)
+    ink, marks = frame(rows, f"s long, idx long, amount {'double' if kind == 'double' else 'long'}"), frame(mark_rows, "s long, x long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for tile in (97, 1 << 16):
+            got = {}
+            for r in D.split_at_boundaries(ink, marks, 150, tile).orderBy("s", "part").collect():
+                got.setdefault(r.s, []).append((r.start, r.end))
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # --- harmony -------------------------------------------------------------------------------------------------
 
 
