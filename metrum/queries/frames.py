@@ -184,8 +184,8 @@ def _(v: Views):
 )
 def _(v: Views):
     panorama = F.concat_ws("/", "s", "track").alias("s")
-    # Tracks are read once, so they need not be stored; barlines need neither order nor number.
-    ink = v.unstored("tracks").select(panorama, "idx", (F.abs("level") + F.col("idx") % 3).alias("amount"))
+    # Tracks are read once, so they needn't be stored; marks need neither order nor number.
+    ink = v.packed_tracks.select(panorama, "idx", (F.abs("level") + F.col("idx") % 3).alias("amount"))
     marks = v.line_values.select("s", F.floor(F.col("value") / 9).cast("long").alias("x"))
     marks = v.track_names.join(marks, "s").select(panorama, "x")
     return D.split_at_boundaries(ink, marks, 60)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from metrum.plans import ordered as O
 from metrum.plans.fold import fold, fold_expr
+from metrum.plans.strips import deal_packed, packed_positions
 
 
 @pytest.fixture(scope="module")
@@ -287,3 +288,38 @@ def test_a_constant_session_settles_in_a_few_rounds(spark, monkeypatch, tiles):
     bars = spark.range(size).select(F.lit(0).alias("s"), F.col("id").alias("idx"), (F.col("id") * 20.0).alias("x"), F.lit(None).cast("string").alias("recognized"))
     kept = sorted(r.idx for r in folds.drop_close(bars, 60, rows=10).collect())
     assert kept == list(range(0, size, 3)) and len(rounds) <= (2 if tiles == 1 else 3 + 2 * 5 + 2 * 7)
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+@pytest.mark.parametrize("kind", ["long", "double", "int"])
+def test_packed_positions_are_positions(spark, frame, kind, batch):
+    """Rows of any place and value, null ones too; those of unknown place come last."""
+    rng = random.Random(3)
+    value = (lambda: rng.random() - 0.5) if kind == "double" else (lambda: rng.choice([0, -1, 300, -(2**31), 2**31 - 1] + [2**62 + 1] * (kind == "long")))
+    data = [
+        (s, track, rng.choice([rng.randint(0, 5000), -7, None]), n, None if rng.random() < 0.2 else value())
+        for s, size in ((1, 700), (2, 1), (-5, 90)) for track in "ab" for n in range(size)
+    ]
+    rng.shuffle(data)
+    rows = frame([*data, (None, "a", 1, 1, value())], f"s long, track string, at long, n long, v {kind}").repartition(5)
+    bucket = O.row_tile("at", 100)
+    want, sizes = [], {}
+    for s, track, at, n, v in sorted(data, key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0, r[3])):
+        want.append((s, track, sizes.get((s, track), 0), v))
+        sizes[s, track] = want[-1][2] + 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        packed = packed_positions(rows, ["s", "track"], ["at", "n"], bucket, "v")
+        got = sorted(packed.collect(), key=lambda r: r[:3])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [tuple(r) for r in got] == want
+
+
+def test_packed_rows_are_dealt_whole(spark, frame):
+    """All rows arrive, of any type, and those of a key in one partition."""
+    rows = spark.range(30_000).selectExpr("id", "id % 97 AS k", "if(id % 5 = 0, null, cast(id as string)) AS name", "id / 7 AS part", "date_add(DATE'2020-01-01', int(id % 900)) AS day")
+    dealt = deal_packed(rows, ["k"])
+    assert dealt.schema == rows.schema and dealt.exceptAll(rows).isEmpty() and dealt.count() == 30_000
+    places = dealt.select("k", F.spark_partition_id().alias("p")).distinct()
+    assert places.count() == 97
